@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from . import minhash
+from . import fmindex, langid, lines, minhash, sharding, warc
 
 QUERIES = {
+    "op2_warc": warc.op2_warc,
+    "op4_decontamination": fmindex.op4_decontamination,
     "op5_minhash_near_dedup": minhash.op5_minhash_near_dedup,
+    "op6_line_dedup": lines.op6_line_dedup,
+    "op8_language_id": langid.op8_language_id,
+    "op9_sharding": sharding.op9_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_line_dedup": lines.OP6_SQL,
+}
