@@ -146,7 +146,9 @@ def windows_of(items: list[tuple[object, str | None]]) -> tuple[np.ndarray, np.n
     return patterns, np.array([len(w) for w in found], np.int64), [sorted(x) for x in found.values()]
 
 
-def _searcher(patterns: np.ndarray, lengths: np.ndarray, owners: list[list[str]]):
+def _searcher(patterns: np.ndarray, lengths: np.ndarray, owners: list[list[str]], clean_rows: bool = False):
+    """Describes each text, or passes the rows without an occurrence on as they are."""
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = arrow_bytes(batch.column("text"))
@@ -159,6 +161,9 @@ def _searcher(patterns: np.ndarray, lengths: np.ndarray, owners: list[list[str]]
                 rows = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low, times)
                 at = index.locate(rows)
                 doc = np.searchsorted(index.starts, at, side="right") - 1
+                if clean_rows:
+                    yield batch.slice(a, b - a).filter(pa.array(np.bincount(doc, minlength=b - a) == 0))
+                    continue
                 change = np.zeros(len(index.last) + 1, np.int64)
                 np.add.at(change, at, 1)
                 np.add.at(change, at + lengths[which], -1)
@@ -203,13 +208,21 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     its windows. Null and empty texts have no words; items without words have no windows; repeated rows are treated
     alike, and so are null ids. Extra columns are ignored; an empty table gives an empty result.
     """
+    schema = "doc_id long, n_words long, n_hit long, items array<string>, spans array<long>"
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return docs.mapInArrow(_searcher(*_windows(benchmark)), schema)
+
+
+def _windows(benchmark: DataFrame) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size > BENCHMARK_BYTES:
         raise ValueError(f"the benchmark has {size} bytes; at most {BENCHMARK_BYTES} can be searched in one pass")
-    items = [(r.item_id, r.text) for r in benchmark.select("item_id", "text").collect()]
-    schema = "doc_id long, n_words long, n_hit long, items array<string>, spans array<long>"
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(_searcher(*windows_of(items)), schema)
+    return windows_of([(r.item_id, r.text) for r in benchmark.select("item_id", "text").collect()])
+
+
+def without_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``documents`` (text, ...) in whose text no window occurs, with all their columns, unshuffled."""
+    return documents.mapInArrow(_searcher(*_windows(benchmark), clean_rows=True), documents.schema)
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:

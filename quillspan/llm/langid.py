@@ -242,6 +242,31 @@ def identify(documents: DataFrame, network: Network | None) -> DataFrame:
     return rows.mapInArrow(_predictor(network), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def in_known_language(documents: DataFrame, network: Network | None, least: float) -> DataFrame:
+    """The rows of ``documents`` (text, ...) with a predicted language of at least that score, with all their columns."""
+    predict, schema = _predictor(network), documents.schema
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def described() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                held[:] = [batch, 0]
+                row = batch.column("row")
+                n = pa.nulls(batch.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([n, row.field("text"), pa.nulls(batch.num_rows, pa.bool_()), batch.column("lettered")], names=["doc_id", "text", "held_out", "lettered"])
+
+        for part in predict(described()):
+            batch, at = held
+            held[1] = at + part.num_rows
+            good = (part.column("score").to_numpy() >= least) & (part.column("lang_pred").to_numpy(zero_copy_only=False) != "und")
+            row = batch.slice(at, part.num_rows).filter(pa.array(good)).column("row")
+            yield pa.RecordBatch.from_arrays(row.flatten(), names=[f.name for f in schema])
+
+    lettered = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False))
+    return documents.select(F.struct("*").alias("row"), lettered.alias("lettered")).mapInArrow(keep, schema)
+
+
 def op8_language_id(spark, sf_dir: str) -> DataFrame:
     """Learns from the documents that are not held out, then predicts all."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -52,7 +52,6 @@ SPAN = "array<struct<start:int,end:int,hit:string>>"
 def spans(text: Column, matches: Column, gaps: Column) -> Column:
     """Start, end and text of each match, in code points: what stands between matches gives the distances."""
     both = F.arrays_zip(matches.alias("hit"), F.slice(gaps, 1, F.size(matches)).alias("gap"))
-    both = F.transform(both, lambda x: F.struct(x["0"].alias("hit"), x["1"].alias("gap")))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
@@ -83,7 +82,7 @@ def luhn(number: str) -> str:
 
 
 def _valid() -> dict[str, str]:
-    part = "coalesce(int(ltrim('0', p)), 0)"
+    part = "int(concat('0', ltrim('0', p)))"
     card = "regexp_replace(x.hit, '[ -]', '')"
     return {
         "email": "true",
@@ -247,5 +246,5 @@ def _written(spans: str) -> Column:
 def op1_pii(spark, sf_dir: str) -> DataFrame:
     """personal_data in the whole documents table."""
     df = personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    counts = (F.size(F.filter("base", lambda x, n=n: x["kind"] == n)).cast("long").alias(f"n_{k}") for n, k in enumerate(KINDS))
+    counts = (F.expr(f"size(filter(base, x -> x.kind = {n}))").cast("long").alias(f"n_{k}") for n, k in enumerate(KINDS))
     return df.select("doc_id", *counts, F.sha2(_written("base"), 256).alias("base_sha256"), _written("spans").alias("spans"))

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import fmindex, langid, lines, minhash, sharding, warc
+from . import embeddings, fmindex, langid, lines, minhash, mixing, pii, sharding, substrings, warc
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_warc": warc.op2_warc,
+    "op3_embedding_near_dedup": embeddings.op3_embedding_near_dedup,
     "op4_decontamination": fmindex.op4_decontamination,
     "op5_minhash_near_dedup": minhash.op5_minhash_near_dedup,
     "op6_line_dedup": lines.op6_line_dedup,
+    "op7_mixing": mixing.op7_mixing,
     "op8_language_id": langid.op8_language_id,
     "op9_sharding": sharding.op9_sharding,
+    "op10_substring_dedup": substrings.op10_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
