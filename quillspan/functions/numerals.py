@@ -10,6 +10,7 @@ from functools import reduce
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType
 
 # Digits and units of claims, and the larger set of headings.
 CLAIM_DIGITS = {"零": 0, "〇": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
@@ -104,16 +105,16 @@ def plain_decimal(value: object) -> str | None:
     return format(number.normalize(), "f").lstrip("+") or "0" if number.is_finite() else None
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def claim_integer_of(values: pd.Series) -> pd.Series:
     return values.map(lambda s: claim_integer(s), na_action="ignore").astype("Int64")
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def ordinal_of(values: pd.Series) -> pd.Series:
     return values.map(lambda s: ordinal(s), na_action="ignore").astype("Int64")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def date_of(values: pd.Series) -> pd.Series:
     return values.map(lambda s: to_date(s), na_action="ignore")

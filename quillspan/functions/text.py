@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SPAN = "array<struct<start:int,end:int,hit:string>>"
 #: CJK ideographs as the profile rules count them.
@@ -121,13 +122,13 @@ def jaccard(a: Column, b: Column) -> Column:
 PUNCTUATION = "[\\s\\u3000，。！？；：、,.!?;:\\-—_()（）\\[\\]【】{}《》〈〉\"'“”‘’]+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(values: pd.Series) -> pd.Series:
     """F-05: NFKC without white space at the ends."""
     return values.map(lambda s: unicodedata.normalize("NFKC", s).strip(), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def folded(values: pd.Series) -> pd.Series:
     """F-06: NFKC, bare ends, case folded: the form entities are compared in."""
     return values.map(lambda s: unicodedata.normalize("NFKC", s).strip().casefold(), na_action="ignore")
