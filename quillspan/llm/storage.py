@@ -43,6 +43,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches are small enough for texts of any length: of a few MB, and of few rows.
+    Limits that the user has set stay."""
+    conf = df.sparkSession.conf
+    for key, usual, own in (("maxBytesPerBatch", "67108864b", "4m"), ("maxRecordsPerBatch", "10000", "1000")):
+        key = f"spark.sql.execution.arrow.{key}"
+        if conf.get(key) == usual:
+            conf.set(key, own)
+    return df
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a path through Hadoop's file system, whatever its scheme."""
     jvm = spark.sparkContext._jvm
