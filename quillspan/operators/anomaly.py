@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import (
@@ -334,9 +334,9 @@ def corpus_shifts(sources: DataFrame, lines: DataFrame, policy: AnomalyPolicy =
     return out.unionByName(findings(_with_lines(collage.where("start_char is not null"), sources), "INTRA_UNIT_CROSS_WORK_SPLICE_CANDIDATE", policy))
 
 
-def inspect_anomalies(sources: DataFrame, policy: AnomalyPolicy = AnomalyPolicy()) -> DataFrame:
-    """All findings of ``sources`` (source_id, text)."""
-    lines = physical_lines(sources)
+def inspect_anomalies(sources: DataFrame, policy: AnomalyPolicy = AnomalyPolicy(), lines: DataFrame | None = None) -> DataFrame:
+    """All findings of ``sources`` (source_id, text); ``lines`` are their physical lines where they are at hand."""
+    lines = physical_lines(sources) if lines is None else lines
     rules = [special_characters, long_lines, web_residue, paratext, repeated_runs, distant_duplicates, abrupt_scripts]
     parts = [rule(lines, policy) for rule in rules]
     if policy.marker_groups:
@@ -346,7 +346,7 @@ def inspect_anomalies(sources: DataFrame, policy: AnomalyPolicy = AnomalyPolicy(
 
 def capped(found: DataFrame, cap: int, *order: str) -> DataFrame:
     """O-04: the first ``cap`` rows of each source in order, and whether more were there (limit_reached)."""
-    ranked = found.withColumn("rank", F.row_number().over(in_order(*order))).withColumn("all", F.count("*").over(in_order().partitionBy("source_id").rowsBetween(FIRST, LAST)))
+    ranked = found.withColumn("rank", F.row_number().over(in_order(*order))).withColumn("all", F.count("*").over(Window.partitionBy("source_id")))
     return ranked.where(F.col("rank") <= cap).withColumn("limit_reached", F.col("all") > cap).drop("rank", "all")
 
 

@@ -92,18 +92,25 @@ def heading_candidates(lines: DataFrame, policy: StructurePolicy = StructurePoli
     df = df.withColumn("near", F.coalesce(last, F.lit(False))).where("maybe or near").select("source_id", "line_no", "start_char", "physical", "content")
     names = [c.split()[0] for c in HEADINGS.split(", ")]
 
-    def each(frame: pd.DataFrame) -> pd.DataFrame:
-        scan = _Scan(policy)
-        previous = None
-        for r in frame.sort_values("line_no").itertuples():
-            if previous is not None and r.line_no != previous + 1:
-                scan.number = None  # lines in between were no unit word
-            previous = r.line_no
-            scan.line(r.line_no, r.start_char, r.physical, r.content)
-        out = pd.DataFrame([[frame.source_id.iloc[0], *row] for row in scan.rows], columns=names)
-        return out.astype({c: "Int64" for c in ("ordinal", "detached_start", "detached_line")})
-
-    found = df.groupBy("source_id").applyInPandas(each, HEADINGS)
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        source, scan, previous = None, _Scan(policy), 0
+        for frame in frames:
+            done = []
+            for r in frame.itertuples():
+                if r.source_id != source:
+                    done += [[source, *row] for row in scan.rows]
+                    source, scan = r.source_id, _Scan(policy)
+                elif r.line_no != previous + 1:
+                    scan.number = None  # lines in between were no unit word
+                previous = r.line_no
+                scan.line(r.line_no, r.start_char, r.physical, r.content)
+            yield shaped(done)
+        yield shaped([[source, *row] for row in scan.rows])
+
+    def shaped(rows: list[list]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in ("ordinal", "detached_start", "detached_line")})
+
+    found = df.repartition("source_id").sortWithinPartitions("source_id", "line_no").mapInPandas(each, HEADINGS)
     return found.withColumn("heading_id", stable_id("hdg_", *(F.col(c) for c in ("source_id", "rule_id", "start_char", "end_char", "raw")), length=32))
 
 
@@ -249,8 +256,3 @@ def unit_texts(units_: DataFrame, sources: DataFrame) -> DataFrame:
     rows = units_.join(sources, "source_id").withColumn("unit_text", part_of(F.col("text"), F.col("start_char"), F.col("end_char"))).drop("text")
     broken = F.raise_error(F.concat(F.lit("content hash mismatch: "), "unit_id"))
     return rows.withColumn("unit_text", F.when(sha(F.col("unit_text")) == F.col("content_sha256"), F.col("unit_text")).otherwise(broken))
-
-
-def iter_frames(frames: Iterator[pd.DataFrame]) -> Iterator:
-    for frame in frames:
-        yield from frame.itertuples()

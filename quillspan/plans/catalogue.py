@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import text_queries
+
+QUERIES: dict = dict(text_queries.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(text_queries.ORACLE_SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
