@@ -10,11 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import small_batches
 from .textkernel import ALNUM, LOWER, U64, arrow_bytes, hash_words, slices, split_words
 
 #: Words of a window; text bytes of an index; every so many text positions a suffix position is kept; benchmark
 #: bytes that are searched in one pass over the documents.
-WINDOW, SHARD_BYTES, SAMPLE, BENCHMARK_BYTES = 10, 4 << 20, 8, 32 << 20
+WINDOW, SHARD_BYTES, SAMPLE, BENCHMARK_BYTES = 10, 2 << 20, 8, 32 << 20
 
 
 class Wavelet:
@@ -209,7 +210,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     alike, and so are null ids. Extra columns are ignored; an empty table gives an empty result.
     """
     schema = "doc_id long, n_words long, n_hit long, items array<string>, spans array<long>"
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return docs.mapInArrow(_searcher(*_windows(benchmark)), schema)
 
 
@@ -222,7 +223,7 @@ def _windows(benchmark: DataFrame) -> tuple[np.ndarray, np.ndarray, list[list[st
 
 def without_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``documents`` (text, ...) in whose text no window occurs, with all their columns, unshuffled."""
-    return documents.mapInArrow(_searcher(*_windows(benchmark), clean_rows=True), documents.schema)
+    return small_batches(documents).mapInArrow(_searcher(*_windows(benchmark), clean_rows=True), documents.schema)
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import small_batches
 from .textkernel import LOWER, arrow_bytes, hash_words, slices, split_words
 
 #: Sampled documents a language at most, and of each the leading characters that training may see.
@@ -16,7 +17,7 @@ SAMPLE_DOCS, SAMPLE_CHARS, MAX_LANGUAGES = 300, 4000, 200
 #: Bytes the network reads in one go (longer words are cut), width of each direction, and how it is trained.
 SPAN, HIDDEN, STEPS, BATCH, RATE = 16, 16, 500, 384, 0.01
 #: Words whose scores a worker keeps, and text bytes that it holds in numpy at once.
-CACHE_WORDS, SLICE_BYTES = 1_000_000, 2 << 20
+CACHE_WORDS, SLICE_BYTES = 500_000, 1 << 20
 
 #: Words are runs of ASCII letters and of bytes above ASCII.
 LETTERS = np.zeros(256, dtype=bool)
@@ -238,7 +239,7 @@ def identify(documents: DataFrame, network: Network | None) -> DataFrame:
     go to the first language in alphabetical order. Extra columns are ignored; an empty table gives an empty result.
     """
     lettered = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False))
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held_out"), lettered.alias("lettered"))
+    rows = small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id")).alias("held_out"), lettered.alias("lettered"))
     return rows.mapInArrow(_predictor(network), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
@@ -264,7 +265,7 @@ def in_known_language(documents: DataFrame, network: Network | None, least: floa
             yield pa.RecordBatch.from_arrays(row.flatten(), names=[f.name for f in schema])
 
     lettered = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False))
-    return documents.select(F.struct("*").alias("row"), lettered.alias("lettered")).mapInArrow(keep, schema)
+    return small_batches(documents).select(F.struct("*").alias("row"), lettered.alias("lettered")).mapInArrow(keep, schema)
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import cut
+from .storage import cut, small_batches
 from .textkernel import LOWER, NOT_SPACE, U64, arrow_bytes, hash_words, mix, slices, split_words
 
 #: A run is the shortest of at least so many sentences, and so many words, from its first sentence on.
@@ -120,7 +120,7 @@ def drop_repeated_spans(documents: DataFrame) -> DataFrame:
     each of its rows. A null doc_id is a document before all others; a null text stays null. Extra columns are ignored;
     an empty table gives an empty result.
     """
-    docs = documents.select(
+    docs = small_batches(documents).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         "text",
         F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"),

@@ -14,7 +14,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import cut, new_path, remove
+from .storage import cut, new_path, remove, small_batches
 
 #: Shards at least; payload bytes a shard; compressed bytes after which a file is closed; bytes of a batch read back.
 MIN_SHARDS, SHARD_BYTES, ROLL_BYTES, BATCH_BYTES = 64, 1 << 30, 256 << 20, 4 << 20
@@ -130,7 +130,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, roll_bytes
     """
     spark = pages.sparkSession
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    rows = small_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     rows = rows.withColumn("digest", F.sha1(payload)).withColumn("payload_bytes", F.length(payload).cast("long"))
     large = rows.where(F.col("payload_bytes") >= min_bytes)
     copies = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
