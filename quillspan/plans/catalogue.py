@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import text_queries
+from . import fact_queries, text_queries
 
-QUERIES: dict = dict(text_queries.QUERIES)
-ORACLE_SQL: dict[str, str] = dict(text_queries.ORACLE_SQL)
+QUERIES: dict = text_queries.QUERIES | fact_queries.QUERIES
+ORACLE_SQL: dict[str, str] = text_queries.ORACLE_SQL | fact_queries.ORACLE_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    """Suppliers' located-in sentences, from claim to answer with citation."""
+    return fact_queries.answers_citations(spark, sf_dir)
