@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import sha, stable_id
+from quillspan.sources.scratch import cut
 
 from .retrieval import answerability, entity_names, indexed_facts
 
@@ -55,15 +56,18 @@ def render(claim: Column, marks: Column) -> Column:
 def answers(asked: DataFrame, facts: DataFrame, entities: DataFrame, max_citations: int = 20) -> DataFrame:
     """R-08: one packet a question: decision, reason_codes, answer_text, answer_claim, citations, packet_id.
 
+    Questions and what each step finds are written once, so that plans stay small and nothing runs twice; facts should be a
+    written table too.
+
     Where a permission question finds nothing, facts of the opposite polarity may answer it with no (R-05, F-41); that
     nothing is recorded never does. Hits that say different things refuse; citations are the first by place, numbered."""
     if not 1 <= max_citations <= 20:
         raise ValueError("an answer has 1 to 20 citations")
-    facts, entities = indexed_facts(facts), entity_names(entities)
-    first, hits = answerability(asked, facts, entities)
+    asked, facts, entities = cut(asked, "questions"), indexed_facts(facts), entity_names(entities)
+    first, hits = (cut(df, "answerability") for df in answerability(asked, facts, entities))
     open_ = first.where("answerability = 'not_answerable' and predicate = 'permission' and requested_role = 'boolean'")
     turned = asked.join(open_.select("question_id"), "question_id", "left_semi").withColumn("polarity", ~F.col("polarity"))
-    second, more = answerability(turned, facts, entities)
+    second, more = (cut(df, "answerability") for df in answerability(cut(turned, "questions"), facts, entities))
     second = second.where("answerability in ('answerable', 'ambiguous')").select("question_id", F.col("answerability").alias("other"), F.col("reason_codes").alias("other_codes"))
     state = first.join(second, "question_id", "left").withColumn("final", F.coalesce("other", "answerability"))
     ask = state.select("question_id", F.struct(*asked.columns).alias("ask"), "final", "reason_codes", "other_codes")
@@ -80,29 +84,33 @@ def answers(asked: DataFrame, facts: DataFrame, entities: DataFrame, max_citatio
         F.array_sort(F.collect_list(F.when(F.col("n") <= max_citations, citation))).alias("citations"),
     )
     out = ask.join(packed, "question_id", "left")
-    unlike = (F.col("final") == "answerable") & (F.col("claims") > 1)
-    final = F.when(unlike, "ambiguous").otherwise(F.col("final"))
-    codes = F.when(unlike, F.array(F.lit("PHASE6_MULTIPLE_SEMANTIC_ANSWERS"))).otherwise(F.concat("reason_codes", F.coalesce("other_codes", F.array().cast("array<string>"))))
-    codes = F.when((final != "answerable") & F.col("other_codes").isNotNull() & ~unlike, F.col("other_codes")).otherwise(codes)
-    yes = final == "answerable"
-    table = lambda k: F.create_map(*(F.lit(x) for name, v in REFUSALS.items() for x in (name, v[k])))[final]
-    own = F.when(yes, F.array(F.lit("STRICT_TYPED_ANSWER"), F.lit("CITATIONS_STRUCTURALLY_ENTAILED"))).otherwise(F.array(table(2)))
-    marks = F.array_join(F.transform("citations", lambda x: F.concat(F.lit("["), x["citation_id"], F.lit("]"))), "")
+    out = out.withColumn("unlike", (F.col("final") == "answerable") & (F.col("claims") > 1))
+    out = out.withColumn("final", F.when(F.col("unlike"), "ambiguous").otherwise(F.col("final")))
+    out = out.withColumns({"yes": F.col("final") == "answerable", "marks": F.array_join(F.transform("citations", lambda x: F.concat(F.lit("["), x["citation_id"], F.lit("]"))), "")})
+    none = F.array().cast("array<string>")
+    codes = F.when(F.col("unlike"), F.array(F.lit("PHASE6_MULTIPLE_SEMANTIC_ANSWERS"))).when(F.col("yes"), F.concat("reason_codes", F.coalesce("other_codes", none))).otherwise(F.coalesce("other_codes", "reason_codes"))
+    refused = spark_rows(out, REFUSALS)
+    out = out.withColumn("codes", codes).join(F.broadcast(refused), "final", "left")
+    own = F.when(F.col("yes"), F.array(F.lit("STRICT_TYPED_ANSWER"), F.lit("CITATIONS_STRUCTURALLY_ENTAILED"))).otherwise(F.array("code"))
     out = out.select(
         "question_id",
         F.col("ask.question").alias("question"),
         F.col("ask.predicate").alias("predicate"),
-        F.when(yes, "answered").otherwise(table(0)).alias("decision"),
-        F.array_distinct(F.concat(codes, own)).alias("reason_codes"),
-        F.when(yes, render(F.col("claim"), marks)).otherwise(table(1)).alias("answer_text"),
-        F.when(yes, F.col("claim")).alias("answer_claim"),
-        F.when(yes, F.col("citations")).otherwise(F.filter("citations", lambda x: F.lit(False))).alias("citations"),
+        F.when(F.col("yes"), "answered").otherwise(F.col("refusal")).alias("decision"),
+        F.array_distinct(F.concat("codes", own)).alias("reason_codes"),
+        F.when(F.col("yes"), render(F.col("claim"), F.col("marks"))).otherwise(F.col("message")).alias("answer_text"),
+        F.when(F.col("yes"), F.col("claim")).alias("answer_claim"),
+        F.filter(F.coalesce("citations", F.array().cast(out.schema["citations"].dataType)), lambda x: F.col("yes")).alias("citations"),
     )
-    out = out.withColumn("citations", F.coalesce("citations", F.array().cast(out.schema["citations"].dataType)))
     said = F.to_json(F.struct("question", "decision", "reason_codes", "answer_text", "answer_claim", "citations"), {"ignoreNullFields": "false"})
     return out.withColumns({"packet_id": stable_id("qa_", said), "may_present": F.lit(True), "may_freeze": F.lit(False)})
 
 
+def spark_rows(df: DataFrame, refusals: dict[str, tuple[str, str, str]]) -> DataFrame:
+    """F-43: refusals as rows: final, refusal, message, code."""
+    return df.sparkSession.createDataFrame([(k, *v) for k, v in refusals.items()], "final string, refusal string, message string, code string")
+
+
 def packet_differences(packets: DataFrame, recomputed: DataFrame) -> DataFrame:
     """R-09: packets that do not equal their recomputation, with the fields that differ; a packet whose question was not
     recomputed differs in all."""

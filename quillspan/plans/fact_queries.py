@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillspan.operators import anomaly, claims, entities, gold, qa, retrieval, semantics
 from quillspan.sources import tables as store
+from quillspan.sources.scratch import cut
 
 from .text_queries import _WINDOWS, DOC_LINES, doc_lines, doc_sources, named, table
 
@@ -326,8 +327,8 @@ def referential_integrity(spark, sf_dir):
 
 
 def located_facts(spark, sf_dir, who: str = "customer") -> tuple[DataFrame, DataFrame]:
-    """Canonical facts and entity names of the located-in sentences."""
-    good = accepted_located(spark, sf_dir, who)
+    """Canonical facts and entity names of the located-in sentences, as written tables."""
+    good = cut(accepted_located(spark, sf_dir, who), "accepted")
     rows = good.select(
         F.concat(F.lit("fac_"), "source_id").alias("fact_id"), "result_id", "claim_type", F.lit("location").alias("predicate_scope"),
         F.concat(F.lit("ent_"), "subject").alias("subject_entity_id"), "subject", F.concat(F.lit("ent_"), "object").alias("object_entity_id"), "object",
@@ -336,7 +337,8 @@ def located_facts(spark, sf_dir, who: str = "customer") -> tuple[DataFrame, Data
     )
     names = rows.select(F.explode(F.array(F.struct(F.col("subject_entity_id").alias("entity_id"), F.col("subject").alias("name")), F.struct(F.col("object_entity_id").alias("entity_id"), F.col("object").alias("name")))).alias("e"), "source_id")
     names = names.groupBy("e.entity_id", "e.name").agg(F.collect_set("source_id").alias("source_ids"))
-    return rows, names.select("entity_id", F.col("name").alias("canonical_name"), F.array("name").alias("aliases"), "source_ids")
+    names = names.select("entity_id", F.col("name").alias("canonical_name"), F.array("name").alias("aliases"), "source_ids")
+    return cut(retrieval.indexed_facts(rows), "facts"), cut(retrieval.entity_names(names), "entity-names")
 
 
 def where_questions(spark, sf_dir, who: str = "customer") -> DataFrame:
