@@ -1,69 +1,5 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Intermediate tables in the folder that all executors share, as the rest of the library keeps them."""
 
-from __future__ import annotations
+from quillspan.sources.scratch import cut, new_path, remove, shared_dir, small_batches
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where that is unset (local tests), a temporary folder of our own."""
-    sc = spark.sparkContext
-    told = sc.getConf().get("spark.checkpoint.dir")
-    if told:
-        return told.rstrip("/")
-    known = sc._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get().rstrip("/")
-    own = "file://" + tempfile.mkdtemp(prefix="quillspan-")
-    sc.setCheckpointDir(own)
-    return own
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, removed when the driver exits."""
-    path = f"{shared_dir(spark)}/quillspan/{name}-{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(remove_written)
-    _written.append((spark, path))
-    return path
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` once as Parquet in the shared folder and reads it back: lineage ends here, and a lost executor
-    costs only the reread of its splits."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, in a session whose Arrow batches are small enough for texts of any length: of a few MB, and of few rows.
-    Limits that the user has set stay."""
-    conf = df.sparkSession.conf
-    for key, usual, own in (("maxBytesPerBatch", "67108864b", "4m"), ("maxRecordsPerBatch", "10000", "1000")):
-        key = f"spark.sql.execution.arrow.{key}"
-        if conf.get(key) == usual:
-            conf.set(key, own)
-    return df
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a path through Hadoop's file system, whatever its scheme."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def remove_written() -> None:
-    """Removes every intermediate table of this process; a session that is gone already leaves its folder."""
-    while _written:
-        spark, path = _written.pop()
-        with contextlib.suppress(Exception):
-            remove(spark, path)
+__all__ = ["cut", "new_path", "remove", "shared_dir", "small_batches"]
