@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from quillspan.llm.fmindex import contamination
 from quillspan.llm.minhash import near_duplicates
@@ -18,3 +20,36 @@ def test_stages_take_effect(spark):
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == [*columns, "size", "text_crc32", "shard", "slot"]
     assert sorted(r.doc_id for r in out.select("doc_id").collect()) == sorted(r.doc_id for r in seen["mix"].select("doc_id").collect())
+
+
+def test_odd_documents(spark, tmp_path):
+    sf = f"file://{tmp_path}"
+    words = "the of and that this with from have were which would there their what about into more other some time"
+    rows = [
+        (1, words * 3, "en", "src1", 9, "x"),
+        (1, words * 3, "en", "src1", 9, "x"),
+        (2, words * 3, "en", None, None, None),
+        (None, "il est des une dans pour avec les " * 30, None, "src2", 1, "y"),
+        (4, None, "en", "src1", 0, "z"),
+        (5, "", None, None, None, None),
+        (6, "der die das und nicht mit von ein eine " * 4000, "de", "src3", 5, "q"),
+        (7, "benchmark words one two three four five six seven eight nine ten eleven", "en", "src3", 5, "q"),
+    ]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string"
+    documents = spark.createDataFrame(rows, schema).withColumns({"tokens": F.lit(1), "shard": F.lit("s"), "epochs": F.lit(None).cast("int")})
+    documents.write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (2, None)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    docs = documents
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        docs = stage(spark, docs, sf)
+        assert docs.columns == documents.columns
+    assert sorted((r.doc_id for r in docs.collect()), key=str) == sorted([1, 1, None, 6, 7], key=str)
+    clean = corpus_pipeline.decontaminate(spark, docs, sf)
+    assert 7 not in {r.doc_id for r in clean.collect()}
+    out = corpus_pipeline.run(spark, sf)
+    assert set(out.columns) == set(documents.columns) | {"size", "text_crc32", "slot"}
+    assert {r.doc_id for r in out.collect()} <= {1, None, 6}
+    empty = f"{sf}/empty"
+    documents.limit(0).write.parquet(f"{empty}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{empty}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0
