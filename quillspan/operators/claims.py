@@ -7,7 +7,6 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 from hashlib import sha256
 
 import pandas as pd
@@ -72,11 +71,15 @@ def literal(text: str) -> str:
     return r"\s*".join(re.escape(p) for p in normal(text).split())
 
 
-@lru_cache(maxsize=None)
+_known: dict[tuple[str, ...], str] = {}
+
+
 def any_of(markers: tuple[str, ...]) -> str:
     """F-10: alternatives; English words stand alone."""
-    shape = lambda m: re.escape(m).replace(r"\ ", r"\s+")
-    return "(?:" + "|".join(rf"\b{shape(m)}\b" if re.fullmatch("[A-Za-z ]+", m) else shape(m) for m in markers) + ")"
+    if markers not in _known:
+        shape = lambda m: re.escape(m).replace(r"\ ", r"\s+")
+        _known[markers] = "(?:" + "|".join(rf"\b{shape(m)}\b" if re.fullmatch("[A-Za-z ]+", m) else shape(m) for m in markers) + ")"
+    return _known[markers]
 
 
 def modal(text: str, start: int, end: int) -> bool:
