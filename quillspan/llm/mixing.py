@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .storage import cut
 
 #: Leaves that the driver may plan; buckets of the first and of the second cut of a leaf's epoch.
-MAX_LEAVES, BITS = 100_000, 12
+MAX_LEAVES, BITS = 100_000, 10
 LEVELS = ("domain", "language", "source")
 #: Target weights of the query: a child's among its siblings, by level and name; 1 where it has none.
 WEIGHTS = {
