@@ -50,17 +50,19 @@ def _unit(raw: list[bytes]) -> np.ndarray:
 def _coder(bits: int, tables: int):
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors, codes = [], []
-            for v in batch.column("v"):
-                x = np.asarray(v.values.to_numpy(zero_copy_only=False), dtype="<f8")
-                axes = np.random.default_rng([17, len(x)]).standard_normal((len(x), bits * tables)) if not codes or len(x) != size else axes
-                size = len(x)
-                sign = ((x / np.abs(x).max()) @ axes >= 0).reshape(tables, bits)
-                codes.append((sign @ (1 << np.arange(bits, dtype=np.int64))).astype(np.int32).tolist())
-                vectors.append(x.tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("x"), batch.column("copies"), pa.array(vectors, pa.binary()), pa.array(codes, pa.list_(pa.int32()))], names=["x", "copies", "v", "codes"]
-            )
+            column = batch.column("v")
+            sizes, flat = column.value_lengths().to_numpy(), column.flatten().to_numpy().astype("<f8")
+            starts = np.cumsum(sizes) - sizes
+            codes = np.zeros((len(sizes), tables), np.int32)
+            for size in np.unique(sizes):
+                rows = np.flatnonzero(sizes == size)
+                x = flat[starts[rows][:, None] + np.arange(size)]
+                axes = np.random.default_rng([17, size]).standard_normal((size, tables * bits))
+                signs = ((x / np.abs(x).max(axis=1, keepdims=True)) @ axes >= 0).reshape(len(rows), tables, bits)
+                codes[rows] = signs @ (1 << np.arange(bits, dtype=np.int64))
+            vectors = [flat[a : a + n].tobytes() for a, n in zip(starts, sizes, strict=True)]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, codes.size + 1, tables, dtype=np.int32)), pa.array(codes.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("copies"), pa.array(vectors, pa.binary()), lists], names=["x", "copies", "v", "codes"])
 
     return code
 
