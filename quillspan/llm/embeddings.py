@@ -174,3 +174,17 @@ def near_vectors(embeddings: DataFrame) -> DataFrame:
 def op3_embedding_near_dedup(spark, sf_dir: str) -> DataFrame:
     """near_vectors over the whole embeddings table."""
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP3_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+n AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS u FROM v
+  WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_dot_product(e, e) > 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM n x JOIN n y ON x.vec_id < y.vec_id AND len(x.u) = len(y.u) WHERE list_dot_product(x.u, y.u) >= 0.95),
+reach AS (
+  SELECT a, b FROM links UNION SELECT b, a FROM links
+  UNION SELECT r.a, l.b FROM reach r JOIN (SELECT a, b FROM links UNION SELECT b, a FROM links) l ON r.b = l.a),
+c AS (SELECT a, min(least(a, b)) AS component FROM reach GROUP BY a), d AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM links UNION ALL SELECT b FROM links) GROUP BY id)
+SELECT vec_id, coalesce(d.n, 0) AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept
+FROM v LEFT JOIN c ON c.a = vec_id LEFT JOIN d ON d.id = vec_id
+"""

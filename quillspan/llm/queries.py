@@ -18,5 +18,9 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc": warc.OP2_SQL,
+    "op3_embedding_near_dedup": embeddings.OP3_SQL,
+    "op4_decontamination": fmindex.OP4_SQL,
+    "op5_minhash_near_dedup": minhash.OP5_SQL,
     "op6_line_dedup": lines.OP6_SQL,
 }
