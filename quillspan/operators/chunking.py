@@ -149,3 +149,9 @@ def chunk_report(chunked: DataFrame) -> DataFrame:
         F.sum(over).cast("long").alias("total_overlap"),
         F.sum(length - over).cast("long").alias("covered_characters"),
     )
+
+
+def boundary_counts(chunked: DataFrame) -> DataFrame:
+    """G-05, G-06: how often chunks of a source start and end at each kind of boundary; hard ends are hard splits."""
+    each = chunked.select("source_id", F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"{s}_boundary").alias("boundary")) for s in ("start", "end")))).alias("b"))
+    return each.groupBy("source_id", "b.side", "b.boundary").agg(F.count("*").alias("n"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+import hashlib
+import json
+from dataclasses import dataclass, field, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,9 @@ from quillspan.operators import anomaly, chunking, claims, entities, headings, q
 from quillspan.operators.lines import physical_lines
 from quillspan.sources import tables as store
 
+#: Of the rules; a build of another version is another build.
+VERSION = "quillspan-1"
+
 
 @dataclass(frozen=True)
 class ProjectPolicy:
@@ -119,6 +124,33 @@ def publish(spark: SparkSession, sources: DataFrame, path: str, policy: ProjectP
     store.write_manifest(ready, path)
 
 
+def load_profile(text: str) -> ProjectPolicy:
+    """S-19: a policy from a JSON object with closed fields: a base profile's name and limits of the semantic stage."""
+    told = json.loads(text)
+    known = {"profile", "canonical", *(f.name for f in fields(_S))}
+    if not isinstance(told, dict) or set(told) - known:
+        raise ValueError(f"a profile is an object of {sorted(known)}")
+    base = PROFILES[told.pop("profile", "balanced")]
+    canonical = told.pop("canonical", base.canonical)
+    return replace(base, canonical=bool(canonical), semantic=replace(base.semantic, **told))
+
+
+def build_key(sources: DataFrame, policy: ProjectPolicy) -> str:
+    """K-14: names a build by its content: the sources' rows, in any order, and the policy."""
+    content = sources.select("source_id", "text").agg(store.logical_hash(sources.select("source_id", "text"))).first()[0]
+    return "bld_" + hashlib.sha256(f"{VERSION}|{content}|{policy!r}".encode()).hexdigest()[:40]
+
+
+def publish_once(spark: SparkSession, sources: DataFrame, root: str, policy: ProjectPolicy = ProjectPolicy()) -> str:
+    """K-14: the path of the project of these sources below ``root``: one that is there and verifies is used again."""
+    path = f"{root}/{build_key(sources, policy)}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    if not there or not store.verify_project(spark, path).isEmpty():
+        publish(spark, sources, path, policy)
+    return path
+
+
 def ask(spark: SparkSession, path: str, questions: list[str], source: str | None = None) -> DataFrame:
     """Packets for questions against a published project."""
     asked = retrieval.intent_rows(spark, [(f"q{n}", q, source) for n, q in enumerate(questions)])

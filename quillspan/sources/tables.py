@@ -93,9 +93,28 @@ def manifest_differences(told: DataFrame, found: DataFrame) -> DataFrame:
     return both.select("table_name", problem.alias("problem")).where("problem is not null")
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """S-20: names of what lies right below a path, through Hadoop's file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(place)
+    return sorted(f.getPath().getName() for f in found)
+
+
+def safe_relative(path: Column) -> Column:
+    """P-34: a relative path of plain parts, without empty ones, dots alone or backslashes."""
+    return F.coalesce(path.rlike(r"^(?!.*(^|/)\.{1,2}(/|$))[^/\\\x00]+(/[^/\\\x00]+)*$"), F.lit(False))
+
+
 def verify_project(spark: SparkSession, path: str) -> DataFrame:
-    """R-10 to R-12: what of a project isn't as its manifest says; empty where all is."""
-    return manifest_differences(spark.read.parquet(f"{path}/manifest"), table_hashes(read_project(spark, path)))
+    """R-10 to R-12: what of a project isn't as its manifest says: tables that lack, that are there unasked, or whose rows
+    differ; empty where all is."""
+    told = spark.read.parquet(f"{path}/manifest")
+    here = set(folders(spark, path)) - {"manifest"}
+    known = {name: df for name, df in read_project(spark, path).items() if name in here}
+    found = table_hashes(known)
+    extra = spark.createDataFrame([(name,) for name in sorted(here - set(known))], "table_name string")
+    extra = extra.select("table_name", F.lit(0).cast("long").alias("n_rows"), F.lit("").alias("logical_sha256"))
+    return manifest_differences(told, found.unionByName(extra))
 
 
 def dangling(rows: DataFrame, column: str, known: DataFrame, key: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillspan.operators import anomaly, entities, gold, qa, retrieval, structure
+from quillspan.operators import anomaly, chunking, entities, gold, qa, retrieval, structure
 from quillspan.plans import project
 from quillspan.sources import ingest
 from quillspan.sources import tables as store
@@ -155,3 +155,33 @@ def test_files_and_stream(spark, tmp_path):
     spark.createDataFrame([("s", "行\n" * 3)], "source_id string, text string").write.parquet(str(tmp_path / "stream"))
     watch_anomalies(spark, str(tmp_path / "stream"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert [r.rule_id for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["REPEATED_LINE_RUN_CANDIDATE"]
+
+
+def test_builds_are_found_again_and_checked(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    sources = spark.createDataFrame([("a", "陆川击败韩岳。")], "source_id string, text string")
+    path = project.publish_once(spark, sources, root)
+    made = (tmp_path / path.rsplit("/", 1)[1] / "manifest").stat().st_mtime_ns
+    assert project.publish_once(spark, sources, root) == path
+    assert (tmp_path / path.rsplit("/", 1)[1] / "manifest").stat().st_mtime_ns == made
+    assert project.build_key(sources, project.PROFILES["strict"]) != path.rsplit("/", 1)[1]
+    spark.range(1).write.parquet(f"{path}/stray")
+    spark.read.parquet(f"{path}/timeline").limit(0).write.mode("overwrite").parquet(f"{path}/entities")
+    assert {(r.table_name, r.problem) for r in store.verify_project(spark, path).collect()} == {("stray", "UNEXPECTED"), ("entities", "CHANGED")}
+
+
+def test_profiles_and_paths(spark):
+    made = project.load_profile('{"profile": "strict", "max_clause_characters": 42}')
+    assert made.canonical and made.semantic.max_clause_characters == 42 and not made.semantic.emit_model_tasks
+    with pytest.raises(ValueError):
+        project.load_profile('{"unknown": 1}')
+    paths = spark.createDataFrame([("a/b.txt", True), ("../a", False), ("a//b", False), ("/a", False), ("a/./b", False), ("a\\b", False), ("a..b", True), (None, False)], "p string, want boolean")
+    assert paths.where(store.safe_relative(F.col("p")) != F.col("want")).count() == 0
+
+
+def test_chunk_boundaries(spark):
+    units = spark.createDataFrame([("s", "u", 0, "一句话。" * 20 + "\n\n" + "字" * 50)], "source_id string, unit_id string, start_char long, unit_text string")
+    made = chunking.chunks(units, chunking.ChunkPolicy(30, 6))
+    counts = {(r.side, r.boundary): r.n for r in chunking.boundary_counts(made).collect()}
+    assert counts[("start", "unit_start")] == 1 and counts[("end", "unit_end")] == 1 and counts[("end", "hard")] >= 1 and counts[("end", "sentence")] >= 2
+    assert chunking.chunk_problems(made, chunking.ChunkPolicy(30, 6)).count() == 0
