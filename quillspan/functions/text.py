@@ -57,11 +57,15 @@ def part_of(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, (start + 1).cast("int"), (end - start).cast("int"))
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """Every match of ``pattern`` with its span. What stands between matches gives the distances; Spark's own position
-    functions count UTF-16 units, which differ from code points."""
-    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
-    both = F.arrays_zip(hits.alias("hit"), F.slice(gaps, 1, F.size(hits)).alias("gap"))
+#: Matches that one inner loop adds up; loops over blocks keep long lists of matches from costing their square.
+BLOCK = 64
+
+
+def _summed(both: Column) -> Column:
+    """Spans from (hit, gap) pairs: what stands between matches gives the distances."""
+
+    def length(x: Column) -> Column:
+        return F.length(x["gap"]) + F.length(x["hit"])
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
@@ -69,8 +73,30 @@ def spans(text: Column, pattern: str) -> Column:
         row = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"))
         return F.struct(F.concat(acc["out"], F.array(row)).cast(SPAN).alias("out"), end.alias("at"))
 
-    zero = F.struct(F.array().cast(SPAN).alias("out"), F.lit(0).alias("at"))
-    return F.when(text.rlike(pattern), F.aggregate(both, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
+    def block_starts(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda acc, x: acc + length(x)))
+        zero = F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("at"))
+        return F.aggregate(totals, zero, lambda acc, n: F.struct(F.concat(acc["out"], F.array(acc["at"])).alias("out"), (acc["at"] + n).alias("at")), lambda acc: acc["out"])
+
+    def inner(z: Column) -> Column:
+        zero = F.struct(F.array().cast(SPAN).alias("out"), z["start"].alias("at"))
+        return F.aggregate(z["block"], zero, step, lambda acc: acc["out"])
+
+    def joined(blocks: Column) -> Column:
+        return F.flatten(F.transform(F.arrays_zip(blocks.alias("block"), block_starts(blocks).alias("start")), inner))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(both) - 1) / BLOCK).cast("int")), lambda b: F.slice(both, b * BLOCK + 1, F.lit(BLOCK)))
+    return F.transform(F.array(blocks), joined)[0]
+
+
+def spans(text: Column, pattern: str) -> Column:
+    """Every match of ``pattern`` with its span; Spark's own position functions count UTF-16 units, which differ from code
+    points. Lists are bound to names by one-element arrays, so each regular expression runs once."""
+    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1)
+    pairs = F.arrays_zip(hits.alias("hit"), gaps.alias("gap"))  # one gap more than hits: what follows the last
+    pairs = F.transform(F.array(pairs), lambda p: F.slice(p, 1, F.size(p) - 1))[0]
+    found = F.transform(F.array(pairs), lambda p: F.when(F.size(p) > 0, _summed(p)).otherwise(F.array().cast(SPAN)))[0]
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
 
 
 def cjk_ratio(col: Column) -> Column:

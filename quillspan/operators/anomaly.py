@@ -272,6 +272,15 @@ def neighbour_cosines(grams: DataFrame) -> DataFrame:
     return pairs.select("source_id", (F.col("window_no") + 1).alias("window_no"), cosine.alias("cosine"))
 
 
+def window_cosines(windows: DataFrame, kept: str = "[^a-z]") -> DataFrame:
+    """The same figures from whole windows: each is sent once to its source's place and compared with the one before; rows
+    are windows, not bigrams, so this is the way for large corpora."""
+    plain = windows.select("source_id", "window_no", F.regexp_replace(F.lower("window"), kept, "").alias("plain")).where(F.length("plain") > 1)
+    before = F.lag(F.struct("window_no", "plain")).over(in_order("window_no"))
+    both = plain.withColumn("before", before).where(F.col("before.window_no") == F.col("window_no") - 1)
+    return both.select("source_id", "window_no", bigram_cosine(F.col("before.plain"), F.col("plain")).alias("cosine"))
+
+
 def shift_signals(windows: DataFrame, policy: AnomalyPolicy) -> DataFrame:
     """P-36: windows with the signals that speak against the one before. A lexical break is needed; entity turnover,
     register and sentence length are one signal each."""

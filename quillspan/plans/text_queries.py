@@ -10,6 +10,7 @@ from quillspan.operators import anomaly, chunking, structure
 from quillspan.operators.anomaly import AnomalyPolicy
 from quillspan.operators.lines import in_order, physical_lines
 from quillspan.sources import ingest
+from quillspan.sources.scratch import cut
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -41,7 +42,10 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; texts that come in fewer splits than there are cores (one small file) are dealt out over all."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in ("documents", "pages") and df.rdd.getNumPartitions() < cores else df
 
 
 def doc_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,6 +251,12 @@ SELECT n2.doc_id, n2.window_no, round(coalesce(dot, 0) / sqrt(n1.norm::DOUBLE *
 FROM norms n1 JOIN norms n2 ON n1.doc_id = n2.doc_id AND n2.window_no = n1.window_no + 1 LEFT JOIN dots d ON d.doc_id = n2.doc_id AND d.window_no = n2.window_no""",
 )
 def window_cosine(spark, sf_dir):
+    out = anomaly.window_cosines(anomaly.char_windows(doc_sources(spark, sf_dir), 800, 800, 240))
+    return named(out.select("source_id", "window_no", F.round("cosine", 6).alias("cosine")))
+
+
+@query("window_cosine_by_joins", ORACLE_SQL["window_cosine"])
+def window_cosine_by_joins(spark, sf_dir):
     out = anomaly.neighbour_cosines(_grams(spark, sf_dir))
     return named(out.select("source_id", "window_no", F.round("cosine", 6).alias("cosine")))
 
@@ -466,4 +476,5 @@ def chunk_invariants(spark, sf_dir):
 @query("anomaly_report_of_documents")
 def anomaly_report_of_documents(spark, sf_dir):
     """Every rule over every document, counted by category and rule; the mosaic and collage rules have no SQL."""
-    return anomaly.inspect_anomalies(doc_sources(spark, sf_dir)).groupBy("category", "rule_id").agg(F.count("*").alias("n"))
+    lines = cut(doc_lines(spark, sf_dir), "lines")
+    return anomaly.inspect_anomalies(doc_sources(spark, sf_dir), lines=lines).groupBy("category", "rule_id").agg(F.count("*").alias("n"))
