@@ -56,3 +56,39 @@ def test_odd_rows(spark):
     out = drop_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string, version int"))
     assert sorted(map(tuple, out.collect()), key=str) == sorted([(None, 2, 0, text), (1, 2, 2, ""), (1, 2, 2, ""), (2, 0, 0, None)], key=str)
     assert drop_repeated_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_passages_of_few_whole_sentences(spark):
+    """Passages of 50 to 120 words with 0, 1 or 2 whole sentences inside, glued to what surrounds them."""
+    rng = random.Random(5)
+    words = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(n)]
+    rows, planted = [], []
+    for whole in (0, 1, 2):
+        for _ in range(40):
+            passage = words(rng.randint(50, 120))
+            for end in sorted(rng.sample(range(10, len(passage) - 10), whole + 1 if whole else rng.randint(0, 1))):
+                passage[end] += rng.choice([".", '."', "!)", "。"])
+            planted.append(set(passage))
+            for k in range(2):
+                around = [words(rng.randint(0, 40)) for _ in range(2)]
+                rows.append((2 * len(planted) + k, " ".join(around[0] + passage + around[1])))
+    out = {r.doc_id: r for r in drop_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, passage in enumerate(planted):
+        first, second = 2 * k + 2, 2 * k + 3
+        assert out[first].text == dict(rows)[first] and out[first].n_removed == 0
+        kept = out[second].text.split()
+        assert out[second].n_removed > 0 and sum(w in passage for w in kept) < len(passage)
+        assert set(dict(rows)[second].split()) - passage <= set(kept)
+    stay = sum(w in p for k, p in enumerate(planted) for w in out[2 * k + 3].text.split())
+    assert stay < 0.3 * sum(map(len, planted))
+
+
+def test_texts_without_ascii_ends(spark):
+    rng = random.Random(6)
+    signs = lambda n: "".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(n))
+    chinese = "。".join(signs(12) for _ in range(6)) + "。"
+    symbols = " ".join(f"{signs(1)}x{rng.randint(0, 10**6)}®" for _ in range(60))
+    texts = [signs(30) + chinese + signs(30), signs(7) + chinese + signs(9), "to " * 90, "he " + "to " * 60, f"a list {symbols} of words", f"another {symbols} one"]
+    out = {r.doc_id: r.text for r in drop_repeated_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert out[0] == texts[0] and out[4] == texts[4]
+    assert len(out[1]) < 50 and out[3] == "he " and len(out[5]) < 0.4 * len(texts[5])
