@@ -33,7 +33,7 @@ GENERATORS = (
     ("phone", r"(?<![0-9+])00[1-9][0-9]{0,2}[\x20()./-]{1,2}[0-9][0-9\x20()./-]{5,16}[0-9](?![0-9])"),
 )
 #: A text without any of these has no candidate.
-GENERATOR_NEEDS = r"(?i)[\[({<]\s?at\s?[\])}>]| at [a-z0-9-]{1,63}+ dot |[0-9a-f]:{1,2}[0-9a-f]{1,4}:|[0-9]\)?[._/\x20-]{1,3}[0-9]"
+GENERATOR_NEEDS = r"(?i)[\[({<]\s?at\s?[\])}>]| at [a-z0-9-]{1,63}+ dot |[0-9a-f]:{1,2}[0-9a-f]{1,4}:|[0-9]\)?[._/\x20-]{1,3}[0-9]|00[1-9][0-9]{0,2}[\x20()./-]{1,2}[0-9]"
 #: Words before a candidate that speak for its kind, and words that speak for something else.
 CUES = {
     "email": r"(?i)\b(?:e-?mail|mail|contact|write|reach|correo|courriel)\b",

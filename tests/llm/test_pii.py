@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+from quillspan.llm import pii
 from quillspan.llm.pii import KINDS, op1_pii, personal_data, redacted
 
 PATTERNS = {
@@ -72,3 +73,25 @@ def test_query_digests(spark):
 
 def test_empty_table(spark):
     assert personal_data(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_gate_holds_for_every_generator():
+    """Whatever a generator matches, alone in a text, passes the gate."""
+    rng = random.Random(3)
+    parts = ["0", "12", "0049", "0044", "3456", "12345678", "a", "Fe80", "Max", " at ", " dot ", "(at)", "[ AT ]", "{dot}", ".", ":", "::", "/", "-", "_", " ", "  ", "(", ")", ") ", "(0)"]
+    groups = ["1234", "9876", "555", "20", "0049", "(030)", "x"]
+    hits = dict.fromkeys(range(len(pii.GENERATORS)), 0)
+    texts = ["tel 0049 (30)12345678", "0044 (0)2079460958"] + ["".join(rng.choice(parts) for _ in range(rng.randint(3, 9))) for _ in range(200_000)]
+    texts += [rng.choice([" ", "-", ". ", " / ", "_", "("]).join(rng.choice(groups) for _ in range(rng.randint(3, 6))) for _ in range(20_000)]
+    for text in texts:
+        for n, (_, pattern) in enumerate(pii.GENERATORS):
+            for m in re.finditer(pattern, text):
+                hits[n] += 1
+                assert re.search(pii.GENERATOR_NEEDS, m[0]), (n, m[0])
+    assert min(hits.values()) > 20, hits
+
+
+def test_bracketed_phone_is_a_candidate(spark):
+    rows = [("tel 0049 (30)12345678",), ("0044 (0)2079460958",)]
+    found = pii.candidates(spark.createDataFrame(rows, "text string")).collect()
+    assert all(len(r.found) > 0 for r in found)
