@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import re
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,12 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import small_batches
+from .storage import new_path, remove, small_batches
 from .textkernel import ALNUM, LOWER, U64, arrow_bytes, hash_words, slices, split_words
 
 #: Words of a window; text bytes of an index; every so many text positions a suffix position is kept; benchmark
 #: bytes that are searched in one pass over the documents.
 WINDOW, SHARD_BYTES, SAMPLE, BENCHMARK_BYTES = 10, 2 << 20, 8, 32 << 20
+_WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
 class Wavelet:
@@ -137,18 +140,56 @@ def windows_of(items: list[tuple[object, str | None]]) -> tuple[np.ndarray, np.n
     col = pa.array([t for _, t in items], pa.string())
     data, offsets = arrow_bytes(col)
     words, bounds = _words(col, 0, len(items), data, offsets)
-    found: dict[tuple[int, ...], set[str]] = {}
-    for (item, _), a, b in zip(items, bounds[:-1], bounds[1:], strict=True):
-        for at in range(a, max(b - WINDOW, a) + 1 if b > a else a):
-            found.setdefault(tuple(words[at : min(b, at + WINDOW)].tolist()), set()).add(str(item))
-    patterns = np.zeros((len(found), WINDOW), np.uint64)
-    for row, window in zip(patterns, found, strict=True):
-        row[WINDOW - len(window) :] = window
-    return patterns, np.array([len(w) for w in found], np.int64), [sorted(x) for x in found.values()]
-
-
-def _searcher(patterns: np.ndarray, lengths: np.ndarray, owners: list[list[str]], clean_rows: bool = False):
-    """Describes each text, or passes the rows without an occurrence on as they are."""
+    n = np.diff(bounds)
+    count = np.where(n > 0, np.maximum(n - WINDOW + 1, 1), 0)
+    owner, length = np.repeat(np.arange(len(n)), count), np.repeat(np.minimum(n, WINDOW), count)
+    past = np.repeat(bounds[:-1] - np.cumsum(count) + count, count) + np.arange(len(owner)) + length
+    rows = np.zeros((len(owner), WINDOW + 1), np.uint64)
+    rows[:, WINDOW] = length
+    for back in range(1, WINDOW + 1):
+        some = np.flatnonzero(length >= back)
+        rows[some, WINDOW - back] = words[past[some] - back]
+    order = np.lexsort(rows.T)
+    rows, owner = rows[order], owner[order]
+    head = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])[: len(rows)])
+    names = [str(item) for item, _ in items]
+    owners = [sorted({names[k] for k in owner[x:y].tolist()}) for x, y in zip(head, np.append(head[1:], len(rows))[: len(head)], strict=True)]
+    return rows[head, :WINDOW], rows[head, WINDOW].astype(np.int64), owners
+
+
+def _pieces(text: str) -> Iterator[str]:
+    """An item of over BENCHMARK_BYTES in pieces of about as much, which share WINDOW - 1 words with the next: every
+    window of the item is one of a piece, and the other way round."""
+    start, seen, recent = 0, 0, deque(maxlen=WINDOW - 1)
+    for word in _WORD.finditer(text):
+        if seen >= WINDOW and (word.end() - start) * 4 > BENCHMARK_BYTES:
+            yield text[start : recent[-1][1]]
+            start, seen = recent[0][0], len(recent)
+        recent.append(word.span())
+        seen += 1
+    yield text[start:]
+
+
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[object, str | None]]]:
+    """The items in blocks of about BENCHMARK_BYTES of text at most, which come to the driver one after the other."""
+    rows = benchmark.select("item_id", "text")
+    if (benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= BENCHMARK_BYTES:
+        yield [(r.item_id, r.text) for r in rows.collect()]
+        return
+    block, size = [], 0
+    for r in rows.where("text is not null").toLocalIterator():
+        for text in _pieces(r.text) if len(r.text.encode()) > BENCHMARK_BYTES else [r.text]:
+            own = len(text.encode())
+            if block and size + own > BENCHMARK_BYTES:
+                yield block
+                block, size = [], 0
+            block.append((r.item_id, text))
+            size += own
+    yield block
+
+
+def _searcher(patterns: np.ndarray, lengths: np.ndarray, owners: list[list[str]], clean_rows: bool = False, more: bool = False):
+    """Describes each text, and keeps it for one more pass, or passes the rows without an occurrence on as they are."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,20 +206,28 @@ def _searcher(patterns: np.ndarray, lengths: np.ndarray, owners: list[list[str]]
                 if clean_rows:
                     yield batch.slice(a, b - a).filter(pa.array(np.bincount(doc, minlength=b - a) == 0))
                     continue
+                spans, items = [[] for _ in range(b - a)], [set() for _ in range(b - a)]
+                for d, w in zip(doc.tolist(), which.tolist(), strict=True):
+                    items[d].update(owners[w])
+                end = at + lengths[which]
+                if "spans" in batch.schema.names:  # what the passes before have found
+                    before = batch.column("spans").slice(a, b - a).to_pylist()
+                    for d, ids in enumerate(batch.column("items").slice(a, b - a).to_pylist()):
+                        items[d].update(ids)
+                    row = np.repeat(np.arange(b - a), [len(x) // 2 for x in before])
+                    known = np.array([x for own in before for x in own], np.int64).reshape(-1, 2) + index.starts[row][:, None]
+                    doc, at, end = np.concatenate([doc, row]), np.concatenate([at, known[:, 0]]), np.concatenate([end, known[:, 1]])
                 change = np.zeros(len(index.last) + 1, np.int64)
                 np.add.at(change, at, 1)
-                np.add.at(change, at + lengths[which], -1)
+                np.add.at(change, end, -1)
                 hit = np.cumsum(change) > 0
                 turn = np.lexsort((at, doc))
-                spans, items = [[] for _ in range(b - a)], [set() for _ in range(b - a)]
-                for d, start, w in zip(doc[turn].tolist(), at[turn].tolist(), which[turn].tolist(), strict=True):
-                    items[d].update(owners[w])
-                    start -= int(index.starts[d])
-                    end = start + int(lengths[w])
+                for d, start, past in zip(doc[turn].tolist(), at[turn].tolist(), end[turn].tolist(), strict=True):
+                    start, past = start - int(index.starts[d]), past - int(index.starts[d])
                     if spans[d] and start <= spans[d][-1][1]:
-                        spans[d][-1][1] = max(end, spans[d][-1][1])
+                        spans[d][-1][1] = max(past, spans[d][-1][1])
                     else:
-                        spans[d].append([start, end])
+                        spans[d].append([start, past])
                 counted = np.concatenate([[0], np.cumsum(hit)])
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -187,8 +236,9 @@ def _searcher(patterns: np.ndarray, lengths: np.ndarray, owners: list[list[str]]
                         pa.array(counted[index.starts[1:]] - counted[index.starts[:-1]]),
                         pa.array([sorted(x) for x in items], pa.list_(pa.string())),
                         pa.array([[x for span in s for x in span] for s in spans], pa.list_(pa.int64())),
+                        *([batch.column("text").slice(a, b - a)] if more else []),
                     ],
-                    names=["doc_id", "n_words", "n_hit", "items", "spans"],
+                    names=["doc_id", "n_words", "n_hit", "items", "spans", *(["text"] if more else [])],
                 )
 
     return search
@@ -204,26 +254,32 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     to removal spans: spans lists begin and end of each in turn, in words; n_hit counts the words inside; items holds
     the ids (as strings, sorted) of items with a window that occurs.
 
-    Documents are not shuffled, and an index lives only while its shard is searched. The benchmark must be at most
-    BENCHMARK_BYTES of text (it is measured, and more is refused: split it and merge the results), as each task gets
-    its windows. Null and empty texts have no words; items without words have no windows; repeated rows are treated
-    alike, and so are null ids. Extra columns are ignored; an empty table gives an empty result.
+    Documents are not shuffled, and an index lives only while its shard is searched. Each task gets the windows of at
+    most BENCHMARK_BYTES of text; a larger benchmark (it is measured) takes several passes over the documents, which are
+    written between them with what was found. Null and empty texts have no words; items without words have no windows;
+    repeated rows are treated alike, and so are null ids. Extra columns are ignored; an empty table gives an empty result.
     """
     schema = "doc_id long, n_words long, n_hit long, items array<string>, spans array<long>"
     docs = small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.mapInArrow(_searcher(*_windows(benchmark)), schema)
+    return _in_passes(docs, benchmark, schema, f"{schema}, text string", False)
 
 
-def _windows(benchmark: DataFrame) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > BENCHMARK_BYTES:
-        raise ValueError(f"the benchmark has {size} bytes; at most {BENCHMARK_BYTES} can be searched in one pass")
-    return windows_of([(r.item_id, r.text) for r in benchmark.select("item_id", "text").collect()])
+def _in_passes(rows: DataFrame, benchmark: DataFrame, schema, between, clean_rows: bool) -> DataFrame:
+    """``rows`` searched for one block of the benchmark after the other; only the last pass is lazy."""
+    spark, blocks, old = rows.sparkSession, _blocks(benchmark), None
+    block = next(blocks)
+    for following in blocks:
+        path = new_path(spark, "decontamination")
+        rows.mapInArrow(_searcher(*windows_of(block), clean_rows, True), between).write.parquet(path)
+        if old:
+            remove(spark, old)
+        rows, old, block = spark.read.schema(between).parquet(path), path, following
+    return rows.mapInArrow(_searcher(*windows_of(block), clean_rows), schema)
 
 
 def without_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``documents`` (text, ...) in whose text no window occurs, with all their columns, unshuffled."""
-    return small_batches(documents).mapInArrow(_searcher(*_windows(benchmark), clean_rows=True), documents.schema)
+    return _in_passes(small_batches(documents), benchmark, documents.schema, documents.schema, True)
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:

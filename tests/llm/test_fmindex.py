@@ -62,3 +62,21 @@ def test_index_parts():
     low, high = index.search(np.array([[0, 7, 9], [0, 9, 7], [7, 7, 9]], np.uint64), np.array([2, 2, 3]))
     assert (high - low).tolist() == [2, 1, 2]
     assert sorted(index.locate(np.arange(low[0], high[0]))) == [1, 6]
+
+
+def test_benchmark_in_several_passes(spark, monkeypatch):
+    """A benchmark over the bound of one pass, with an item that is over it alone."""
+    rng = random.Random(7)
+    text = lambda n: " ".join(rng.choice(["a", "bb", "É1", "the", "of", "x-y"]) for _ in range(n))
+    items = [(i, text(rng.choice([2, 5, 9, 10, 14]))) for i in range(20)] + [(90, ""), (91, None), (92, text(150))]
+    docs = [(i, text(rng.choice([0, 1, 9, 80]))) for i in range(20)] + [(None, items[3][1]), (7, None)]
+    cut = words(items[-1][1])
+    docs += [(100 + i, f"zz {' '.join(cut[i : i + 12])} zz {items[i % 20][1]} {items[0][1]}") for i in range(0, 130, 3)]
+    documents, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    once = sorted(map(str, contamination(documents, benchmark).collect()))
+    monkeypatch.setattr("quillspan.llm.fmindex.BENCHMARK_BYTES", 200)
+    got = contamination(documents, benchmark).collect()
+    assert {(r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in got} == brute(docs, items)
+    assert sorted(map(str, got)) == once
+    kept = without_contaminated(documents, benchmark).collect()
+    assert sorted(str(r.doc_id) for r in kept) == sorted(str(r.doc_id) for r in got if not r.n_hit)
