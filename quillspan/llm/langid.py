@@ -19,6 +19,10 @@ SPAN, HIDDEN, STEPS, BATCH, RATE = 16, 16, 500, 384, 0.01
 #: Words whose scores a worker keeps, and text bytes that it holds in numpy at once.
 CACHE_WORDS, SLICE_BYTES = 500_000, 1 << 20
 
+#: Bytes of letters from which a text counts as long, long texts that a calibration needs, the share of long known texts
+#: below the least score, and that of short ones above their slack.
+LONG, LEAST_LONG, LOST, WITHIN = 200, 50, 0.002, 0.99
+
 #: Words are runs of ASCII letters and of bytes above ASCII.
 LETTERS = np.zeros(256, dtype=bool)
 LETTERS[0x41:0x5B] = LETTERS[0x61:0x7B] = LETTERS[0x80:] = True
@@ -243,8 +247,42 @@ def identify(documents: DataFrame, network: Network | None) -> DataFrame:
     return rows.mapInArrow(_predictor(network), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def in_known_language(documents: DataFrame, network: Network | None, least: float) -> DataFrame:
-    """The rows of ``documents`` (text, ...) with a predicted language of at least that score, with all their columns."""
+def _letters(column: pa.Array) -> np.ndarray:
+    """Bytes of letters of each text."""
+    data, offsets = arrow_bytes(column)
+    return np.diff(np.concatenate([[0], np.cumsum(LETTERS[data])])[offsets])
+
+
+def calibrate(labelled: DataFrame, network: Network | None) -> tuple[float, float] | None:
+    """Least score and slack for in_known_language, from ``labelled`` (doc_id, text, lang) in the network's languages, which
+    it has not learned from; None if fewer than LEAST_LONG of them are long.
+
+    The least score is the LOST quantile of long texts. A mean over n letters strays by about 1 / sqrt(n), so shorter
+    texts get a slack of that form, by which WITHIN of them reach it. It looks at as many documents as training does.
+    """
+    if network is None:
+        return None
+    labelled = labelled.where(F.col("lang").isin(network.languages) & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    most = SAMPLE_DOCS * len(network.languages)
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
+    drawn = labelled.select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), place.alias("place"))
+    drawn = drawn.where(F.col("place") < min(1.0, 2.0 * most / max(labelled.count(), 1)))
+    texts = pa.array([r.text for r in drawn.orderBy("place", "text").limit(most).collect()], pa.string())
+    none = pa.nulls(len(texts), pa.bool_())
+    batch = pa.RecordBatch.from_arrays([pa.nulls(len(texts), pa.int64()), texts, none, none.fill_null(True)], names=["doc_id", "text", "held_out", "lettered"])
+    score = np.concatenate([[], *(part.column("score").to_numpy() for part in _predictor(network)(iter([batch])))])
+    n = _letters(texts)
+    score, n = score[n > 0], n[n > 0]
+    if (n >= LONG).sum() < LEAST_LONG:
+        return None
+    least = float(np.quantile(score[n >= LONG], LOST))
+    below = (least - score[n < LONG]) * np.sqrt(n[n < LONG])
+    return least, max(0.0, float(np.quantile(below, WITHIN, method="higher"))) if len(below) else 0.0
+
+
+def in_known_language(documents: DataFrame, network: Network | None, least: float, slack: float = 0.0) -> DataFrame:
+    """The rows of ``documents`` (text, ...) with a predicted language of at least that score, with all their columns; a
+    text with n bytes of letters may be below it by slack / sqrt(n)."""
     predict, schema = _predictor(network), documents.schema
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +298,8 @@ def in_known_language(documents: DataFrame, network: Network | None, least: floa
         for part in predict(described()):
             batch, at = held
             held[1] = at + part.num_rows
-            good = (part.column("score").to_numpy() >= least) & (part.column("lang_pred").to_numpy(zero_copy_only=False) != "und")
+            letters = _letters(batch.column("row").field("text").slice(at, part.num_rows))
+            good = (part.column("score").to_numpy() >= least - slack / np.sqrt(np.maximum(letters, 1))) & (part.column("lang_pred").to_numpy(zero_copy_only=False) != "und")
             row = batch.slice(at, part.num_rows).filter(pa.array(good)).column("row")
             yield pa.RecordBatch.from_arrays(row.flatten(), names=[f.name for f in schema])
 

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -53,3 +55,19 @@ def test_odd_documents(spark, tmp_path):
     documents.limit(0).write.parquet(f"{empty}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{empty}/benchmark.parquet")
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_unlearned_languages_go(spark):
+    """Long texts in an unlearned language and of random letters go, short and shouted ones of known languages stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(2)
+    random_letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(n))
+    german = [r.text for r in docs.where("lang = 'de' and n_chars > 1000").collect()]
+    known = docs.where("lang <> 'de'")
+    planted = [(10**6 + k, t) for k, t in enumerate(german)] + [(2 * 10**6 + k, random_letters(2000)) for k in range(40)]
+    planted += [(3 * 10**6, "The house."), (3 * 10**6 + 1, "la vie"), (3 * 10**6 + 2, "THE OF AND THAT THIS WITH FROM HAVE " * 20)]
+    extra = spark.createDataFrame(planted, "doc_id long, text string").selectExpr("doc_id", "text", "CAST(NULL AS string) AS lang", "'p' AS source", "length(text) AS n_chars")
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, known.unionByName(extra.select(known.columns)), "").select("doc_id").collect()}
+    gone = lambda low: sum(low <= k < low + 10**6 and k not in kept for k, _ in planted)
+    assert len(german) > 20 and gone(10**6) > 0.9 * len(german) and gone(2 * 10**6) == 40 and gone(3 * 10**6) == 0
+    assert known.count() - sum(k < 10**6 for k in kept if k is not None) < 0.01 * known.count()
