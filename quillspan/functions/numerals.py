@@ -9,6 +9,7 @@ from decimal import Decimal, InvalidOperation
 from functools import reduce
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
@@ -105,6 +106,25 @@ def plain_decimal(value: object) -> str | None:
     return format(number.normalize(), "f").lstrip("+") or "0" if number.is_finite() else None
 
 
+def ordinal_value(token: Column) -> Column:
+    """F-17 of a run of Chinese digits and units, by built-in functions."""
+    digit = F.create_map(*(F.lit(x) for kv in HEADING_DIGITS.items() for x in kv))
+    unit = F.create_map(*(F.lit(x) for kv in HEADING_UNITS.items() for x in kv))
+
+    def read(acc: Column, char: Column) -> Column:
+        whole, group, last = acc["whole"], acc["grp"], acc["last"]
+        small, large = unit[char] < 10_000, unit[char] >= 10_000
+        one = lambda c: F.when(c == 0, F.lit(1).cast("long")).otherwise(c)
+        return F.struct(
+            F.when(large, whole + one(group + last) * unit[char]).otherwise(whole).alias("whole"),
+            F.when(large, F.lit(0).cast("long")).when(small, group + one(last) * unit[char]).otherwise(group).alias("grp"),
+            F.when(digit[char].isNotNull(), digit[char].cast("long")).otherwise(F.lit(0).cast("long")).alias("last"),
+        )
+
+    zero = F.struct(*(F.lit(0).cast("long").alias(n) for n in ("whole", "grp", "last")))
+    return F.aggregate(F.filter(F.split(token, ""), lambda c: c != ""), zero, read, lambda acc: acc["whole"] + acc["grp"] + acc["last"])
+
+
 @F.pandas_udf(LongType())
 def claim_integer_of(values: pd.Series) -> pd.Series:
     return values.map(lambda s: claim_integer(s), na_action="ignore").astype("Int64")

@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cache
 from hashlib import sha256
 
 import pandas as pd
@@ -32,8 +34,7 @@ PERMITS = ("可以", "能够", "允许", "准许", "获准", "有权", "可", "i
 FORBIDS = ("不可以", "不可", "不能", "不允许", "禁止", "不得", "无权", "is not allowed to", "may not", "cannot", "can't", "must not")
 COUNTS = ("共有", "共计", "总计", "合计", "数量为", "数目为", "一共", "共", "total", "count", "has", "contains")
 DATES = ("出生于", "发生于", "始于", "截至", "日期", "时间", "date", "on", "since")
-GAP, PERMISSION_GAP = r"[^\n。！？!?；;，,:：]{0,24}?", r"[^\n。！？!?；;，,]{0,16}?"
-CLAUSE_BREAK, COUNT_BREAK = r"[\n。！？!?；;]+", r"[\n。！？!?；;，,]+"
+CLAUSE_BREAK, COUNT_BREAK = re.compile(r"[\n。！？!?；;]+"), re.compile(r"[\n。！？!?；;，,]+")
 TYPES = ("alias", "defeats", "located_in", "permission", "count", "date")
 VALIDATOR = "quillspan-claims-1"
 RESULT = (
@@ -71,15 +72,20 @@ def literal(text: str) -> str:
     return r"\s*".join(re.escape(p) for p in normal(text).split())
 
 
-_known: dict[tuple[str, ...], str] = {}
-
-
+@cache
 def any_of(markers: tuple[str, ...]) -> str:
     """F-10: alternatives; English words stand alone."""
-    if markers not in _known:
-        shape = lambda m: re.escape(m).replace(r"\ ", r"\s+")
-        _known[markers] = "(?:" + "|".join(rf"\b{shape(m)}\b" if re.fullmatch("[A-Za-z ]+", m) else shape(m) for m in markers) + ")"
-    return _known[markers]
+    shape = lambda m: re.escape(m).replace(r"\ ", r"\s+")
+    return "(?:" + "|".join(rf"\b{shape(m)}\b" if re.fullmatch("[A-Za-z ]+", m) else shape(m) for m in markers) + ")"
+
+
+COUNT_CUE = re.compile(any_of(COUNTS), re.I)
+
+
+@cache
+def _alternatives(markers: tuple[str, ...]) -> tuple[re.Pattern, tuple[re.Pattern, ...]]:
+    """Where a marker begins, and each marker by itself."""
+    return re.compile(f"(?={any_of(markers)})", re.I), tuple(re.compile(any_of((m,)), re.I) for m in markers)
 
 
 def modal(text: str, start: int, end: int) -> bool:
@@ -87,26 +93,113 @@ def modal(text: str, start: int, end: int) -> bool:
     return bool(MODAL.search(text[max(0, start - 24) : end + 8]))
 
 
+def _plain(text: str) -> bool:
+    """Whether only ASCII letters of a text have case, so that lower-casing it is what ignoring case means."""
+    return text.isascii() or not any(c > "\x7f" and (c.lower() != c or c.upper() != c) for c in text)
+
+
+def places(low: str, words: list[str], at: int = 0) -> Iterator[Span]:
+    """Every place of lower-case ``words`` in the lower-case text, any white space between them; places may overlap."""
+    while (at := low.find(words[0], at)) >= 0:
+        end = at + len(words[0])
+        for word in words[1:]:
+            while end < len(low) and low[end].isspace():
+                end += 1
+            if not low.startswith(word, end):
+                break
+            end += len(word)
+        else:
+            yield at, end
+        at += 1
+
+
+def apart(found: Iterable[Span]) -> Iterator[Span]:
+    """The first of the spans, then each that begins where the one before has ended or later."""
+    last = 0
+    for start, end in found:
+        if start >= last:
+            last = end
+            yield start, end
+
+
+def literal_spans(text: str, name: str) -> list[Span]:
+    """F-09: all matches of a literal, in whatever case, one after the other. Names differ from row to row, so no pattern is
+    compiled for one unless it has letters whose case folding is not plain."""
+    words = normal(name).split()
+    if words and _plain(text) and _plain(name):
+        return list(apart(places(text.lower(), [w.lower() for w in words])))
+    return [m.span() for m in re.finditer(literal(name), text, re.I)]
+
+
+@dataclass(frozen=True)
+class Gap:
+    """What may lie between the parts of a relation: at most so many characters, none of the breaks."""
+
+    size: int
+    breaks: re.Pattern
+
+    def pattern(self) -> str:
+        return f"[^{self.breaks.pattern[1:-1]}]{{0,{self.size}}}?"
+
+
+GAP, PERMISSION_GAP = Gap(24, re.compile("[\n。！？!?；;，,:：]")), Gap(16, re.compile("[\n。！？!?；;，,]"))
+
+
+def relations(text: str, left: str, markers: tuple[str, ...], right: str, gap: Gap = GAP) -> list[Span]:
+    """F-11: spans of ``left`` (may be empty), a marker and ``right``, close together and within a clause: what the lazy
+    pattern left-gap-marker-gap-right finds, from the places of its parts."""
+    heads, ends = normal(left).split(), normal(right).split()
+    starts, each = _alternatives(markers)
+    marked = [(m.start(), [x.end() for p in each if (x := p.match(text, m.start()))]) for m in starts.finditer(text)]
+    if not marked:
+        return []
+    if not ends or (left and not heads) or not (_plain(text) and _plain(left) and _plain(right)):
+        before = f"{literal(left)}{gap.pattern()}" if left else ""
+        return [m.span() for m in re.finditer(f"{before}{any_of(markers)}{gap.pattern()}{literal(right)}", text, re.I)]
+    low = text.lower()
+    tails = list(places(low, [w.lower() for w in ends]))
+    if not tails:
+        return []
+    breaks = [m.start() for m in gap.breaks.finditer(text)]
+
+    def reach(at: int) -> int:
+        """The last place where what follows ``at`` after a gap may begin."""
+        k = bisect_left(breaks, at)
+        return min(at + gap.size, breaks[k] if k < len(breaks) else len(text))
+
+    def close(options: list[int]) -> int | None:
+        """Where a match ends whose marker ends at one of ``options``, the first that has ``right`` behind it."""
+        for at in options:
+            k = bisect_left(tails, (at, 0))
+            if k < len(tails) and tails[k][0] <= reach(at):
+                return tails[k][1]
+        return None
+
+    closed = [(start, end) for start, options in marked if (end := close(options)) is not None]
+
+    def opened() -> Iterator[Span]:
+        for start, at in places(low, [w.lower() for w in heads]):
+            k = bisect_left(closed, (at, 0))
+            if k < len(closed) and closed[k][0] <= reach(at):
+                yield start, closed[k][1]
+
+    return list(apart(opened() if heads else closed))
+
+
 class Matches:
-    """Matches of a pattern by whether they are negated and whether they are asserted (F-12, P-28)."""
+    """Spans by whether they are negated and whether they are asserted (F-12, P-28)."""
 
-    def __init__(self, evidence: str, *patterns: str, left_context: int = 0):
+    def __init__(self, evidence: str, found: list[Span], left_context: int = 0):
         self.sets: dict[tuple[bool, bool], list[Span]] = {(n, a): [] for n in (False, True) for a in (False, True)}
-        for pattern in patterns:
-            for m in re.finditer(pattern, evidence, re.I):
-                denied = bool(NEGATED.search(evidence[max(0, m.start() - left_context) : m.end()]))
-                self.sets[denied, not modal(evidence, m.start(), m.end())].append(m.span())
+        for start, end in found:
+            denied = bool(NEGATED.search(evidence[max(0, start - left_context) : end]))
+            self.sets[denied, not modal(evidence, start, end)].append((start, end))
 
     def get(self, negated: bool | None = None, asserted: bool = True) -> list[Span]:
         """Matches, negated or not (None: both)."""
         return [s for n in (False, True) if negated in (None, n) for s in self.sets[n, asserted]]
 
 
-def relation(left: str, right: str, markers: tuple[str, ...]) -> str:
-    """F-11: both names around a marker, close to it and within its clause."""
-    return f"{literal(left)}{GAP}{any_of(markers)}{GAP}{literal(right)}"
-
-
 def decide(ladder: list[tuple[object, str, str, list[Span]]]) -> Verdict:
     """The first step whose condition holds."""
     return next(Verdict(status, reason, tuple(spans)) for holds, status, reason, spans in ladder if holds)
@@ -119,7 +212,7 @@ def alias(c: Claim, evidence: str) -> Verdict:
     """P-22: symmetric."""
     if not (c.subject and c.object):
         return Verdict("rejected", "ALIAS_TERMS_REQUIRED")
-    found = Matches(evidence, relation(c.subject, c.object, ALIAS), relation(c.object, c.subject, ALIAS))
+    found = Matches(evidence, relations(evidence, c.subject, ALIAS, c.object) + relations(evidence, c.object, ALIAS, c.subject))
     yes, no, perhaps = found.get(False), found.get(True), found.get(None, False)
     return decide(
         [
@@ -136,7 +229,7 @@ def directed(c: Claim, evidence: str, markers: tuple[str, ...], accepted: str) -
     """P-23: the direction counts."""
     if not (c.subject and c.object):
         return Verdict("rejected", "RELATION_TERMS_REQUIRED")
-    ahead, back = Matches(evidence, relation(c.subject, c.object, markers)), Matches(evidence, relation(c.object, c.subject, markers))
+    ahead, back = (Matches(evidence, relations(evidence, a, markers, b)) for a, b in ((c.subject, c.object), (c.object, c.subject)))
     yes, no, turned = ahead.get(False), ahead.get(True), back.get(False)
     perhaps = ahead.get(None, False) + back.get(False, False)
     return decide(
@@ -155,9 +248,8 @@ def permission(c: Claim, evidence: str) -> Verdict:
     """P-24: the polarity counts; a negation up to six characters before makes a permission none."""
     if not c.object:
         return Verdict("rejected", "PERMISSION_ACTION_REQUIRED")
-    who = f"{literal(c.subject)}{PERMISSION_GAP}" if c.subject else ""
-    shape = lambda ms: f"{who}{any_of(ms)}{PERMISSION_GAP}{literal(c.object)}"
-    allowed, barred = Matches(evidence, shape(PERMITS), left_context=6), Matches(evidence, shape(FORBIDS))
+    found = lambda markers: relations(evidence, c.subject, markers, c.object, PERMISSION_GAP)
+    allowed, barred = Matches(evidence, found(PERMITS), left_context=6), Matches(evidence, found(FORBIDS))
     both = [allowed.get(False), barred.get(None)]
     same, other = both if c.polarity else both[::-1]
     perhaps = allowed.get(False, False) + barred.get(None, False)
@@ -172,12 +264,16 @@ def permission(c: Claim, evidence: str) -> Verdict:
     )
 
 
-def segments(evidence: str, breaks: str, subject: str, cues: tuple[str, ...]) -> list[tuple[int, str]]:
-    """F-13 to F-15: parts of the evidence that hold the subject and a cue, with their offsets."""
-    edges = [0, *(x for m in re.finditer(breaks, evidence) for x in m.span()), len(evidence)]
+def segments(evidence: str, breaks: re.Pattern, subject: str, cues: tuple[str, ...]) -> list[tuple[int, str]]:
+    """F-13 to F-15: parts of the evidence that hold the subject and a cue (all given folded), with their offsets."""
+    edges = [0, *(x for m in breaks.finditer(evidence) for x in m.span()), len(evidence)]
     parts = [(a, evidence[a:b]) for a, b in zip(edges[::2], edges[1::2], strict=True) if b > a]
-    fold = lambda s: normal(s).casefold()
-    return [(a, p) for a, p in parts if fold(subject) in fold(p) and any(fold(cue) in fold(p) for cue in cues)]
+    held, name = [], normal(subject).casefold()
+    for a, part in parts:
+        folded = normal(part).casefold()
+        if name in folded and any(cue in folded for cue in cues):
+            held.append((a, part))
+    return held
 
 
 def _valued(exact: dict[bool, list[Span]], seen: dict[bool, set], expected: object, kind: str) -> Verdict:
@@ -206,8 +302,8 @@ def count(c: Claim, evidence: str) -> Verdict:
     exact, seen = {True: [], False: []}, {True: set(), False: set()}
     for offset, part in parts:
         sure = not MODAL.search(part)
-        owners = [m.span() for m in re.finditer(literal(c.subject), part, re.I)]
-        cues = [m.span() for m in re.finditer(any_of(COUNTS), part, re.I)]
+        owners = literal_spans(part, c.subject)
+        cues = [m.span() for m in COUNT_CUE.finditer(part)]
         for number, a, b in numbers_in(part):
             before = [cue for cue in cues if cue[1] <= a]
             inside = any(x < b and a < y for x, y in owners)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Callable
 from functools import reduce
 
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from quillspan.functions.text import folded, nfkc, sha, stable_id
+from quillspan.sources.scratch import cut
 
-from .claims import any_of, literal
+from .claims import any_of, literal, literal_spans
 from .lines import FIRST, LAST
 
 # The wording of time, date scopes and identity.
@@ -45,7 +47,7 @@ def surface_span(evidence: pd.Series, surface: pd.Series, spans: pd.Series) -> p
     """O-10: the occurrence of a surface that is nearest to the first matched span, of those that touch a matched one."""
 
     def place(text: str, name: str, matched: list[dict]) -> list[int] | None:
-        found = [m.span() for m in re.finditer(literal(name), text, re.I)] if name else []
+        found = literal_spans(text, name) if name else []
         touching = [s for s in found if any(s[0] < m["end"] and m["start"] < s[1] for m in matched)]
         anchor = matched[0]["start"] if len(matched) else 0
         best = min(touching or found, key=lambda s: (abs(s[0] - anchor), s), default=None)
@@ -76,41 +78,6 @@ def mentions(accepted: DataFrame) -> DataFrame:
     return rows.select(stable_id("men_", *(F.col(c) for c in ids)).alias("mention_id"), *ids, "surface", "inferred_type")
 
 
-class _Groups:
-    """Constrained merging of one source's mentions, in the order it is asked for: groups of different concrete types, or
-    with a forbidden pair across, stay apart."""
-
-    def __init__(self, types: dict[str, str], forbidden: set[frozenset[str]]):
-        self.home = {m: m for m in types}
-        self.members = {m: {m} for m in types}
-        self.types = {m: {t} - {"entity", "unknown"} for m, t in types.items()}
-        self.basis: dict[str, set[str]] = {m: set() for m in types}
-        self.forbidden = forbidden
-
-    def merge(self, a: str, b: str, basis: str) -> str | None:
-        """None if both are together now, else why not."""
-        x, y = self.home[a], self.home[b]
-        if x == y:
-            self.basis[x].add(basis)
-            return None
-        if self.types[x] and self.types[y] and self.types[x] != self.types[y]:
-            return "ENTITY_TYPE_CONFLICT"
-        few, many = sorted((self.members[x], self.members[y]), key=len)
-        if self.forbidden and any(frozenset((p, q)) in self.forbidden for p in few for q in many):
-            return "EXPLICIT_DIFFERENT_FROM_CONSTRAINT"
-        x, y = sorted((x, y), key=lambda g: (-len(self.members[g]), g))
-        for m in self.members[y]:
-            self.home[m] = x
-        self.members[x] |= self.members.pop(y)
-        self.types[x] |= self.types.pop(y)
-        self.basis[x] |= self.basis.pop(y) | {basis}
-        return None
-
-
-MERGED = "source_id string, mention_id string, component string, merge_basis array<string>"
-BLOCKED = "source_id string, conflict_type string, severity string, left_mention string, right_mention string, claim_result_id string, relation string"
-
-
 def identity_edges(found: DataFrame, accepted: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """J-12, J-14: edges in the order of merging: equal surfaces of a unit to its first, alias claims, then links. Kind:
     0 to 2, or 3 for ``different_from``."""
@@ -128,36 +95,78 @@ def identity_edges(found: DataFrame, accepted: DataFrame, links: DataFrame | Non
     return edges
 
 
+SETTLED = "source_id string, mention_id string, component string, merge_basis array<string>, blocked struct<conflict_type:string,severity:string,left_mention:string,right_mention:string,claim_result_id:string,relation:string>"
+BASIS = ("same_surface_same_unit", "accepted_alias_claim", "evidence_bound_same_as")
+
+
+def settle(types: dict[str, str], edges: list[tuple[int, str, str, str]]) -> tuple[dict[str, tuple[str, set[str]]], list[tuple]]:
+    """J-13 for one source: from mentions with their types and edges (kind, a, b, claim) in order, each mention's component
+    (its smallest mention) with the bases of its merges, and the edges that were refused.
+
+    A component is a tree of links up to its root, which holds what is known of it: the concrete type, the roots that it
+    must stay apart from, the bases. Foes are moved along when roots merge, so an edge costs no look at members."""
+    root = {m: m for m in types}
+    concrete = {m: None if t in ("entity", "unknown") else t for m, t in types.items()}
+    foes: dict[str, set[str]] = defaultdict(set)
+    bases: dict[str, set[str]] = defaultdict(set)
+
+    def top(m: str) -> str:
+        while root[m] != m:
+            root[m] = m = root[root[m]]
+        return m
+
+    for kind, a, b, _ in edges:
+        if kind == 3:
+            foes[a].add(b)
+            foes[b].add(a)
+    refused = []
+    for kind, a, b, claim in edges:
+        low, high = sorted((top(a), top(b)))
+        kinds = {concrete[low], concrete[high]} - {None}
+        if kind == 3:
+            why = "IDENTITY_CONSTRAINT_CONTRADICTION" if low == high else None
+        else:
+            why = None if low == high else "ENTITY_TYPE_CONFLICT" if len(kinds) > 1 else "EXPLICIT_DIFFERENT_FROM_CONSTRAINT" if high in foes[low] else None
+        if why:
+            refused.append((why, "review" if kind == 0 else "blocker", a, b, claim or None, {2: "same_as", 3: "different_from"}.get(kind)))
+        elif kind != 3:
+            if low != high:
+                root[high], concrete[low] = low, next(iter(kinds), None)
+                for other in foes.pop(high, ()):
+                    foes[other].discard(high)
+                    foes[other].add(low)
+                    foes[low].add(other)
+                bases[low] |= bases.pop(high, set())
+            bases[low].add(BASIS[kind])
+    return {m: (top(m), bases[top(m)]) for m in types}, refused
+
+
 def components(found: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """J-13: each mention's component, and the merges that were blocked. All edges lie within a source, and what is
-    blocked depends on their order, so a source's edges are one call; sources run in parallel."""
-    basis = {0: "same_surface_same_unit", 1: "accepted_alias_claim", 2: "evidence_bound_same_as"}
-
-    def solve(nodes: pd.DataFrame, pairs: pd.DataFrame) -> tuple[_Groups, list[tuple]]:
-        apart = {frozenset((r.a, r.b)) for r in pairs.itertuples() if r.kind == 3}
-        groups, blocked = _Groups(dict(zip(nodes.mention_id, nodes.inferred_type, strict=True)), apart), []
-        for r in pairs.sort_values(["kind", "rank", "a", "b"]).itertuples():
-            if r.kind == 3:
-                why = "IDENTITY_CONSTRAINT_CONTRADICTION" if groups.home[r.a] == groups.home[r.b] else None
-            else:
-                why = groups.merge(r.a, r.b, basis[r.kind])
-            if why:
-                relation = {2: "same_as", 3: "different_from"}.get(r.kind)
-                blocked.append((r.edge_source, why, "review" if r.kind == 0 else "blocker", r.a, r.b, r.claim or None, relation))
-        return groups, blocked
-
-    def merged(nodes: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        groups, _ = solve(nodes, pairs)
-        rows = [(r.source_id, r.mention_id, groups.home[r.mention_id], sorted(groups.basis[groups.home[r.mention_id]])) for r in nodes.itertuples()]
-        return pd.DataFrame(rows, columns=["source_id", "mention_id", "component", "merge_basis"])
-
-    def refused(nodes: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        rows = solve(nodes, pairs)[1] if len(nodes) else []
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in BLOCKED.split(", ")])
+    """J-13: each mention's component, and the merges that were blocked. All edges lie within a source, and what is blocked
+    depends on their order, so a source with edges is one call; sources run in parallel, and mentions that no edge names
+    stay out of it. Solved once and written: both results are read from it."""
+    edges = edges.where("a != b")
+    ends = edges.select("source_id", F.explode(F.array("a", "b")).alias("mention_id")).distinct()
+    bound = found.join(ends, ["source_id", "mention_id"], "left_semi")
+
+    def solve(nodes: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        pairs = pairs.sort_values(["kind", "rank", "a", "b"])
+        each = zip(pairs.kind, pairs.a, pairs.b, pairs.claim, strict=True)
+        homes, refused = settle(dict(zip(nodes.mention_id, nodes.inferred_type, strict=True)), list(each))
+        source = pairs.edge_source.iloc[0] if len(pairs) else None
+        rows = [(source, m, home, sorted(basis), None) for m, (home, basis) in homes.items()]
+        names = [x.split(":")[0] for x in SETTLED.split("struct<")[1][:-1].split(",")]
+        rows += [(source, None, None, None, dict(zip(names, r, strict=True))) for r in refused]
+        return pd.DataFrame(rows, columns=["source_id", "mention_id", "component", "merge_basis", "blocked"])
 
     edges = edges.select(F.col("source_id").alias("edge_source"), *(F.col(c).alias(c) for c in ("kind", "rank", "a", "b", "claim")))
-    both = found.groupBy("source_id").cogroup(edges.groupBy("edge_source"))
-    return both.applyInPandas(merged, MERGED), both.applyInPandas(refused, BLOCKED)
+    nodes = bound.select("source_id", "mention_id", "inferred_type")
+    done = cut(nodes.groupBy("source_id").cogroup(edges.groupBy("edge_source")).applyInPandas(solve, SETTLED), "identity")
+    own = done.where("mention_id is not null").select("source_id", "mention_id", F.col("component").alias("c"), F.col("merge_basis").alias("basis"))
+    none = F.array().cast("array<string>")
+    merged = found.select("source_id", "mention_id").join(own, ["source_id", "mention_id"], "left")
+    merged = merged.select("source_id", "mention_id", F.coalesce("c", "mention_id").alias("component"), F.coalesce("basis", none).alias("merge_basis"))
+    return merged, done.where("blocked is not null").select("source_id", "blocked.*")
 
 
 def entities(found: DataFrame, merged: DataFrame) -> DataFrame:

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.functions.numerals import ordinal
-from quillspan.functions.text import sha, spans, stable_id
+from quillspan.functions.numerals import ordinal_value
+from quillspan.functions.text import bare, sha, spans, stable_id
 
 # The wording that the rules know.
 # A run that finds no terminator is not tried again from within, so the pattern is linear.
@@ -39,18 +36,16 @@ RULE_IDS = {
     "count": "DETERMINISTIC_COUNT_CUE",
     "date": "DETERMINISTIC_DATE_CUE",
 }
-NAME = re.compile(r"[A-Za-z0-9_\-㐀-鿿·]{1,48}")
-NEGATION = re.compile("并未|没有|不曾|从未|并非|不是|未曾|未能|未|不")
-LEFT_CUES = re.compile(
-    r"(?:(?:在昨日|在当日|于昨日|于当日|后来|随后|最终|曾经|此前|当时|已经|曾|计划|准备|将要|即将|预计|并未|没有|不曾|从未|未曾|未能|未|不)\s*)+$"
-)
-RIGHT_STOPS = ("随后", "然后", "后来", "并且", "而后", "之后", "从此", "当场", "同时")
-NUMBER = re.compile(r"[-+]?\d+(?:\.\d+)?|[零〇○一二两兩三四五六七八九十百千万萬亿億]+")
-DATE = re.compile(r"\d{4}(?:年|[-/.])\d{1,2}(?:(?:月|[-/.])\d{1,2}日?)?")
-EDGE = " \t，,:：；;"
-PROPOSAL = (
-    "array<struct<claim_type:string,subject:string,object:string,value:string,unit:string,polarity:boolean,rule_id:string,trigger_start:int,trigger_end:int>>"
-)
+NAME = "[A-Za-z0-9_\\-\\u3400-\\u9fff·]{1,48}"
+NEGATION = "并未|没有|不曾|从未|并非|不是|未曾|未能|未|不"
+LEFT_CUES = "(?U)(?:(?:在昨日|在当日|于昨日|于当日|后来|随后|最终|曾经|此前|当时|已经|曾|计划|准备|将要|即将|预计|并未|没有|不曾|从未|未曾|未能|未|不)\\s*)+$"
+RIGHT_STOPS = "随后|然后|后来|并且|而后|之后|从此|当场|同时"
+NUMBER = "[-+]?[0-9]+(?:\\.[0-9]+)?|[零〇○一二两兩三四五六七八九十百千万萬亿億]+"
+DATE = "[0-9]{4}(?:年|[-/.])[0-9]{1,2}(?:(?:月|[-/.])[0-9]{1,2}日?)?"
+UNIT = "(?U)^\\s*([A-Za-z\\u3400-\\u9fff]{0,12})"
+EDGE, ENDS = " \t，,:：；;", "。！？!?"
+#: How far a number or a date may stand behind its cue, a negation before a marker; and lengths of slots.
+NEAR, BEFORE, NAME_SIZE, ACTION_SIZE = 32, 6, 24, 48
 
 
 @dataclass(frozen=True)
@@ -96,94 +91,60 @@ def factual_status(status: Column, polarity: Column) -> Column:
     return F.when(status == "assertion", F.when(polarity, "asserted_fact").otherwise("negated_fact")).otherwise(status)
 
 
-def marker_spans(text: str, markers: tuple[str, ...]) -> Iterator[tuple[int, int, str]]:
-    """F-30: places of markers; longer ones take theirs first, wherever they stand."""
-    taken = bytearray(len(text))
-    for marker in sorted(markers, key=lambda m: (-len(m), m)):
-        for at in (m.start() for m in re.finditer(re.escape(marker), text)):
-            if not any(taken[at : at + len(marker)]):
-                taken[at : at + len(marker)] = b"\x01" * len(marker)
-                yield at, at + len(marker), marker
-
-
-def left_slot(text: str) -> str:
-    """F-31: the last name before a marker, without the cues between."""
-    names = NAME.findall(LEFT_CUES.sub("", text.strip(EDGE)))
-    return names[-1][-24:] if names else ""
-
-
-def _until_stop(text: str) -> str:
-    for stop in RIGHT_STOPS:
-        at = text.find(stop)
-        text = text[:at] if at > 0 else text
-    return text
-
-
-def right_slot(text: str) -> str:
-    """F-32: the name right behind a marker, up to a sequence word."""
-    m = NAME.match(text.lstrip(EDGE))
-    return _until_stop(m[0])[:24] if m else ""
-
-
-def action_slot(text: str) -> str:
-    """F-33: the action that is permitted or forbidden."""
-    return _until_stop(text.strip(EDGE + "。！？!?"))[:48].strip()
-
-
-def number_text(token: str) -> str | None:
-    """F-35: an Arabic number as it is, a Chinese one as an integer."""
-    if re.fullmatch(r"[-+]?\d+(\.\d+)?", token):
-        return token.lstrip("+")
-    known = ordinal(token)
-    return None if known is None else str(known)
-
-
-def _slots(kind: str, text: str, start: int, end: int, marker: str) -> dict[str, object] | None:
-    """The slots of one marker, or None where one that is needed is missing."""
-    subject, rest = left_slot(text[:start]), text[end:]
-    sure = not NEGATION.search(text[max(0, start - 6) : start])
-    if kind == "permission":
-        action = action_slot(rest)
-        return {"subject": subject, "object": action, "polarity": marker not in FORBIDS} if action else None
-    if not subject:
-        return None
-    if kind in ("alias", "defeats", "located_in"):
-        found = right_slot(rest)
-        return {"subject": subject, "object": found, "polarity": sure} if found else None
-    m = (NUMBER if kind == "count" else DATE).search(rest[:32])
-    value = m and (number_text(m[0]) if kind == "count" else m[0])
-    if not value:
-        return None
-    unit = re.match(r"\s*([A-Za-z㐀-鿿]{0,12})", rest[m.end() :])[1] if kind == "count" else ""
-    return {"subject": subject, "object": "", "value": value, "unit": unit, "polarity": sure}
-
-
-def propose(text: str) -> list[dict[str, object]]:
-    """P-17: every claim that a proposition's markers make."""
-    out = []
-    for kind, markers in MARKERS.items():
-        for start, end, marker in marker_spans(text, markers):
-            slots = _slots(kind, text, start, end, marker)
-            if slots:
-                about = {"claim_type": kind, "rule_id": RULE_IDS[kind], "trigger_start": start, "trigger_end": end}
-                out.append({"value": None, "unit": "", **slots, **about})
-    return out
+def _trimmed(text: Column, edge: str) -> Column:
+    return F.regexp_replace(text, f"^[{edge}]+|[{edge}]+$", "")
+
+
+def _slots(kind: Column, hit: Column, before: Column, rest: Column) -> dict[str, Column]:
+    """F-31 to F-37: the slots around a marker, null or empty where they are missing. Each is one expression:
+
+    * subject: the last name before the marker, once the cues between the two are gone;
+    * object of a relation: the name right behind it; of a permission: all that follows; both up to a sequence word;
+    * value: the first number or date near behind it, and of a number the unit that follows.
+    """
+    none = F.lit(None).cast("string")
+    name = F.try_element_at(F.regexp_extract_all(F.regexp_replace(_trimmed(before, EDGE), LEFT_CUES, ""), F.lit(NAME), 0), F.lit(-1))
+    subject = F.coalesce(F.right(name, F.lit(NAME_SIZE)), F.lit(""))
+    # a sequence word that the slot begins with belongs to it, wherever it stands
+    upto = lambda c: F.regexp_extract(c, f"(?s)^(?=({RIGHT_STOPS})?)(.(?:(?:(?=\\1)|(?!{RIGHT_STOPS})).)*)", 2)
+    other = F.substring(upto(F.regexp_extract(rest, f"^[{EDGE}]*({NAME})", 1)), 1, NAME_SIZE)
+    action = bare(F.substring(upto(_trimmed(rest, EDGE + ENDS)), 1, ACTION_SIZE))
+    near = F.substring(rest, 1, NEAR)
+    number = F.regexp_extract(near, f"({NUMBER})", 1)
+    ahead = F.regexp_extract(near, f"(?s)^(.*?)(?:{NUMBER})", 1)
+    behind = F.substring(rest, F.length(ahead) + F.length(number) + 1, F.length(rest))
+    plain = F.when(number.rlike("[0-9]"), F.ltrim(number, F.lit("+"))).when(number != "", ordinal_value(number).cast("string"))
+    relation, permission = kind.isin("alias", "defeats", "located_in"), kind == "permission"
+    return {
+        "subject": subject,
+        "object": F.when(relation, other).when(permission, action).otherwise(""),
+        "value": F.when(kind == "count", plain).when(kind == "date", F.nullif(F.regexp_extract(near, f"({DATE})", 1), F.lit(""))).otherwise(none),
+        "unit": F.when(kind == "count", F.regexp_extract(behind, UNIT, 1)).otherwise(""),
+        "polarity": F.when(permission, ~hit.isin(*sorted(FORBIDS))).otherwise(~F.right(before, F.lit(BEFORE)).rlike(NEGATION)),
+    }
 
 
 def proposals(rows: DataFrame) -> DataFrame:
-    """Clause rows with discourse, one row a proposal; clauses without proposal are left out."""
+    """P-17, F-30: clause rows with discourse, one row a proposal; clauses without proposal are left out. A marker takes its
+    place before shorter ones do; kinds are looked for one by one. Built-in expressions alone."""
     marked = "|".join(m for ms in MARKERS.values() for m in ms)
-    some = rows.where(F.col("clause").rlike(marked))
-    names = list(some.columns)
-    schema = some.select("*", F.lit(None).cast(PROPOSAL).alias("p")).schema
-
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame.assign(p=[propose(c[int(o) :]) for c, o in zip(frame.clause, frame.proposition_offset, strict=True)])
-
-    out = some.mapInPandas(each, schema).select(*names, F.explode("p").alias("p")).select(*names, "p.*")
+    names = list(rows.columns)
+    some = rows.where(F.col("clause").rlike(marked)).withColumn("said", F.expr("substring(clause, proposition_offset + 1)"))
+
+    def marked_as(kind: str) -> Column:
+        longest = "|".join(sorted(MARKERS[kind], key=len, reverse=True))
+        return F.transform(spans(F.col("said"), longest), lambda x: F.struct(F.lit(kind).alias("kind"), *(x[c].alias(c) for c in ("start", "end", "hit"))))
+
+    each = some.select(*names, "said", F.explode(F.concat(*map(marked_as, MARKERS))).alias("x"))
+    before, rest = F.expr("substring(said, 1, x.start)"), F.expr("substring(said, x.end + 1)")
+    each = each.withColumns({"before": before, "rest": rest, "claim_type": F.col("x.kind")})
+    each = each.withColumns(_slots(F.col("claim_type"), F.col("x.hit"), F.col("before"), F.col("rest")))
+    needs = F.when(F.col("claim_type") == "permission", F.col("object") != "").when(F.col("claim_type").isin("count", "date"), (F.col("subject") != "") & F.col("value").isNotNull())
+    rule = F.create_map(*(F.lit(x) for kv in RULE_IDS.items() for x in kv))[F.col("claim_type")]
     base = F.col("evidence_start") + F.col("proposition_offset")
-    return out.withColumns({"trigger_start": base + F.col("trigger_start"), "trigger_end": base + F.col("trigger_end")})
+    each = each.where(needs.otherwise((F.col("subject") != "") & (F.col("object") != "")))
+    each = each.withColumns({"rule_id": rule, "trigger_start": base + F.col("x.start"), "trigger_end": base + F.col("x.end")})
+    return each.select(*names, "claim_type", "subject", "object", "value", "unit", "polarity", "rule_id", "trigger_start", "trigger_end")
 
 
 def candidates(units: DataFrame, policy: SemanticPolicy = SemanticPolicy()) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -1,18 +1,20 @@
 """Rules on hand-made sentences: numerals, headings, discourse, proposals, validators, chunks, questions, encodings."""
 
 import random
+import re
 from decimal import Decimal
 
 import pytest
 
 from quillspan.functions.numerals import claim_integer, numbers_in, ordinal, plain_decimal, to_date, to_decimal
+from quillspan.operators import claims
 from quillspan.operators.chunking import ChunkPolicy, chunk_spans
 from quillspan.operators.claims import Claim, validate
 from quillspan.operators.coherence import MosaicPolicy, mosaic, splices
 from quillspan.operators.entities import link_problem
 from quillspan.operators.headings import StructurePolicy, detect_heading
 from quillspan.operators.retrieval import parse_question
-from quillspan.operators.semantics import propose
+from quillspan.operators.semantics import proposals
 from quillspan.sources.ingest import choose_encoding
 
 
@@ -55,14 +57,41 @@ def test_what_is_no_heading():
     assert detect_heading("## Notes", StructurePolicy(accept_markdown_headings=False)) is None
 
 
-def test_proposals():
-    by = lambda text: [(p["claim_type"], p["subject"], p["object"], p["value"], p["unit"], p["polarity"]) for p in propose(text)]
-    assert by("玄霄又称青帝。") == [("alias", "玄霄", "青帝", None, "", True)]
-    assert by("陆川并未击败韩岳。") == [("defeats", "陆川", "韩岳", None, "", False)]
-    assert by("守门人不允许陆川进入内殿。") == [("permission", "守门人", "陆川进入内殿", None, "", False)]
-    assert by("剑阵共有十二柄飞剑。") == [("count", "剑阵", "", "12", "柄飞剑", True)]
-    assert by("大战发生于2026年7月22日。") == [("date", "大战", "", "2026年7月22日", "", True)]
-    assert by("天气很好。") == []
+def test_proposals(spark):
+    want = {
+        "玄霄又称青帝。": [("alias", "玄霄", "青帝", None, "", True)],
+        "陆川并未击败韩岳。": [("defeats", "陆川", "韩岳", None, "", False)],
+        "守门人不允许陆川进入内殿。": [("permission", "守门人", "陆川进入内殿", None, "", False)],
+        "剑阵共有十二柄飞剑。": [("count", "剑阵", "", "12", "柄飞剑", True)],
+        "守军总计一百零二人。": [("count", "守军", "", "102", "人", True)],
+        "大战发生于2026年7月22日。": [("date", "大战", "", "2026年7月22日", "", True)],
+        "陆川击败韩岳随后离开。": [("defeats", "陆川", "韩岳", None, "", True)],
+        "塔坐落于北境，林晚可以进入塔后来离开。": [("located_in", "塔", "北境", None, "", True), ("permission", "林晚", "进入塔", None, "", True)],
+        "天气很好。": [],
+    }
+    rows = spark.createDataFrame([(t, 0, 0) for t in want], "clause string, evidence_start int, proposition_offset int")
+    got = {t: [] for t in want}
+    for p in proposals(rows).orderBy("trigger_start").collect():
+        got[p.clause].append((p.claim_type, p.subject, p.object, p.value, p.unit, p.polarity))
+    assert got == want
+
+
+def test_relations_are_what_the_lazy_pattern_finds():
+    """Places of names and markers against one regular expression for all."""
+    rng, names, seen = random.Random(1), ["甲", "乙", "甲乙", "以X", "x y", "Tower", "k", "为丙", "可", "é"], 0
+    for _ in range(6000):
+        markers = rng.choice([claims.ALIAS, claims.DEFEATS, claims.LOCATED, claims.PERMITS, claims.FORBIDS])
+        gap = claims.PERMISSION_GAP if markers in (claims.PERMITS, claims.FORBIDS) else claims.GAP
+        left, right = rng.choice([*names, ""] if gap is claims.PERMISSION_GAP else names), rng.choice(names)
+        parts = [left, right, rng.choice(markers), rng.choice(markers), rng.choice("字，。 ,a\n"), "字" * rng.randint(1, 14), " "]
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 9)))
+        text = text.upper() if rng.random() < 0.3 else text
+        before = f"{claims.literal(left)}{gap.pattern()}" if left else ""
+        shape = f"{before}{claims.any_of(markers)}{gap.pattern()}{claims.literal(right)}"
+        assert claims.relations(text, left, markers, right, gap) == [m.span() for m in re.finditer(shape, text, re.I)]
+        assert claims.literal_spans(text, right) == [m.span() for m in re.finditer(claims.literal(right), text, re.I)]
+        seen += bool(claims.relations(text, left, markers, right, gap))
+    assert seen > 200
 
 
 @pytest.mark.parametrize(
