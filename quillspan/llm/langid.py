@@ -9,45 +9,45 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import small_batches
-from .textkernel import LOWER, arrow_bytes, hash_words, slices, split_words
-
-#: Sampled documents a language at most, and of each the leading characters that training may see.
-SAMPLE_DOCS, SAMPLE_CHARS, MAX_LANGUAGES = 300, 4000, 200
-#: Bytes the network reads in one go (longer words are cut), width of each direction, and how it is trained.
-SPAN, HIDDEN, STEPS, BATCH, RATE = 16, 16, 500, 384, 0.01
-#: Words whose scores a worker keeps, and text bytes that it holds in numpy at once.
-CACHE_WORDS, SLICE_BYTES = 500_000, 1 << 20
+from .storage import cut, small_batches
+from .textkernel import LOWER, arrow_bytes, slices
+
+#: Labelled documents that training may see: of each language at most, and of all; passages cut from the whole of each
+#: document, and characters of a passage.
+SAMPLE_DOCS, SAMPLE_ROWS, PASSAGES, PASSAGE_CHARS = 300, 20_000, 4, 96
+#: Width of each direction, and how it is trained.
+HIDDEN, STEPS, BATCH, RATE = 16, 500, 128, 0.01
+#: Bytes of a text that one window labels, and bytes before and after these that the directions have read by then.
+SPAN, MARGIN = 512, 32
+#: Text bytes that a worker cuts into windows at once, windows that run side by side (few enough that the linear algebra
+#: library starts no threads of its own), and numbers that these may hold.
+SLICE_BYTES, ROWS, CELLS = 1 << 20, 320, 1 << 22
 
 #: Bytes of letters from which a text counts as long, long texts that a calibration needs, the share of long known texts
 #: below the least score, and that of short ones above their slack.
 LONG, LEAST_LONG, LOST, WITHIN = 200, 50, 0.002, 0.99
 
-#: Words are runs of ASCII letters and of bytes above ASCII.
+#: Bytes of letters: ASCII ones and all above ASCII.
 LETTERS = np.zeros(256, dtype=bool)
 LETTERS[0x41:0x5B] = LETTERS[0x61:0x7B] = LETTERS[0x80:] = True
 
 
-def spans_of(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Begin and end of the pieces of at most SPAN bytes into which words fall, and each row's range of pieces."""
-    begin, end, bounds = split_words(text, offsets, LETTERS)
-    pieces = -(-(end - begin) // SPAN)
-    first = np.cumsum(pieces) - pieces
-    nth = np.arange(pieces.sum()) - np.repeat(first, pieces)
-    start = np.repeat(begin, pieces) + SPAN * nth
-    return start, np.minimum(start + SPAN, np.repeat(end, pieces)), np.concatenate([first, [pieces.sum()]])[bounds]
-
-
-def letters_of(text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each piece's bytes (rows of SPAN, then zeros) and its length."""
-    length = end - begin
-    at = begin[:, None] + np.arange(SPAN)
-    inside = np.arange(SPAN) < length[:, None]
-    return np.where(inside, text[np.minimum(at, max(len(text) - 1, 0))], 0), length
+def windows_of(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The windows that cover texts at ``offsets``: the row of each, its first and last byte read, and the range of its
+    own bytes, which it labels; every byte is one window's own, and at a text's ends there is nothing more to read."""
+    size = np.diff(offsets)
+    count = -(-size // SPAN)
+    row = np.repeat(np.arange(len(size)), count)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    begin, end = offsets[row] + nth * SPAN, np.minimum(offsets[row] + (nth + 1) * SPAN, offsets[row + 1])
+    return row, np.maximum(begin - MARGIN, offsets[row]), np.minimum(end + MARGIN, offsets[row + 1]), begin, end
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    y = np.tanh(x * np.float32(0.5))
+    y *= np.float32(0.5)
+    y += np.float32(0.5)
+    return y
 
 
 class Direction:
@@ -60,6 +60,22 @@ class Direction:
         self.U = rng.normal(0, HIDDEN**-0.5, (HIDDEN, 3 * HIDDEN)).astype(np.float32)
         self.b = np.zeros(3 * HIDDEN, np.float32)
 
+    def run(self, text: np.ndarray, at: np.ndarray, running: np.ndarray, backward: bool) -> Iterator[tuple[int, np.ndarray]]:
+        """Step after step over the bytes from ``at`` on, or back to it, the states of the first ``running[t]`` rows."""
+        first, h = self.W + self.b, np.zeros((len(at), HIDDEN), self.U.dtype)
+        for t in range(len(running))[:: -1 if backward else 1]:
+            now = h[: running[t]]
+            x, both = first.take(text[at[: running[t]] + t], axis=0), now @ self.U
+            gates = x[:, : 2 * HIDDEN] + both[:, : 2 * HIDDEN]
+            gates = _sigmoid(gates)
+            n = gates[:, HIDDEN:] * both[:, 2 * HIDDEN :]
+            n += x[:, 2 * HIDDEN :]
+            np.tanh(n, out=n)
+            now -= n
+            now *= gates[:, :HIDDEN]
+            now += n
+            yield t, now
+
     def forward(self, letters: np.ndarray, keep: list | None = None) -> np.ndarray:
         """States after each of ``letters`` (steps x rows); ``keep`` gets what the way back needs."""
         h = np.zeros((letters.shape[1], HIDDEN), np.float32)
@@ -77,7 +93,7 @@ class Direction:
 
     def backward(self, letters: np.ndarray, keep: list, grad: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients through time, from those of the states."""
-        dW, dU, db, dh = np.zeros_like(self.W), np.zeros_like(self.U), np.zeros_like(self.b), 0
+        dU, db, dh, inputs = np.zeros_like(self.U), np.zeros_like(self.b), 0, []
         for t in reversed(range(len(letters))):
             h, z, r, n, un = keep[t]
             dh = dh + grad[t]
@@ -85,10 +101,14 @@ class Direction:
             dz = dh * (h - n) * z * (1 - z)
             dr = dn * un * r * (1 - r)
             dx, du = np.concatenate([dz, dr, dn], axis=1), np.concatenate([dz, dr, dn * r], axis=1)
-            np.add.at(dW, letters[t], dx)
+            inputs.append(dx)
             db += dx.sum(axis=0)
             dU += h.T @ du
             dh = dh * z + du @ self.U.T
+        read, dx, dW = letters[::-1].ravel(), np.concatenate(inputs), np.zeros_like(self.W)
+        order = np.argsort(read, kind="stable")
+        seen, heads = np.unique(read[order], return_index=True)
+        dW[seen] = np.add.reduceat(dx[order], heads, axis=0)
         return {"W": dW, "U": dU, "b": db}
 
 
@@ -109,30 +129,55 @@ class Network:
         p = np.exp(logits - logits.max(axis=2, keepdims=True))
         return p / p.sum(axis=2, keepdims=True), states
 
-    def pooled(self, letters: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Sum over each piece's positions of their probabilities; pieces of one length run together."""
-        out = np.zeros((len(letters), len(self.languages)), np.float32)
-        for n in np.unique(length):
-            rows = np.flatnonzero(length == n)
-            for at in range(0, len(rows), 4096):
-                part = rows[at : at + 4096]
-                out[part] = self.positions(letters[part, :n].T)[0].sum(axis=0)
+    def pooled(self, text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The sum over all bytes of each text of their language probabilities. Both directions run along the windows of the
+        texts side by side; what a window has read before its own bytes gives these their states."""
+        out = np.zeros((len(offsets) - 1, len(self.languages)))
+        row, first, last, begin, end = windows_of(offsets)
+        order = np.argsort(first - last, kind="stable")
+        there, back = np.ascontiguousarray(self.V[:HIDDEN].T), np.ascontiguousarray(self.V[HIDDEN:].T)
+        rows = max(16, min(ROWS, CELLS // ((SPAN + 2 * MARGIN) * len(self.languages))))
+        for k in range(0, len(order), rows):
+            own = order[k : k + rows]  # from the longest to the shortest, so those that go on stand first
+            size, skip, to = (last - first)[own], (begin - first)[own], (end - first)[own]
+            running = np.searchsorted(-size, -np.arange(size[0]), side="left")
+            logits, total = [], np.zeros((len(self.languages), len(own)), np.float32)
+            for _, h in self.there.run(text, first[own], running, False):
+                logits.append(there @ h.T + self.c[:, None])
+            for t, h in self.back.run(text, first[own], running, True):
+                e = logits.pop()
+                e += back @ h.T
+                e -= e.max(axis=0)
+                np.exp(e, out=e)
+                e *= ((skip[: len(h)] <= t) & (t < to[: len(h)])) / e.sum(axis=0)
+                total[:, : len(h)] += e
+            total = total.T
+            np.add.at(out, row[own], total)
         return out
 
-    def fit(self, letters: np.ndarray, length: np.ndarray, labels: np.ndarray, seed: int = 11) -> None:
-        """Adam on the cross entropy of every position; a step takes pieces of one length, drawn by frequency."""
+    def fit(self, texts: list[np.ndarray], labels: np.ndarray, seed: int = 11) -> None:
+        """Adam on the cross entropy of every position of passages; a step takes passages of all languages alike, cut at the
+        shortest of them so that they run together."""
         rng = np.random.default_rng(seed)
         held = [(self.there, n) for n in Direction.names] + [(self.back, n) for n in Direction.names] + [(self, "V"), (self, "c")]
         first, second = [0.0] * len(held), [0.0] * len(held)
-        by_length = {n: np.flatnonzero(length == n) for n in np.unique(length)}
-        share = np.array([len(x) * n for n, x in by_length.items()], float)
+        size = np.array([len(t) for t in texts])
+        order = np.argsort(size, kind="stable")  # passages of about one length run together
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        by_label = [np.sort(place[labels == k]) for k in np.unique(labels)]
         for step in range(1, STEPS + 1):
-            n = list(by_length)[rng.choice(len(share), p=share / share.sum())]
-            rows = rng.choice(by_length[n], BATCH)
-            batch, truth, keep = letters[rows, :n].T, labels[rows], ([], [])
+            near, share = rng.random(), max(1, BATCH // len(by_label))
+            rows = []
+            for own in by_label if len(by_label) <= BATCH else [by_label[k] for k in rng.choice(len(by_label), BATCH, replace=False)]:
+                some = own[np.clip((near * len(own) + rng.normal(0, 0.05 * len(own) + 1, share)).astype(int), 0, len(own) - 1)]
+                rows.append(order[some])
+            rows = np.concatenate(rows)
+            n = int(size[rows].min())
+            batch, truth, keep = np.stack([texts[r][:n] for r in rows]).T, labels[rows], ([], [])
             p, states = self.positions(batch, keep)
-            p[:, np.arange(BATCH), truth] -= 1
-            p /= n * BATCH
+            p[:, np.arange(len(rows)), truth] -= 1
+            p /= n * len(rows)
             flat = states.reshape(-1, 2 * HIDDEN)
             dV, dc, dstates = flat.T @ p.reshape(-1, p.shape[2]), p.sum(axis=(0, 1)), p @ self.V.T
             there = self.there.backward(batch, keep[0], dstates[:, :, :HIDDEN])
@@ -150,82 +195,57 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _drawn(labelled: DataFrame) -> DataFrame:
+    """A sample of labelled rows by the hash of doc_id: of each language about SAMPLE_DOCS to twice as many, fewer where
+    there are so many languages that all would be more than SAMPLE_ROWS; with ``place``, the hash, and ``quota``."""
+    counts = cut(labelled.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    languages = max(1, counts.count())
+    quota = max(1, min(SAMPLE_DOCS, SAMPLE_ROWS // languages))
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
+    return labelled.join(counts, "lang").withColumns({"place": place, "quota": F.lit(quota)}).where(F.col("place") < 2.0 * F.col("quota") / F.col("n"))
+
+
 def train(labelled: DataFrame) -> Network | None:
     """A network for ``labelled`` (doc_id, text, lang), all of which it may learn from; None if no row has letters.
 
-    Of each language it takes at most SAMPLE_DOCS documents, those with the smallest hashes of doc_id among a sample
-    drawn by these, and of each the first SAMPLE_CHARS characters: training is bounded, prediction is not.
+    It learns from a bounded sample: of each language at most SAMPLE_DOCS documents, those with the smallest hashes of
+    doc_id, of all at most SAMPLE_ROWS; of each, PASSAGES passages of PASSAGE_CHARS characters from anywhere in the text,
+    at places that a hash gives. Only passages come to the driver. A language without a sampled document is not learned,
+    which only more than SAMPLE_ROWS languages can bring about. Prediction is not bounded by any of this.
     """
-    labelled = labelled.where("lang is not null and text is not null and doc_id is not null")
-    counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not counts:
-        return None
-    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
-    rate = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 2.0 * SAMPLE_DOCS / n))))
-    drawn = labelled.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), place.alias("place"))
-    drawn = drawn.where(F.col("place") < rate[F.col("lang")])
-    rows = drawn.orderBy("place", "lang", "text").limit(3 * SAMPLE_DOCS * len(counts)).collect()
-    languages, taken = sorted(counts), dict.fromkeys(counts, 0)
-    letters, lengths, labels = [], [], []
+    labelled = labelled.select("doc_id", "text", "lang").where("lang is not null and text is not null and doc_id is not null")
+    drawn = _drawn(labelled).where(F.col("text").rlike("\\p{L}"))
+    room = F.greatest(F.length("text") - PASSAGE_CHARS + 1, F.lit(1))
+    cuts = F.transform(F.sequence(F.lit(1), F.lit(PASSAGES)), lambda k: F.substring("text", (F.pmod(F.xxhash64("doc_id", k), room) + 1).cast("int"), F.lit(PASSAGE_CHARS)))
+    rows = drawn.select("lang", "place", "quota", F.array_distinct(cuts).alias("cuts")).orderBy("place", "lang", "cuts").limit(3 * SAMPLE_ROWS).collect()
+    languages, taken = sorted({r.lang for r in rows}), {}
+    texts, labels = [], []
     for row in rows:
-        if taken[row.lang] < SAMPLE_DOCS:
-            taken[row.lang] += 1
-            data, offsets = arrow_bytes(pa.array([row.text]))
-            begin, end, _ = spans_of(data, offsets)
-            piece, length = letters_of(LOWER[data], begin, end)
-            letters.append(piece)
-            lengths.append(length)
-            labels.append(np.full(len(piece), languages.index(row.lang)))
-    labels = np.concatenate(labels) if labels else np.empty(0, int)
-    if not len(labels):
+        taken[row.lang] = taken.get(row.lang, 0) + 1
+        if taken[row.lang] <= row.quota:
+            own = [LOWER[np.frombuffer(cut.encode(), np.uint8)] for cut in row.cuts]
+            texts += [t for t in own if LETTERS[t].any()]
+            labels += [languages.index(row.lang)] * (len(texts) - len(labels))
+    if not texts:
         return None
-    letters, lengths = np.concatenate(letters), np.concatenate(lengths)
-    most = max(np.bincount(labels))  # languages with fewer pieces are repeated to the same weight
-    rows = np.concatenate([np.resize(np.flatnonzero(labels == k), most) for k in range(len(languages)) if (labels == k).any()])
     network = Network(languages)
-    network.fit(letters[rows], lengths[rows], labels[rows])
+    network.fit(texts, np.array(labels))
     return network
 
 
 def _predictor(network: Network | None):
-    def scores(text: np.ndarray, begin: np.ndarray, end: np.ndarray, known: list) -> np.ndarray:
-        """Pooled scores of pieces; each distinct piece runs through the network once while it stays in the cache."""
-        names = hash_words(text, begin, end)
-        own, first, turn = np.unique(names, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(known[0], own), max(len(known[0]) - 1, 0))
-        new = known[0][at] != own if len(known[0]) else np.ones(len(own), bool)
-        out = np.zeros((len(own), len(network.languages)), np.float32)
-        if (~new).any():
-            out[~new] = known[1][at[~new]]
-        if new.any():
-            rows = first[new]
-            out[new] = network.pooled(*letters_of(text, begin[rows], end[rows]))
-            keep = len(known[0]) + int(new.sum()) <= CACHE_WORDS
-            names, kept = (np.concatenate([known[0], own[new]]), np.concatenate([known[1], out[new]])) if keep else (own, out)
-            order = np.argsort(names)
-            known[0], known[1] = names[order], kept[order]
-        return out[turn]
-
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = [np.empty(0, np.uint64), np.empty((0, len(network.languages) if network else 0), np.float32)]
         for batch in batches:
             data, offsets = arrow_bytes(batch.column("text"))
-            lettered = batch.column("lettered").to_numpy(zero_copy_only=False)
+            lettered = batch.column("lettered").to_numpy(zero_copy_only=False).astype(bool)
             for a, b in slices(offsets, SLICE_BYTES):
                 names, best = np.full(b - a, "und", dtype=object), np.zeros(b - a)
-                if network:
-                    text, own = LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a]
-                    begin, end, bounds = spans_of(text, own)
-                    some = np.flatnonzero((np.diff(bounds) > 0) & lettered[a:b].astype(bool))
-                    if some.size:
-                        each = scores(text, begin, end, known).astype(np.float64)
-                        length = np.concatenate([[0], np.cumsum(end - begin)])
-                        sums = np.concatenate([np.zeros((1, each.shape[1])), np.cumsum(each, axis=0)])
-                        p = (sums[bounds[some + 1]] - sums[bounds[some]]) / (length[bounds[some + 1]] - length[bounds[some]])[:, None]
-                        names[some] = np.array(network.languages, dtype=object)[p.argmax(axis=1)]
-                        best[some] = np.clip(p.max(axis=1), 0, 1)
+                some = np.flatnonzero(lettered[a:b])
+                if network and some.size:
+                    p = network.pooled(LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a])[some]
+                    p /= np.diff(offsets)[a:b][some][:, None]
+                    names[some] = np.array(network.languages, dtype=object)[p.argmax(axis=1)]
+                    best[some] = np.clip(p.max(axis=1), 0, 1)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(a, b - a), batch.column("held_out").slice(a, b - a), pa.array(names, pa.string()), pa.array(best)],
                     names=["doc_id", "held_out", "lang_pred", "score"],
@@ -237,9 +257,10 @@ def _predictor(network: Network | None):
 def identify(documents: DataFrame, network: Network | None) -> DataFrame:
     """One row for each row of ``documents`` (doc_id, text): doc_id, held_out, lang_pred, score.
 
-    Every letter of the whole text is labelled within its word, and the positions' probabilities are averaged; the
-    best language and its average are the prediction. A text that is null or has no letter is ``und`` with score 0,
-    and so is all where there was nothing to learn from. Only the text decides; repeated rows are treated alike, ties
+    The network reads the whole text as bytes, A-Z lower-cased, in windows of SPAN bytes that run side by side; each has
+    read MARGIN bytes before and behind its own by the time it labels these. Every byte gets probabilities, which are
+    averaged over the text; the best language and its average are the prediction. A text that is null or has no letter is
+    ``und`` with score 0, and so is all where there was nothing to learn from. Only the text decides; repeated rows are treated alike, ties
     go to the first language in alphabetical order. Extra columns are ignored; an empty table gives an empty result.
     """
     lettered = F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False))
@@ -258,21 +279,15 @@ def calibrate(labelled: DataFrame, network: Network | None) -> tuple[float, floa
     it has not learned from; None if fewer than LEAST_LONG of them are long.
 
     The least score is the LOST quantile of long texts. A mean over n letters strays by about 1 / sqrt(n), so shorter
-    texts get a slack of that form, by which WITHIN of them reach it. It looks at as many documents as training does.
+    texts get a slack of that form, by which WITHIN of them reach it. It looks at a sample as training does, of whole texts,
+    of which only scores and lengths come to the driver.
     """
     if network is None:
         return None
-    labelled = labelled.where(F.col("lang").isin(network.languages) & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    most = SAMPLE_DOCS * len(network.languages)
-    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
-    drawn = labelled.select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), place.alias("place"))
-    drawn = drawn.where(F.col("place") < min(1.0, 2.0 * most / max(labelled.count(), 1)))
-    texts = pa.array([r.text for r in drawn.orderBy("place", "text").limit(most).collect()], pa.string())
-    none = pa.nulls(len(texts), pa.bool_())
-    batch = pa.RecordBatch.from_arrays([pa.nulls(len(texts), pa.int64()), texts, none, none.fill_null(True)], names=["doc_id", "text", "held_out", "lettered"])
-    score = np.concatenate([[], *(part.column("score").to_numpy() for part in _predictor(network)(iter([batch])))])
-    n = _letters(texts)
-    score, n = score[n > 0], n[n > 0]
+    labelled = labelled.select("doc_id", "text", "lang").where(F.col("lang").isin(network.languages) & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    letters = F.octet_length(F.regexp_replace("text", "[^A-Za-z\\x{80}-\\x{10FFFF}]", ""))
+    rows = identify(_drawn(labelled).select(letters.alias("doc_id"), "text"), network).where("doc_id > 0").select("doc_id", "score").collect()
+    n, score = np.array([r.doc_id for r in rows], float), np.array([r.score for r in rows])
     if (n >= LONG).sum() < LEAST_LONG:
         return None
     least = float(np.quantile(score[n >= LONG], LOST))

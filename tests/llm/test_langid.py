@@ -45,6 +45,67 @@ def test_gradients_through_time():
             assert abs((up - down) / (2 * step) - grads[name][at]) < 2e-3 * max(1, abs(grads[name][at]))
 
 
+def _plain_scores(net, text):
+    """Each window by itself, a byte after the other, in plain Python."""
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    size, total = len(text), np.zeros(len(net.languages))
+
+    def states(part, read):
+        h, out, k = np.zeros(langid.HIDDEN), [], langid.HIDDEN
+        for byte in read:
+            x, u = part.W[byte].astype(float) + part.b, h @ part.U.astype(float)
+            z, r = sigmoid(x[:k] + u[:k]), sigmoid(x[k : 2 * k] + u[k : 2 * k])
+            n = np.tanh(x[2 * k :] + r * u[2 * k :])
+            h = (1 - z) * n + z * h
+            out.append(h)
+        return out
+
+    for begin in range(0, size, langid.SPAN):
+        end = min(begin + langid.SPAN, size)
+        first, last = max(0, begin - langid.MARGIN), min(size, end + langid.MARGIN)
+        there, back = states(net.there, text[first:last]), states(net.back, text[first:last][::-1])[::-1]
+        for k in range(begin - first, end - first):
+            e = np.exp(np.concatenate([there[k], back[k]]) @ net.V.astype(float) + net.c)
+            total += e / e.sum()
+    return total
+
+
+def test_pooling_against_plain_loops():
+    """Texts of no, one and several windows, multi-byte letters across their edges, all read whole and by themselves."""
+    net = Network(["a", "b", "c"])
+    texts = ["", "x", "été " * 300, "die Straße und so weiter, 12 km. " * 40, "字" * 400, "a" * langid.SPAN, "b" * (langid.SPAN + 1)]
+    data = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(d) for d in data])])
+    got = net.pooled(np.concatenate(data), offsets)
+    want = np.array([_plain_scores(net, d) for d in data])
+    assert np.allclose(got, want, rtol=1e-3, atol=1e-3) and np.allclose(got.sum(axis=1), np.diff(offsets), rtol=1e-4)
+
+
+def test_many_languages_and_ties(spark):
+    """More languages than a few hundred are learned and predicted like any others; equal rows get equal results."""
+    words = [chr(97 + k % 26) + chr(97 + k // 26) for k in range(230)]
+    rows = [(k, f"{words[k % 230]} " * 20, f"l{k % 230:03}") for k in range(460)]
+    docs = spark.createDataFrame([*rows, rows[3], rows[3]], "doc_id long, text string, lang string")
+    network = train(docs)
+    assert len(network.languages) == 230
+    out = identify(docs, network).collect()
+    assert len(out) == 462 and len({(r.lang_pred, r.score) for r in out if r.doc_id == 3}) == 1
+    assert {r.lang_pred for r in out} <= set(network.languages)
+
+
+def test_held_out_accuracy_without_copies(spark):
+    """Held-out documents of which no near copy was learned from."""
+    from quillspan.llm.minhash import near_duplicates
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    group = {r.doc_id: r.component_id for r in near_duplicates(docs).collect()}
+    held = lambda k: zlib.crc32(str(k).encode()) % 4 == 2
+    seen = {c for k, c in group.items() if not held(k)}
+    langs = {r.doc_id: r.lang for r in docs.collect()}
+    out = [r for r in op8_language_id(spark, "/root/testdata/sf0.01").collect() if r.held_out and group[r.doc_id] not in seen]
+    assert len(out) > 100 and sum(r.lang_pred == langs[r.doc_id] for r in out) / len(out) > 0.97
+
+
 def test_odd_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     network = train(docs)
