@@ -15,8 +15,10 @@ from .textkernel import LOWER, arrow_bytes, slices
 #: Labelled documents that training may see: of each language at most, and of all; passages cut from the whole of each
 #: document, and characters of a passage.
 SAMPLE_DOCS, SAMPLE_ROWS, PASSAGES, PASSAGE_CHARS = 300, 20_000, 4, 96
+#: Passages with other letters in their places, by which the network learns what is no known language, for each real one.
+SCRAMBLED = 0.25
 #: Width of each direction, and how it is trained.
-HIDDEN, STEPS, BATCH, RATE = 16, 500, 128, 0.01
+HIDDEN, STEPS, BATCH, RATE = 16, 700, 128, 0.01
 #: Bytes of a text that one window labels, and bytes before and after these that the directions have read by then.
 SPAN, MARGIN = 512, 32
 #: Text bytes that a worker cuts into windows at once, windows that run side by side (few enough that the linear algebra
@@ -113,11 +115,12 @@ class Direction:
 
 
 class Network:
-    """Two directions and a soft-max over languages at every position."""
+    """Two directions and a soft-max over languages at every position. A last "language" None stands for none of them."""
 
-    def __init__(self, languages: list[str], seed: int = 7):
+    def __init__(self, languages: list[str | None], seed: int = 7):
         rng = np.random.default_rng(seed)
         self.languages, self.there, self.back = languages, Direction(rng), Direction(rng)
+        self.known = [x for x in languages if x is not None]
         self.V = rng.normal(0, 0.2, (2 * HIDDEN, len(languages))).astype(np.float32)
         self.c = np.zeros(len(languages), np.float32)
 
@@ -205,6 +208,21 @@ def _drawn(labelled: DataFrame) -> DataFrame:
     return labelled.join(counts, "lang").withColumns({"place": place, "quota": F.lit(quota)}).where(F.col("place") < 2.0 * F.col("quota") / F.col("n"))
 
 
+def scrambled(texts: list[np.ndarray], seed: int = 13) -> list[np.ndarray]:
+    """Passages that look like text and are none: the letters of every other one change places, or stand for others."""
+    rng, out = np.random.default_rng(seed), []
+    for k in rng.permutation(len(texts))[: int(SCRAMBLED * len(texts))]:
+        text, own = texts[k].copy(), np.flatnonzero(LETTERS[texts[k]])
+        if len(out) % 2:
+            text[own] = rng.permutation(text[own])
+        else:
+            code = np.arange(256, dtype=np.uint8)
+            code[0x61:0x7B] = rng.permutation(code[0x61:0x7B])
+            text = code[text]
+        out.append(text)
+    return out
+
+
 def train(labelled: DataFrame) -> Network | None:
     """A network for ``labelled`` (doc_id, text, lang), all of which it may learn from; None if no row has letters.
 
@@ -228,8 +246,9 @@ def train(labelled: DataFrame) -> Network | None:
             labels += [languages.index(row.lang)] * (len(texts) - len(labels))
     if not texts:
         return None
-    network = Network(languages)
-    network.fit(texts, np.array(labels))
+    others = scrambled(texts)
+    network = Network([*languages, None] if others else languages)
+    network.fit(texts + others, np.array(labels + [len(languages)] * len(others)))
     return network
 
 
@@ -242,9 +261,9 @@ def _predictor(network: Network | None):
                 names, best = np.full(b - a, "und", dtype=object), np.zeros(b - a)
                 some = np.flatnonzero(lettered[a:b])
                 if network and some.size:
-                    p = network.pooled(LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a])[some]
+                    p = network.pooled(LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a])[some, : len(network.known)]
                     p /= np.diff(offsets)[a:b][some][:, None]
-                    names[some] = np.array(network.languages, dtype=object)[p.argmax(axis=1)]
+                    names[some] = np.array(network.known, dtype=object)[p.argmax(axis=1)]
                     best[some] = np.clip(p.max(axis=1), 0, 1)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(a, b - a), batch.column("held_out").slice(a, b - a), pa.array(names, pa.string()), pa.array(best)],
@@ -284,7 +303,7 @@ def calibrate(labelled: DataFrame, network: Network | None) -> tuple[float, floa
     """
     if network is None:
         return None
-    labelled = labelled.select("doc_id", "text", "lang").where(F.col("lang").isin(network.languages) & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+    labelled = labelled.select("doc_id", "text", "lang").where(F.col("lang").isin(network.known) & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     letters = F.octet_length(F.regexp_replace("text", "[^A-Za-z\\x{80}-\\x{10FFFF}]", ""))
     rows = identify(_drawn(labelled).select(letters.alias("doc_id"), "text"), network).where("doc_id > 0").select("doc_id", "score").collect()
     n, score = np.array([r.doc_id for r in rows], float), np.array([r.score for r in rows])

@@ -87,10 +87,10 @@ def test_many_languages_and_ties(spark):
     rows = [(k, f"{words[k % 230]} " * 20, f"l{k % 230:03}") for k in range(460)]
     docs = spark.createDataFrame([*rows, rows[3], rows[3]], "doc_id long, text string, lang string")
     network = train(docs)
-    assert len(network.languages) == 230
+    assert len(network.known) == 230
     out = identify(docs, network).collect()
     assert len(out) == 462 and len({(r.lang_pred, r.score) for r in out if r.doc_id == 3}) == 1
-    assert {r.lang_pred for r in out} <= set(network.languages)
+    assert {r.lang_pred for r in out} <= set(network.known)
 
 
 def test_held_out_accuracy_without_copies(spark):
