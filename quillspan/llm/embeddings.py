@@ -14,16 +14,15 @@ from .components import components
 from .minhash import runs
 from .storage import cut
 
-#: Cosine from which vectors are linked, and the chance of missing such a pair at each of three steps.
+#: Cosine from which vectors are linked, and the chance of missing such a pair at each of two steps.
 COSINE, MISS = 0.95, 5e-4
-#: Vectors that a cell holds on average, and above which it is compared in blocks; windowed projections of each vector.
-CELL, BLOCK, PROJECTIONS = 64, 1024, 16
-#: Pairs that a worker holds at once.
-PAIRS = 1 << 20
+#: Vectors that a cell holds on average, and above which it is compared in blocks; sorted projections of each vector.
+CELL, BLOCK, PROJECTIONS = 256, 2048, 24
+#: Pairs that a worker verifies at once.
+PAIRS = 1 << 16
 _DISTANCE = math.sqrt(2 - 2 * COSINE)
-#: Half widths of windows, in units of unit vectors' Gaussian projections: of the sorted one, nearly all close pairs
-#: fall in; of the counted ones, most do.
-SORTED_WINDOW, COUNTED_WINDOW = 3.5 * _DISTANCE, 1.9 * _DISTANCE
+#: Half width of a vector's window in each projection, in units of unit vectors' Gaussian projections.
+WINDOW = 1.9 * _DISTANCE
 
 
 def _at_least(n: int, p: float, k: int) -> float:
@@ -31,7 +30,7 @@ def _at_least(n: int, p: float, k: int) -> float:
 
 
 #: Collisions from which a pair is verified: the highest count that pairs at COSINE reach but for MISS.
-ENOUGH = max(k for k in range(PROJECTIONS + 1) if _at_least(PROJECTIONS, math.erf(COUNTED_WINDOW / _DISTANCE / math.sqrt(2)), k) >= 1 - MISS)
+ENOUGH = max(k for k in range(PROJECTIONS + 1) if _at_least(PROJECTIONS, math.erf(WINDOW / _DISTANCE / math.sqrt(2)), k) >= 1 - MISS)
 
 
 def plan(n: int) -> tuple[int, int]:
@@ -48,70 +47,83 @@ def _unit(raw: list[bytes]) -> np.ndarray:
 
 
 def _coder(bits: int, tables: int):
+    """Of each vector: its bytes, the places on its sorted projections, and its cell in each table."""
+
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("v")
             sizes, flat = column.value_lengths().to_numpy(), column.flatten().to_numpy().astype("<f8")
             starts = np.cumsum(sizes) - sizes
-            codes = np.zeros((len(sizes), tables), np.int32)
+            codes, places = np.zeros((len(sizes), tables), np.int32), np.zeros((len(sizes), PROJECTIONS), "<f4")
             for size in np.unique(sizes):
                 rows = np.flatnonzero(sizes == size)
                 x = flat[starts[rows][:, None] + np.arange(size)]
+                x = x / np.abs(x).max(axis=1, keepdims=True)
+                x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+                places[rows] = x @ np.random.default_rng([23, size]).standard_normal((size, PROJECTIONS))
                 axes = np.random.default_rng([17, size]).standard_normal((size, tables * bits))
-                signs = ((x / np.abs(x).max(axis=1, keepdims=True)) @ axes >= 0).reshape(len(rows), tables, bits)
+                signs = (x @ axes >= 0).reshape(len(rows), tables, bits)
                 codes[rows] = signs @ (1 << np.arange(bits, dtype=np.int64))
             vectors = [flat[a : a + n].tobytes() for a, n in zip(starts, sizes, strict=True)]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, codes.size + 1, tables, dtype=np.int32)), pa.array(codes.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("copies"), pa.array(vectors, pa.binary()), lists], names=["x", "copies", "v", "codes"])
+            columns = [batch.column("x"), batch.column("copies"), pa.array(vectors, pa.binary()), pa.array([z.tobytes() for z in places], pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["x", "copies", "v", "z", "codes"])
 
     return code
 
 
-def close_pairs(v: np.ndarray, side: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of unit vectors at COSINE or closer. One projection is sorted, and each vector's window of it gives
-    pairs; these are counted in the windows of the others and dropped as soon as they can't reach ENOUGH; those that
-    reach it are verified. ``side``: only pairs of two sides are wanted."""
-    z = v @ np.random.default_rng([23, v.shape[1]]).standard_normal((v.shape[1], PROJECTIONS + 1))
-    order = np.argsort(z[:, 0], kind="stable")
-    z, v = z[order], v[order]
-    last = np.searchsorted(z[:, 0], z[:, 0] + SORTED_WINDOW, side="right")
-    room = last - np.arange(len(v)) - 1
-    ends, at = np.cumsum(room), 0
-    while at < len(v):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
-        n = room[at:to]
-        a = np.repeat(np.arange(at, to), n)
-        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
-        at = to
-        if side is not None:
-            apart = side[order[a]] != side[order[b]]
-            a, b = a[apart], b[apart]
-        count = np.zeros(len(a), np.int8)
-        for k in range(1, PROJECTIONS + 1):
-            count += np.abs(z[a, k] - z[b, k]) <= COUNTED_WINDOW
-            if k > PROJECTIONS - ENOUGH:
-                hope = count >= ENOUGH - (PROJECTIONS - k)
-                a, b, count = a[hope], b[hope], count[hope]
-        cosine = np.concatenate([np.einsum("ij,ij->i", v[a[i : i + 65536]], v[b[i : i + 65536]]) for i in range(0, max(len(a), 1), 65536)])
-        near = cosine >= COSINE
-        yield order[a[near]], order[b[near]]
+def colliding(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of vectors that lie in one another's windows in at least ENOUGH projections. Each projection is sorted;
+    a vector's window is a range of the order around it, and all in that range get a collision with it. The windows are a
+    little wider than calibrated, for what rounding to 32 bits can move."""
+    n = len(z)
+    count, at = np.zeros((n, n), np.int8), np.arange(n)
+    for k in range(z.shape[1]):
+        order = np.argsort(z[:, k], kind="stable")
+        line = z[order, k]
+        low, high = np.searchsorted(line, line - WINDOW - 1e-5), np.searchsorted(line, line + WINDOW + 1e-5, side="right")
+        count[np.ix_(order, order)] += (at >= low[:, None]) & (at < high[:, None])
+    a, b = np.nonzero(count >= ENOUGH)
+    return a[a < b], b[a < b]
+
+
+def _new_pairs(run: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Colliding pairs of a cell, or of two blocks of one, that no earlier table has in a cell."""
+    table, whole = run.column("t")[0].as_py(), run.column("i")[0] == run.column("j")[0]
+    block = run.column("block").to_numpy()
+    codes = run.column("codes").combine_chunks().flatten().to_numpy().reshape(run.num_rows, -1)[:, :table]
+    a, b = colliding(np.frombuffer(b"".join(run.column("z").to_pylist()), "<f4").reshape(run.num_rows, -1))
+    if not whole:
+        a, b = a[block[a] != block[b]], b[block[a] != block[b]]
+    parts = [slice(k, k + PAIRS) for k in range(0, len(a), PAIRS)]
+    new = [~(codes[a[p]] == codes[b[p]]).any(axis=1) for p in parts]
+    new = np.concatenate([np.empty(0, bool), *new])
+    return a[new], b[new]
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each cell that are in a colliding pair; their vectors are fetched then."""
+    for run in runs(batches, KEYS):
+        if run.num_rows > 1:
+            some = np.unique(np.concatenate(_new_pairs(run)))
+            if len(some):
+                yield run.select([*KEYS, "block", "x"]).take(pa.array(some)).combine_chunks().to_batches()[0]
 
 
 def _linker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for run in runs(batches, ["t", "size", "cell", "i", "j"]):
-        t, whole = run.column("t")[0].as_py(), run.column("i")[0] == run.column("j")[0]
-        x, copies, block = (run.column(c).to_numpy() for c in ("x", "copies", "block"))
-        codes = run.column("codes").combine_chunks()
-        codes = codes.flatten().to_numpy().reshape(len(x), -1)
-        links, root = np.zeros(len(x), np.int64), x.copy()
-        edges = []
-        for a, b in close_pairs(_unit(run.column("v").to_pylist()), None if whole else block):
-            new = ~(codes[a, :t] == codes[b, :t]).any(axis=1)  # else an earlier table has the pair
-            a, b = a[new], b[new]
-            np.add.at(links, a, copies[b])
-            np.add.at(links, b, copies[a])
-            edges.append((a, b))
-        a, b = (np.concatenate(c) for c in zip(*edges, strict=True))
+    """Links and local component of each candidate of a cell: its colliding pairs, verified."""
+    for run in runs(batches, KEYS):
+        x, copies, v = run.column("x").to_numpy(), run.column("copies").to_numpy(), _unit(run.column("v").to_pylist())
+        links, root, edges = np.zeros(len(x), np.int64), x.copy(), [np.empty((2, 0), np.int64)]
+        a, b = _new_pairs(run)
+        for k in range(0, len(a), PAIRS):
+            p, q = a[k : k + PAIRS], b[k : k + PAIRS]
+            near = np.einsum("ij,ij->i", v[p], v[q]) >= COSINE
+            p, q = p[near], q[near]
+            np.add.at(links, p, copies[q])
+            np.add.at(links, q, copies[p])
+            edges.append(np.stack([p, q]))
+        a, b = np.concatenate(edges, axis=1)
         while len(a):
             least = np.minimum(root[a], root[b])
             was = root.copy()
@@ -123,20 +135,27 @@ def _linker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x[some]), pa.array(links[some]), pa.array(root[some])], names=["x", "links", "root"])
 
 
+KEYS = ["t", "size", "cell", "i", "j"]
+
+
 def near_vectors(embeddings: DataFrame) -> DataFrame:
     """One row for each row of ``embeddings`` (vec_id, embedding): vec_id, n_links, component_id, kept.
 
     Vectors of the same length whose cosine, in double precision, is at least 0.95 are linked, whatever their labels.
 
     1. Equal vectors form a class with a count, led by the smallest vec_id.
-    2. Sign bits of random projections give each leader a cell in each of several tables; bits grow with the logarithm
-       of the number of leaders, so a cell stays small, and the tables follow from the recall wanted.
-    3. Within a cell, the vectors are sorted by one projection; pairs inside each vector's window are counted in the
-       windows of sixteen more, and those that reach a count calibrated for recall are verified. A pair counts in the
-       first table where it meets. Cells above BLOCK vectors are compared block by block, in tasks of their own.
-    4. Each cell returns a row a vector (its links, its local component), never pairs; these are summed and joined.
-
-    The chance to miss a pair at exactly 0.95 is 3 * MISS; closer pairs are safer. A vector that is null, empty or
+    2. Every leader has a place on each of PROJECTIONS one-dimensional projections. To count collisions for the pairs of
+       all leaders would take time in the square of their number, as windows wide enough for recall hold a third of them;
+       so they are counted within cells: signs of other projections, that is halves of their sorted ranges, give each
+       leader a cell in each of several tables. Bits grow with the logarithm of the number of leaders, so a cell stays
+       small, and the tables follow from the recall wanted.
+    3. Within a cell each projection is sorted, each vector's window around it gives a collision to all inside, and
+       pairs that reach a count calibrated for recall are candidates, in the first table where they meet. Only ids,
+       places and cells are shuffled for this. Cells above BLOCK vectors are compared block by block, in tasks of their own.
+    4. The vectors of candidates are fetched to their cells, and the pairs verified. Each cell returns a row a vector
+       (its links, its local component), never pairs; these are summed and joined.
+
+    The chance to miss a pair at exactly 0.95 is 2 * MISS; closer pairs are safer. A vector that is null, empty or
     zero or holds null or non-finite components links with nothing. Repeated rows are vectors of their own. A null
     vec_id takes no part: n_links is 0, component_id null, kept true. Extra columns are ignored; an empty table gives
     an empty result.
@@ -149,18 +168,21 @@ def near_vectors(embeddings: DataFrame) -> DataFrame:
     leaders = rows.where("v is not null").groupBy("h1", "h2").agg(F.min("vec_id").alias("x"), F.count("*").alias("copies"), F.first("v").alias("v"))
     leaders = cut(leaders, "leaders")
     bits, tables = plan(leaders.count())
-    coded = leaders.mapInArrow(_coder(bits, tables), "x long, copies long, v binary, codes array<int>")
+    coded = leaders.mapInArrow(_coder(bits, tables), "x long, copies long, v binary, z binary, codes array<int>")
     coded = cut(coded.select("*", F.length("v").alias("size")), "coded")
     cells = coded.select("size", F.posexplode("codes").alias("t", "cell")).groupBy("t", "size", "cell").agg(F.count("*").alias("n"))
     large = cut(cells.where(F.col("n") > BLOCK).select("t", "size", "cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "large-cells")
-    placed = coded.select("x", "copies", "v", "codes", "size", F.posexplode("codes").alias("t", "cell"))
+    placed = coded.select("x", "z", "codes", "size", F.posexplode("codes").alias("t", "cell"))
     placed = placed.join(large, ["t", "size", "cell"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    keys = ["t", "size", "cell", "i", "j"]
-    placed = placed.select(*keys, "block", "x", "copies", "v", "codes").repartition(*keys).sortWithinPartitions(*keys, "x")
-    found = cut(placed.mapInArrow(_linker, "x long, links long, root long"), "links")
+    placed = placed.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other"), "codes": F.expr("slice(codes, 1, t)")})
+    placed = placed.select(*KEYS, "block", "x", "z", "codes").repartition(*KEYS).sortWithinPartitions(*KEYS, "x")
+    # rows of a table t have t earlier cells, and a run is of one table, so its lists are of one length
+    chosen = cut(placed.mapInArrow(_candidates, "t int, size int, cell int, i int, j int, block int, x long"), "candidates")
+    fetched = chosen.join(coded.select("x", "copies", "v", "z", "codes"), "x").withColumn("codes", F.expr("slice(codes, 1, t)"))
+    fetched = fetched.select(*KEYS, "block", "x", "copies", "v", "z", "codes").repartition(*KEYS).sortWithinPartitions(*KEYS, "x")
+    found = cut(fetched.mapInArrow(_linker, "x long, links long, root long"), "links")
     label = components(found.select("x", "root"), "x", "root")
     total = found.groupBy("x").agg(F.sum("links").alias("links")).join(label.toDF("x", "label"), "x", "left")
     classes = cut(leaders.select("h1", "h2", "x", "copies").join(total, "x", "left"), "vector-classes")

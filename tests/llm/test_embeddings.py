@@ -51,3 +51,24 @@ def test_odd_rows(spark):
     assert sorted(map(tuple, got), key=str) == sorted([(1, 1, 1, True), (1, 1, 1, True), (None, 0, None, True), (2, 0, 2, True)], key=str)
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert near_vectors(empty).agg(F.count("*")).first()[0] == 0
+
+
+def test_counts_are_those_of_windows():
+    """Collisions by sorted projections against all differences."""
+    z = np.random.default_rng(8).standard_normal((70, embeddings.PROJECTIONS)).astype("<f4")
+    z[40:] = z[:30] + np.random.default_rng(9).standard_normal((30, embeddings.PROJECTIONS)).astype("<f4") * 0.3
+    met = (np.abs(z[:, None, :].astype(float) - z[None, :, :]) <= embeddings.WINDOW + 1e-5).sum(axis=2)
+    want = {(a, b) for a in range(70) for b in range(a + 1, 70) if met[a, b] >= ENOUGH}
+    assert len(want) > 20 and set(zip(*map(np.ndarray.tolist, embeddings.colliding(z)), strict=True)) == want
+
+
+def test_real_blocks_of_a_large_cell(spark):
+    """A group of more vectors than a block holds, all near one another, beside others: every link is counted."""
+    rng = np.random.default_rng(3)
+    n, centre = embeddings.BLOCK + 500, rng.standard_normal(16)
+    rows = np.concatenate([centre + 0.05 * rng.standard_normal((n, 16)), rng.standard_normal((300, 16))])
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    want = {k: int((unit[k] @ unit.T >= COSINE).sum()) - 1 for k in range(0, len(rows), 50)}
+    out = near_vectors(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rows)], "vec_id long, embedding array<double>")).collect()
+    got = {r.vec_id: r.n_links for r in out}
+    assert len(out) == len(rows) and all(got[k] == m for k, m in want.items())
