@@ -152,8 +152,8 @@ def windows_of(items: list[tuple[object, str | None]]) -> tuple[np.ndarray, np.n
     order = np.lexsort(rows.T)
     rows, owner = rows[order], owner[order]
     head = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])[: len(rows)])
-    names = [str(item) for item, _ in items]
-    owners = [sorted({names[k] for k in owner[x:y].tolist()}) for x, y in zip(head, np.append(head[1:], len(rows))[: len(head)], strict=True)]
+    names = [None if item is None else str(item) for item, _ in items]
+    owners = [sorted({names[k] for k in owner[x:y].tolist()} - {None}) for x, y in zip(head, np.append(head[1:], len(rows))[: len(head)], strict=True)]
     return rows[head, :WINDOW], rows[head, WINDOW].astype(np.int64), owners
 
 
@@ -257,7 +257,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     Documents are not shuffled, and an index lives only while its shard is searched. Each task gets the windows of at
     most BENCHMARK_BYTES of text; a larger benchmark (it is measured) takes several passes over the documents, which are
     written between them with what was found. Null and empty texts have no words; items without words have no windows;
-    repeated rows are treated alike, and so are null ids. Extra columns are ignored; an empty table gives an empty result.
+    repeated rows are treated alike, and so are null doc_ids. The windows of an item without id hit words like any other,
+    but there is no id to list. Extra columns are ignored; an empty table gives an empty result.
     """
     schema = "doc_id long, n_words long, n_hit long, items array<string>, spans array<long>"
     docs = small_batches(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from .storage import cut
 
 SHARDS = 24
-#: Small groups share so many lots a shard; a group above 1/PARTS of a shard in any measure is placed by itself.
-LOTS, PARTS = 256, 64
+#: Small groups share lots: so many a shard at least, more where one would hold more rows or bytes than these. A group above
+#: 1/PARTS of a shard in any measure is placed by itself.
+LOTS, LOT_ROWS, LOT_BYTES, PARTS = 256, 1_000_000, 256 << 20, 64
 _MEASURES = ("size", "tokens", "rows")
 
 
@@ -31,8 +32,8 @@ def shard_documents(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
 
     Equal texts are a group, known by 128 bits of hash. Groups that fill over 1/PARTS of a shard are placed singly, in
     pieces of at most that; at most 3 * shards * PARTS groups can do so, whatever the input. All others are gathered
-    by hash into shards * LOTS lots. Only these bounded tables of sums reach the driver, where the items are packed,
-    and only they are broadcast. A group stays in one shard unless it exceeds a whole shard; then its pieces are
+    by hash into lots: shards * LOTS, or as many as keep one at LOT_ROWS rows and LOT_BYTES bytes. Only these tables of
+    sums reach the driver (for 100 TB, 400,000 rows), where the items are packed, and only they are broadcast. A group stays in one shard unless it exceeds a whole shard; then its pieces are
     packed singly. A slot is the piece's first slot plus the rank within it, so no task sorts a whole shard.
 
     size is the UTF-8 length plus 8 (null: 8), text_crc32 the CRC-32 of these bytes (null: 0). Null texts are one
@@ -53,15 +54,16 @@ def shard_documents(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
     total = [max(1, x or 0) for x in facts.agg(*sums).first()]
     share = F.greatest(*(F.col(m) / (t / shards) for m, t in zip(_MEASURES, total, strict=True)))
     large = facts.groupBy("h1", "h2").agg(*sums).withColumn("share", share).where(F.col("share") > 1 / PARTS)
-    large, first = [r.asDict() for r in large.orderBy("h1", "h2").collect()], shards * LOTS
+    lots = max(shards * LOTS, -(-total[2] // LOT_ROWS), -(-total[0] // LOT_BYTES))
+    large, first = [r.asDict() for r in large.orderBy("h1", "h2").collect()], lots
     for group in large:
-        group["first"], group["pieces"] = first, int(np.ceil(group["share"] * PARTS))
+        group["first"], group["pieces"] = first, max(int(np.ceil(group["share"] * PARTS)), -(-group["rows"] // LOT_ROWS))
         first += group["pieces"]
     known = spark.createDataFrame([(g["h1"], g["h2"], g["first"], g["pieces"]) for g in large], "h1 long, h2 long, first long, pieces long")
 
     def celled(df: DataFrame, doc_id: str) -> DataFrame:
         piece = F.col("first") + F.pmod(F.xxhash64(doc_id, "h1"), F.col("pieces"))
-        lot = F.pmod(F.xxhash64("h1", "h2"), F.lit(shards * LOTS))
+        lot = F.pmod(F.xxhash64("h1", "h2"), F.lit(lots))
         return df.join(F.broadcast(known), ["h1", "h2"], "left").withColumn("cell", F.coalesce(piece, lot))
 
     cells = [r.asDict() for r in celled(facts, "doc_id").groupBy("cell").agg(*sums).orderBy("cell").collect()]

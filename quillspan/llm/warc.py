@@ -56,11 +56,17 @@ def info_record(shard: int, seq: int) -> bytes:
     return record("warcinfo", headers, b"software: quillspan\r\nformat: WARC File Format 1.1\r\n")
 
 
+def _filesystem(folder: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a URI and the path in it; Hadoop's names of object stores are taken for Arrow's."""
+    scheme, colon, rest = folder.partition("://")
+    return pafs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3", "wasbs": "abfss"}.get(scheme, scheme) + colon + rest)
+
+
 class _File:
     """An archive being written under a temporary name that no other attempt uses."""
 
     def __init__(self, folder: str, shard: int, seq: int):
-        self.fs, base = pafs.FileSystem.from_uri(folder)
+        self.fs, base = _filesystem(folder)
         self.shard, self.seq = shard, seq
         self.temp = f"{base}/_temporary/{uuid.uuid4().hex}.open"
         self.final = f"{base}/part-{shard:06d}-{seq:04d}.warc.gz"
@@ -100,12 +106,12 @@ def _writer(folder: str, roll_bytes: int):
 
 def _committer(folder: str):
     def commit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, _ = pafs.FileSystem.from_uri(folder)
+        fs, _ = _filesystem(folder)
         for batch in batches:
-            for temp, final in zip(batch.column("temp").to_pylist(), batch.column("final").to_pylist(), strict=True):
+            for temp, final, size in zip(*(batch.column(c).to_pylist() for c in ("temp", "final", "n_bytes")), strict=True):
                 if fs.get_file_info(temp).type != pafs.FileType.NotFound:
                     fs.move(temp, final)
-                elif fs.get_file_info(final).type == pafs.FileType.NotFound:
+                elif fs.get_file_info(final).size != size:  # an attempt before this one has moved it, or nothing is there
                     raise FileNotFoundError(temp)
             yield batch
 
@@ -124,7 +130,8 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, roll_bytes
     manifest lists (again without harm), and the manifest itself is renamed last: an archive without it isn't there.
     What lost or repeated attempts left is removed.
 
-    A null page_id is never a response that others refer to, and ties in page_id are all responses. Repeated rows
+    A null page_id is never a response that others refer to, and such records are placed by payload and url; ties in
+    page_id are all responses. Repeated rows
     are repeated records. A null url becomes the record's own name. Extra columns are ignored; an empty table gives
     a manifest without files.
     """
@@ -140,7 +147,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, roll_bytes
 
     rows = rows.join(copies, "digest", "left")
     revisit = ~F.col("first").eqNullSafe(F.col("page_id")) & (F.col("payload_bytes") >= min_bytes)
-    rows = rows.withColumn("first", F.when(revisit, F.col("first"))).withColumn("place", F.xxhash64("page_id"))
+    rows = rows.withColumn("first", F.when(revisit, F.col("first"))).withColumn("place", F.when(F.col("page_id").isNull(), F.xxhash64("digest", "url")).otherwise(F.xxhash64("page_id")))
     high = F.shiftrightunsigned("place", 31).cast("long")  # 33 bits
     rows = rows.withColumn("shard", F.shiftright(high * F.lit(shards), 33).cast("long"))
     rows = rows.select("shard", "place", "page_id", "url", "html", "first").repartitionById(shards, F.col("shard").cast("int"))
@@ -177,17 +184,32 @@ def _records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, body[: int(headers["Content-Length"])]
 
 
+class _Checked:
+    """A stream that counts and hashes what is read of it."""
+
+    def __init__(self, stream):
+        self.stream, self.bytes, self.sha = stream, 0, hashlib.sha256()
+
+    def read(self, size: int) -> bytes:
+        data = self.stream.read(size)
+        self.bytes += len(data)
+        self.sha.update(data)
+        return data
+
+
 def _reader(folder: str):
     names = [c.split()[0] for c in RECORDS.split(", ")]
     types = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
     schema = pa.schema([(c.split()[0], types[c.split()[1]]) for c in RECORDS.split(", ")])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, _ = pafs.FileSystem.from_uri(folder)
-        for final in (x for batch in batches for x in batch.column("final").to_pylist()):
-            rows, held = [], 0
-            with fs.open_input_stream(final, compression=None) as stream:
+        fs, _ = _filesystem(folder)
+        for final, told_bytes, told_records, told_sha in (x for batch in batches for x in zip(*(batch.column(c).to_pylist() for c in ("final", "n_bytes", "n_records", "sha256")), strict=True)):
+            rows, held, seen = [], 0, 0
+            with fs.open_input_stream(final, compression=None) as raw:
+                stream = _Checked(raw)
                 for headers, block in _records(stream):
+                    seen += 1
                     if f"sha1:{digest_of(block)}" != headers["WARC-Block-Digest"]:
                         raise ValueError(f"{final}: {headers['WARC-Record-ID']} is damaged")
                     if headers["WARC-Type"] == "warcinfo":
@@ -205,6 +227,8 @@ def _reader(folder: str):
                     if held >= BATCH_BYTES:
                         yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=schema)
                         rows, held = [], 0
+            if (stream.bytes, seen, stream.sha.hexdigest()) != (told_bytes, told_records, told_sha):
+                raise ValueError(f"{final}: not the file that the manifest names")
             if rows:
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=schema)
 
@@ -213,8 +237,9 @@ def _reader(folder: str):
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """The records of a committed archive, a file a task: record_id, record_type, uri, payload_digest, payload_bytes,
-    refers_to, payload (null for revisits). Digests are checked; damage raises."""
-    manifest = spark.read.parquet(f"{folder}/_manifest").select("final")
+    refers_to, payload (null for revisits). Digests of records are checked, and bytes, records and digest of each file
+    against the manifest; damage raises."""
+    manifest = spark.read.parquet(f"{folder}/_manifest").select("final", "n_bytes", "n_records", "sha256")
     files = max(1, manifest.count())
     at = F.pmod(F.xxhash64("final"), F.lit(files)).cast("int")
     return manifest.repartitionById(files, at).mapInArrow(_reader(folder), RECORDS)

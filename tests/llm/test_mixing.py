@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +15,34 @@ def test_share_out():
     assert share_out(7, [], []) == []
 
 
+def water(budget, room, weights):
+    """The same law by another way: the level at which min(room, level * weight) adds up to the budget."""
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(r, level * w) for r, w in zip(room, weights, strict=True)) < budget else (low, level)
+    return [min(r, low * w) for r, w in zip(room, weights, strict=True)]
+
+
+def test_budgets_against_levels():
+    """Budgets down a random tree within a token of the level that fills each node's children."""
+    rng = random.Random(3)
+    for _ in range(40):
+        leaves = {(d, x, s): rng.randint(0, 400) for d in "ab" for x in ("en", "de", "fr") for s in ("s", "t") if rng.random() < 0.8}
+        weights = {"domain": {"a": 3.0, "b": 1.0}, "language": {"en": 0.6, "de": 0.3}, "source": {"t": 0.5}}
+        epochs = rng.randint(1, 3)
+        budget = rng.randint(0, epochs * sum(leaves.values()))
+        got = budgets(leaves, budget, weights, epochs)
+        assert sum(got.values()) == budget and all(got[k] <= epochs * n for k, n in leaves.items())
+        for depth, level in enumerate(("domain", "language", "source")):
+            for head in {k[:depth] for k in leaves}:
+                names = sorted({k[depth] for k in leaves if k[:depth] == head})
+                part = [sum(v for k, v in got.items() if k[: depth + 1] == (*head, n)) for n in names]
+                room = [epochs * sum(v for k, v in leaves.items() if k[: depth + 1] == (*head, n)) for n in names]
+                want = water(sum(part), room, [weights[level].get(n, 1.0) for n in names])
+                assert all(abs(p - w) < 1.01 for p, w in zip(part, want, strict=True)), (part, want)
+
+
 def test_shortage_goes_to_siblings_first():
     leaves = {("a", "en", "s1"): 10, ("a", "de", "s1"): 1000, ("b", "en", "s1"): 1000}
     weights = {"domain": {"a": 1, "b": 1}, "language": {"en": 3, "de": 1}}

@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
+from quillspan.llm import sharding
 from quillspan.llm.sharding import op9_sharding, pack, shard_documents
 
 
@@ -14,6 +15,30 @@ def test_pack_balances_every_measure():
     assert (np.abs(sums / sums.mean(axis=0) - 1) < 0.01).all()
 
 
+def test_pack_is_the_naive_greedy():
+    """Largest first, into the shard where the dot product with what is left of its capacity is highest, in plain loops."""
+    rng = np.random.default_rng(4)
+    items = rng.integers(1, 50, (300, 3)).astype(float)
+    capacity = items.sum(axis=0) / 7
+    left, want = [[1.0] * 3 for _ in range(7)], [None] * 300
+    need = [[x / c for x, c in zip(row, capacity, strict=True)] for row in items.tolist()]
+    for i in sorted(range(300), key=lambda i: (-max(need[i]), i)):
+        fit = [sum(a * b for a, b in zip(need[i], own, strict=True)) for own in left]
+        want[i] = max(range(7), key=lambda s: (round(fit[s], 12), -s))
+        left[want[i]] = [a - b for a, b in zip(left[want[i]], need[i], strict=True)]
+    assert pack(items, 7).tolist() == want
+
+
+def test_lots_grow_with_the_rows(spark, monkeypatch):
+    """Where a lot would hold too many rows there are more lots; slots stay without gaps."""
+    monkeypatch.setattr(sharding, "LOTS", 1)
+    monkeypatch.setattr(sharding, "LOT_ROWS", 10)
+    out = shard_documents(spark.createDataFrame([(i, f"text {i}") for i in range(1500)], "doc_id long, text string"), 3).collect()
+    slots = {s: sorted(r.slot for r in out if r.shard == s) for s in range(3)}
+    assert sum(map(len, slots.values())) == 1500 and all(v == list(range(len(v))) for v in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) < 15
+
+
 def test_documents(spark):
     out = op9_sharding(spark, "/root/testdata/sf0.1").collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").collect()}

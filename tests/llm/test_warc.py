@@ -2,6 +2,7 @@ import base64
 import hashlib
 
 import pyarrow.fs as pafs
+import pytest
 
 from quillspan.llm.storage import new_path
 from quillspan.llm.warc import read_archives, write_archives
@@ -57,3 +58,41 @@ def test_empty_table(spark):
     folder = new_path(spark, "test-warc")
     write_archives(spark.createDataFrame([], SCHEMA), folder)
     assert read_archives(spark, folder).count() == 0
+
+
+def test_a_file_that_is_not_the_manifests_is_refused(spark):
+    """Cut at the end of a record, every record that is left is sound; only the manifest tells."""
+    folder = new_path(spark, "test-warc")
+    write_archives(spark.createDataFrame([(i, f"http://h/{i}", f"page {i} " * 30, 0) for i in range(200)], SCHEMA), folder, min_shards=2)
+    fs, base = pafs.FileSystem.from_uri(folder)
+    path = next(f.path for f in fs.get_file_info(pafs.FileSelector(base)) if f.path.endswith(".warc.gz"))
+    data = fs.open_input_stream(path, compression=None).read()
+    last = data.rindex(b"\x1f\x8b\x08")
+    with fs.open_output_stream(path, compression=None) as out:
+        out.write(data[:last])
+    with pytest.raises(Exception, match="not the file that the manifest names"):
+        read_archives(spark, folder).count()
+
+
+def test_torn_commits_and_second_runs(spark):
+    """A manifest whose rename never came is no archive; the same run again makes it one, with the same files."""
+    folder, rows = new_path(spark, "test-warc"), [(i, f"http://h/{i}", f"page {i} " * 30, 0) for i in range(50)]
+    write_archives(spark.createDataFrame(rows, SCHEMA), folder, min_shards=2)
+    before, _ = files(folder)
+    fs, base = pafs.FileSystem.from_uri(folder)
+    fs.delete_dir(f"{base}/_manifest")
+    with pytest.raises(Exception):
+        read_archives(spark, folder)
+    write_archives(spark.createDataFrame(rows, SCHEMA), folder, min_shards=2)
+    assert files(folder)[0] == before and read_archives(spark, folder).count() == 50
+
+
+def test_payloads_beyond_the_read_step_and_many_null_ids(spark):
+    """Payloads of several megabytes come back whole; records without id are spread by what they hold."""
+    big = "".join(f"{k * 7919 % 1000003:07d}" for k in range(400_000))
+    rows = [(1, "u", big, 0), (2, "v", big, 0)] + [(None, f"http://n/{k}", f"text {k}", 0) for k in range(300)]
+    folder = new_path(spark, "test-warc")
+    write_archives(spark.createDataFrame(rows, SCHEMA), folder, min_shards=8)
+    got = read_archives(spark, folder).collect()
+    assert len(got) == 302 and {bytes(r.payload).decode() for r in got if r.record_id == "urn:x-page:1"} == {big}
+    assert len(files(folder)[0]) == 8
