@@ -18,12 +18,12 @@ SAMPLE_DOCS, SAMPLE_ROWS, PASSAGES, PASSAGE_CHARS = 300, 20_000, 4, 96
 #: Passages with other letters in their places, by which the network learns what is no known language, for each real one.
 SCRAMBLED = 0.25
 #: Width of each direction, and how it is trained.
-HIDDEN, STEPS, BATCH, RATE = 16, 700, 128, 0.01
+HIDDEN, STEPS, BATCH, RATE = 12, 700, 128, 0.01
 #: Bytes of a text that one window labels, and bytes before and after these that the directions have read by then.
 SPAN, MARGIN = 512, 32
 #: Text bytes that a worker cuts into windows at once, windows that run side by side (few enough that the linear algebra
 #: library starts no threads of its own), and numbers that these may hold.
-SLICE_BYTES, ROWS, CELLS = 1 << 20, 320, 1 << 22
+SLICE_BYTES, ROWS, CELLS = 1 << 20, 600, 1 << 22
 
 #: Bytes of letters from which a text counts as long, long texts that a calibration needs, the share of long known texts
 #: below the least score, and that of short ones above their slack.
