@@ -24,7 +24,10 @@ from quillspan.functions.text import (
     stable_id,
 )
 
+from quillspan.sources.scratch import cut
+
 from .coherence import MosaicPolicy, bigram_cosine, mosaic_rows, splice_rows
+from .limits import warnings_of
 from .lines import FIRST, LAST, in_order, physical_lines
 
 # What the rules look for.
@@ -329,7 +332,7 @@ def corpus_shifts(sources: DataFrame, lines: DataFrame, policy: AnomalyPolicy =
     """Windows, mosaics and collages together: windows speak only in sources without separators; where a source has
     two structural headings, only its splices count."""
     schema = "source_id string, start_char long, end_char long, signals array<string>"
-    collage = sources.select("source_id", "text").mapInPandas(splice_rows, schema)
+    collage = cut(sources.select("source_id", "text").mapInPandas(splice_rows, schema), "splices")
     structured = collage.select("source_id").distinct()
     blocks = separator_blocks(lines, sources)
     separated = lines.where(F.col("content").rlike(SEPARATOR)).select("source_id").distinct()
@@ -343,6 +346,13 @@ def corpus_shifts(sources: DataFrame, lines: DataFrame, policy: AnomalyPolicy =
     return out.unionByName(findings(_with_lines(collage.where("start_char is not null"), sources), "INTRA_UNIT_CROSS_WORK_SPLICE_CANDIDATE", policy))
 
 
+def mosaic_warnings(sources: DataFrame, lines: DataFrame, policy: AnomalyPolicy = AnomalyPolicy()) -> DataFrame:
+    """MOSAIC_BLOCK_LIMIT_REACHED for each source with a block that the mosaic rule does not read for its length; the
+    blocks are counted."""
+    long_ = separator_blocks(lines, sources).where(F.length("block_text") > policy.mosaic.max_block_characters)
+    return warnings_of(long_.groupBy("source_id").agg(F.count("*").alias("n")), "anomaly", "MOSAIC_BLOCK_LIMIT_REACHED", F.col("n"))
+
+
 def inspect_anomalies(sources: DataFrame, policy: AnomalyPolicy = AnomalyPolicy(), lines: DataFrame | None = None) -> DataFrame:
     """All findings of ``sources`` (source_id, text); ``lines`` are their physical lines where they are at hand."""
     lines = physical_lines(sources) if lines is None else lines

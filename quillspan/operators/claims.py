@@ -379,7 +379,9 @@ def validate_claims(candidates: DataFrame, sources: DataFrame, units: DataFrame)
     The envelope is judged on joined rows: a valid span within the text, the same text, a known unit around it. Only
     the evidence, not the whole text, goes through Arrow to the validators."""
     spans = units.select("source_id", "unit_id", F.col("start_char").alias("unit_start"), F.col("end_char").alias("unit_end"))
-    df = candidates.join(spans, ["source_id", "unit_id"], "left").join(sources.select("source_id", F.col("text").alias("source_text")), "source_id", "left")
+    homes = units.select("unit_id", F.col("source_id").alias("home")).groupBy("unit_id").agg(F.min("home").alias("home"))
+    lost = candidates.select("source_id", "unit_id").distinct().join(spans, ["source_id", "unit_id"], "left_anti").join(homes, "unit_id")
+    df = candidates.join(spans, ["source_id", "unit_id"], "left").join(lost, ["source_id", "unit_id"], "left").join(sources.select("source_id", F.col("text").alias("source_text")), "source_id", "left")
     a, b = F.col("evidence_start"), F.col("evidence_end")
     bad, beyond = (a < 0) | (b <= a), b > F.coalesce(F.length("source_text"), F.lit(0))
     evidence = F.when(bad | beyond, "").otherwise(part_of(F.col("source_text"), a, b))
@@ -387,10 +389,11 @@ def validate_claims(candidates: DataFrame, sources: DataFrame, units: DataFrame)
         F.when(bad, "EVIDENCE_SPAN_INVALID")
         .when(beyond, "EVIDENCE_SPAN_OUT_OF_RANGE")
         .when(F.col("evidence_text").isNotNull() & (F.col("evidence_text") != evidence), "EVIDENCE_TEXT_MISMATCH")
+        .when(F.col("home").isNotNull(), "UNIT_IDENTITY_MISMATCH")
         .when(F.col("unit_start").isNull(), "UNIT_NOT_FOUND")
         .when((a < F.col("unit_start")) | (b > F.col("unit_end")), "EVIDENCE_OUTSIDE_UNIT")
     )
-    df = df.withColumns({"evidence": evidence, "envelope": envelope}).drop("source_text", "unit_start", "unit_end")
+    df = df.withColumns({"evidence": evidence, "envelope": envelope}).drop("source_text", "unit_start", "unit_end", "home")
     kept = [c for c in df.columns if c not in ("evidence", "envelope")]
     out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*kept).schema), RESULT])
 

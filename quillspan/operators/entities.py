@@ -325,7 +325,7 @@ def valid_links(links: DataFrame, found: DataFrame, sources: DataFrame, units: D
     tests = (
         ("UNKNOWN_MENTION", F.col("a").isNull() | F.col("b").isNull()),
         ("SAME_MENTION", F.col("a") == F.col("b")),
-        ("CROSSES_SOURCES", (F.col("left_source") != F.col("right_source")) | (F.col("left_source") != F.col("source_id"))),
+        ("CROSS_SOURCE_IDENTITY_MERGE", (F.col("left_source") != F.col("right_source")) | (F.col("left_source") != F.col("source_id"))),
         ("EVIDENCE_TEXT_MISMATCH", ~F.col("evidence_text").eqNullSafe(local)),
         ("OUTSIDE_UNIT", ~F.coalesce((F.col("unit_start") <= F.col("evidence_start")) & (F.col("evidence_end") <= F.col("unit_end")), F.lit(False))),
     )

@@ -154,12 +154,15 @@ def absent_not_negative(asked: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def named_entities(asked: DataFrame, entities: DataFrame) -> DataFrame:
-    """J-06: questions that contain the name of an entity. Names are matched as substrings of a few questions: these, not
-    the names, are broadcast."""
+    """J-06: questions that contain the name of an entity. A question is short: its parts of two characters and more are
+    joined with the names by equality, so neither side is sent everywhere."""
     form = F.regexp_replace(F.lower("question"), "(?U)[\\s，。！？；：、,.!?;:]+", "")
-    few = asked.select("question_id", "source_filter", form.alias("form"))
     names = entity_names(entities).where(F.length("normalized_name") >= 2)
-    met = names.join(F.broadcast(few), F.col("form").contains(F.col("normalized_name")))
+    starts, last = F.sequence(F.lit(1), F.length("form")), F.length("form")
+    parts = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(2), F.greatest(last - i + 1, F.lit(2))), lambda n: F.substring("form", i, n))))
+    each = asked.select("question_id", "source_filter", form.alias("form")).where(F.length("form") >= 2)
+    each = each.select("question_id", "source_filter", F.explode(F.array_distinct(parts)).alias("normalized_name"))
+    met = each.join(names, "normalized_name")
     return met.where(F.col("source_filter").isNull() | F.array_contains("source_ids", F.col("source_filter"))).select("question_id").distinct()
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,21 +55,21 @@ def render(claim: Column, marks: Column) -> Column:
     )
 
 
-def answers(asked: DataFrame, facts: DataFrame, entities: DataFrame, max_citations: int = 20) -> DataFrame:
+def answers(asked: DataFrame, facts: DataFrame, entities: DataFrame, max_citations: int = 20, keep: Callable[[DataFrame, str], DataFrame] = cut) -> DataFrame:
     """R-08: one packet a question: decision, reason_codes, answer_text, answer_claim, citations, packet_id.
 
-    Questions and what each step finds are written once, so that plans stay small and nothing runs twice; facts should be a
-    written table too.
+    Questions and what each step finds are kept once (``keep``: written, or for a few questions held), so that plans stay
+    small and nothing runs twice; facts should be a written table too.
 
     Where a permission question finds nothing, facts of the opposite polarity may answer it with no (R-05, F-41); that
     nothing is recorded never does. Hits that say different things refuse; citations are the first by place, numbered."""
     if not 1 <= max_citations <= 20:
         raise ValueError("an answer has 1 to 20 citations")
-    asked, facts, entities = cut(asked, "questions"), indexed_facts(facts), entity_names(entities)
-    first, hits = (cut(df, "answerability") for df in answerability(asked, facts, entities))
+    asked, facts, entities = keep(asked, "questions"), indexed_facts(facts), entity_names(entities)
+    first, hits = (keep(df, "answerability") for df in answerability(asked, facts, entities))
     open_ = first.where("answerability = 'not_answerable' and predicate = 'permission' and requested_role = 'boolean'")
     turned = asked.join(open_.select("question_id"), "question_id", "left_semi").withColumn("polarity", ~F.col("polarity"))
-    second, more = (cut(df, "answerability") for df in answerability(cut(turned, "questions"), facts, entities))
+    second, more = (keep(df, "answerability") for df in answerability(keep(turned, "questions"), facts, entities))
     second = second.where("answerability in ('answerable', 'ambiguous')").select("question_id", F.col("answerability").alias("other"), F.col("reason_codes").alias("other_codes"))
     state = first.join(second, "question_id", "left").withColumn("final", F.coalesce("other", "answerability"))
     ask = state.select("question_id", F.struct(*asked.columns).alias("ask"), "final", "reason_codes", "other_codes")

@@ -13,6 +13,7 @@ from quillspan.functions.numerals import ordinal
 from quillspan.functions.text import collapse, part_of, sha, stable_id
 
 from .headings import FENCE, SENTENCE_MARKS, SPLIT_NUMBER, SPLIT_UNIT, UNIT_WORDS, Heading, StructurePolicy, detect_heading, title_and_body
+from .limits import within
 from .lines import FIRST, LAST, in_order, physical_lines
 
 HEADINGS = (
@@ -114,11 +115,17 @@ def heading_candidates(lines: DataFrame, policy: StructurePolicy = StructurePoli
     return found.withColumn("heading_id", stable_id("hdg_", *(F.col(c) for c in ("source_id", "rule_id", "start_char", "end_char", "raw")), length=32))
 
 
+def boundaries(headings: DataFrame, policy: StructurePolicy = StructurePolicy()) -> tuple[DataFrame, DataFrame]:
+    """Accepted headings that begin units, one a place and at most ``max_units`` a source, and UNIT_LIMIT_REACHED for the
+    sources that have more."""
+    marks = headings.where("accepted").withColumn("twin", F.row_number().over(Window.partitionBy("source_id", "boundary_start").orderBy("heading_id"))).where("twin = 1")
+    return within(marks.drop("twin"), policy.max_units, ("boundary_start",), "structure", "UNIT_LIMIT_REACHED")
+
+
 def units(headings: DataFrame, sources: DataFrame, lines: DataFrame, policy: StructurePolicy = StructurePolicy()) -> DataFrame:
     """W-06, W-08: contiguous units: from each accepted heading to the next, what stands before the first, or the whole
     text. A unit's parent is the nearest unit before it of a lower level."""
-    marks = headings.where("accepted").withColumn("twin", F.row_number().over(Window.partitionBy("source_id", "boundary_start").orderBy("heading_id"))).where("twin = 1")
-    marks = marks.withColumn("nth", F.row_number().over(in_order("boundary_start"))).where(F.col("nth") <= policy.max_units)
+    marks, _ = boundaries(headings, policy)
     size = sources.select("source_id", F.length("text").cast("long").alias("size")).where("size > 0")
     count = lines.groupBy("source_id").agg(F.max("line_no").cast("long").alias("n_lines"))
     first = marks.groupBy("source_id").agg(F.min("boundary_start").alias("first"), F.min_by("start_line", "boundary_start").alias("first_line"))
@@ -256,3 +263,10 @@ def unit_texts(units_: DataFrame, sources: DataFrame) -> DataFrame:
     rows = units_.join(sources, "source_id").withColumn("unit_text", part_of(F.col("text"), F.col("start_char"), F.col("end_char"))).drop("text")
     broken = F.raise_error(F.concat(F.lit("content hash mismatch: "), "unit_id"))
     return rows.withColumn("unit_text", F.when(sha(F.col("unit_text")) == F.col("content_sha256"), F.col("unit_text")).otherwise(broken))
+
+
+def structure_report(units_: DataFrame, findings: DataFrame) -> DataFrame:
+    """G-02: source_id, kind (unit or finding), name (unit type or rule), n."""
+    each = units_.select("source_id", F.lit("unit").alias("kind"), F.col("unit_type").alias("name"))
+    each = each.unionByName(findings.select("source_id", F.lit("finding").alias("kind"), F.col("rule_id").alias("name")))
+    return each.groupBy("source_id", "kind", "name").agg(F.count("*").alias("n"))

@@ -5,16 +5,21 @@ from __future__ import annotations
 import hashlib
 import json
 from dataclasses import dataclass, field, fields, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspan.operators import anomaly, chunking, claims, entities, headings, qa, retrieval, semantics, structure
+from quillspan.operators.limits import within
 from quillspan.operators.lines import physical_lines
 from quillspan.sources import tables as store
+from quillspan.sources.scratch import cut, new_path
 
 #: Of the rules; a build of another version is another build.
-VERSION = "quillspan-1"
+VERSION = "quillspan-2"
+#: Questions that are answered without written tables, and rows that such a step may hold at the driver.
+FEW, MOST_LOCAL = 20, 10_000
 
 
 @dataclass(frozen=True)
@@ -36,12 +41,15 @@ PROFILES = {
 }
 
 
-def accepted_claims(sources: DataFrame, units: DataFrame, findings: DataFrame, policy: semantics.SemanticPolicy) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Candidates with verdict, those that may be indexed, and model tasks. A claim may be indexed if it is asserted and
-    accepted, its unit needs no review and no unsafe finding overlaps its evidence (T-22)."""
+def accepted_claims(sources: DataFrame, units: DataFrame, findings: DataFrame, policy: semantics.SemanticPolicy) -> dict[str, DataFrame]:
+    """``claims``: candidates with verdict; ``model_tasks``; ``long_clauses`` that were not read; and ``warnings`` where a
+    limit was reached. A claim may be indexed if it is asserted and accepted, its unit needs no review and no unsafe
+    finding overlaps its evidence (T-22)."""
     texts = structure.unit_texts(units, sources)
-    found, _, tasks = semantics.candidates(texts, policy)
-    found = found.withColumn("evidence_text", F.col("clause"))
+    found, unread, tasks = semantics.candidates(texts, policy)
+    found, tasks = cut(found, "candidates"), cut(tasks, "model-tasks")
+    found, many = within(found.withColumn("evidence_text", F.col("clause")), policy.max_candidates, ("evidence_start", "trigger_start", "claim_type", "candidate_id"), "semantic", "CANDIDATE_LIMIT_REACHED")
+    tasks, more_tasks = within(tasks, policy.max_model_tasks, ("evidence_start", "evidence_end", "task_id"), "semantic", "MODEL_TASK_LIMIT_REACHED")
     judged = claims.validate_claims(found, sources, units)
     asserted = F.col("discourse_status") == "assertion"
     silent = F.array(F.lit("NONASSERTIVE_DISCOURSE"))
@@ -52,11 +60,12 @@ def accepted_claims(sources: DataFrame, units: DataFrame, findings: DataFrame, p
     settled, clean = F.col("review_status") == "accepted_candidate", F.size("upstream") == 0
     more = F.array_compact(F.array(F.when(~settled, F.lit("UNIT_REQUIRES_STRUCTURE_REVIEW")), F.when(~clean, F.lit("EVIDENCE_OVERLAPS_UPSTREAM_ANOMALY"))))
     judged = judged.withColumns({"reason_codes": F.array_distinct(F.concat("reason_codes", more)), "may_index": (F.col("status") == "accepted") & settled & clean})
-    return judged, judged.where("may_index"), tasks
+    return {"claims": judged, "model_tasks": tasks, "long_clauses": unread, "warnings": many.unionByName(more_tasks)}
 
 
-def semantic_findings(judged: DataFrame) -> DataFrame:
-    """Section 2.13: candidate_id, rule_id, severity, signals."""
+def semantic_findings(judged: DataFrame, unread: DataFrame | None = None) -> DataFrame:
+    """Section 2.13: candidate_id, rule_id, severity, signals; and a finding for each clause that is too long to be read
+    (P-18), without candidate."""
     rules = {
         "CANDIDATE_IN_REVIEW_UNIT": (F.col("review_status") != "accepted_candidate", "medium", F.array(F.concat(F.lit("unit_review_status="), "review_status"))),
         "EVIDENCE_OVERLAPS_UPSTREAM_ANOMALY": (F.size("upstream") > 0, "high", F.col("upstream")),
@@ -64,51 +73,89 @@ def semantic_findings(judged: DataFrame) -> DataFrame:
         "DETERMINISTIC_CANDIDATE_NOT_ACCEPTED": ((F.col("discourse_status") == "assertion") & (F.col("status") != "accepted"), "medium", F.col("reason_codes")),
     }
     each = F.array_compact(F.array(*(F.when(test, F.struct(F.lit(k).alias("rule_id"), F.lit(sev).alias("severity"), told.alias("signals"))) for k, (test, sev, told) in rules.items())))
-    return judged.select("source_id", "unit_id", "candidate_id", "evidence_start", "evidence_end", F.explode(each).alias("f")).select("source_id", "unit_id", "candidate_id", "evidence_start", "evidence_end", "f.*")
+    out = judged.select("source_id", "unit_id", "candidate_id", "evidence_start", "evidence_end", F.explode(each).alias("f")).select("source_id", "unit_id", "candidate_id", "evidence_start", "evidence_end", "f.*")
+    if unread is None:
+        return out
+    about = {"candidate_id": F.lit(None).cast("string"), "rule_id": F.lit("CLAUSE_EXCEEDS_EXTRACTION_LIMIT"), "severity": F.lit("medium"), "signals": F.array(F.concat(F.lit("length="), F.length("clause")))}
+    return out.unionByName(unread.withColumns(about).select(*out.columns))
+
+
+def semantic_report(judged: DataFrame) -> DataFrame:
+    """G-03: source_id, kind (claim_type, discourse_status or validation_status), name, n."""
+    kinds = {"claim_type": "claim_type", "discourse_status": "discourse_status", "validation_status": "status"}
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("name")) for k, c in kinds.items())))
+    return judged.select("source_id", each.alias("x")).groupBy("source_id", "x.kind", "x.name").agg(F.count("*").alias("n"))
+
+
+_PLACE = ("start_char", "end_char", "rule_id", "finding_id")
+
+
+def _inspected(sources: DataFrame, lines: DataFrame, policy: ProjectPolicy) -> dict[str, DataFrame]:
+    """Findings up to the policy's limit, headings, and the warnings of both."""
+    found, many = within(cut(anomaly.inspect_anomalies(sources, policy.anomaly, lines), "findings"), policy.anomaly.max_findings, _PLACE, "anomaly", "FINDING_LIMIT_REACHED")
+    marks = structure.heading_candidates(lines, policy.structure)
+    return {"anomalies": found, "headings": marks, "warnings": many.unionByName(anomaly.mosaic_warnings(sources, lines, policy.anomaly))}
+
+
+def _structured(sources: DataFrame, lines: DataFrame, marks: DataFrame, units: DataFrame, policy: ProjectPolicy) -> dict[str, DataFrame]:
+    found, many = within(cut(structure.continuity_findings(units, marks, policy.structure), "findings"), policy.structure.max_findings, _PLACE, "structure", "FINDING_LIMIT_REACHED")
+    _, beyond = structure.boundaries(marks, policy.structure)
+    return {"structure_findings": found, "chunks": chunking.chunks(structure.unit_texts(units, sources), policy.chunk), "warnings": many.unionByName(beyond)}
+
+
+def _judged(semantic: dict[str, DataFrame], policy: semantics.SemanticPolicy) -> tuple[DataFrame, DataFrame]:
+    order = ("evidence_start", "evidence_end", "rule_id", "candidate_id")
+    return within(semantic_findings(semantic["claims"], semantic["long_clauses"]), policy.max_findings, order, "semantic", "SEMANTIC_FINDING_LIMIT_REACHED")
 
 
 def build(sources: DataFrame, policy: ProjectPolicy = ProjectPolicy(), links: DataFrame | None = None) -> dict[str, DataFrame]:
     """All tables of a project from ``sources`` (source_id, text)."""
     lines = physical_lines(sources)
-    found = anomaly.inspect_anomalies(sources, policy.anomaly)
-    marks = structure.heading_candidates(lines, policy.structure)
-    units = structure.units(marks, sources, lines, policy.structure)
-    judged, good, tasks = accepted_claims(sources, units, found, policy.semantic)
-    out = {
-        "sources": sources.select("source_id", "text", F.sha2("text", 256).alias("source_sha256")),
-        "anomalies": found,
-        "headings": marks,
-        "units": units,
-        "structure_findings": structure.continuity_findings(units, marks, policy.structure),
-        "chunks": chunking.chunks(structure.unit_texts(units, sources), policy.chunk),
-        "claims": judged,
-        "semantic_findings": semantic_findings(judged),
-        "model_tasks": tasks,
-    }
-    return out | entities.normalize(good, sources, units, links)
+    first = _inspected(sources, lines, policy)
+    units = structure.units(first["headings"], sources, lines, policy.structure)
+    second = _structured(sources, lines, first["headings"], units, policy)
+    semantic = accepted_claims(sources, units, first["anomalies"], policy.semantic)
+    found, many = _judged(semantic, policy.semantic)
+    warnings = reduce(DataFrame.unionByName, [first["warnings"], second["warnings"], semantic["warnings"], many])
+    out = {"sources": sources.select("source_id", "text", F.sha2("text", 256).alias("source_sha256")), "units": units, "semantic_findings": found}
+    out |= first | second | semantic | {"warnings": warnings}
+    return out | entities.normalize(semantic["claims"].where("may_index"), sources, units, links)
 
 
 def publish(spark: SparkSession, sources: DataFrame, path: str, policy: ProjectPolicy = ProjectPolicy(), links: DataFrame | None = None) -> None:
-    """Builds and writes a project. Each stage is written and read back before the next builds on it, so none runs twice."""
+    """Builds a project and puts it in the place of what was at ``path``. Each stage is written and read back before the next
+    builds on it, so none runs twice. All is written beside the place, and takes it by a rename only when it is whole: a
+    build that fails or is killed leaves the old project as it was."""
+    with store.replacing(spark, path) as place:
+        _write(spark, sources, place, policy, links)
+
+
+def _write(spark: SparkSession, sources: DataFrame, path: str, policy: ProjectPolicy, links: DataFrame | None) -> None:
     ready: dict[str, DataFrame] = {}
 
     def keep(**made: DataFrame) -> None:
         ready.update(store.write_tables(made, path))
 
-    store.drop_manifest(spark, path)
     keep(sources=sources.select("source_id", "text", F.sha2("text", 256).alias("source_sha256")))
     texts = ready["sources"].select("source_id", "text")
     keep(lines=physical_lines(texts))
-    keep(anomalies=anomaly.inspect_anomalies(texts, policy.anomaly, ready["lines"]), headings=structure.heading_candidates(ready["lines"], policy.structure))
+    first = _inspected(texts, ready["lines"], policy)
+    keep(anomalies=first["anomalies"], headings=first["headings"])
     keep(units=structure.units(ready["headings"], texts, ready["lines"], policy.structure))
     units = ready["units"]
-    keep(structure_findings=structure.continuity_findings(units, ready["headings"], policy.structure), chunks=chunking.chunks(structure.unit_texts(units, texts), policy.chunk))
-    judged, _, tasks = accepted_claims(texts, units, ready["anomalies"], policy.semantic)
-    keep(claims=judged, model_tasks=tasks)
+    second = _structured(texts, ready["lines"], ready["headings"], units, policy)
+    keep(structure_findings=second["structure_findings"], chunks=second["chunks"])
+    problems = chunking.chunk_problems(ready["chunks"], policy.chunk)
+    if not problems.isEmpty():
+        raise ValueError(f"chunks break their own rules: {problems.first().asDict()}")
+    semantic = accepted_claims(texts, units, ready["anomalies"], policy.semantic)
+    keep(claims=semantic["claims"], model_tasks=semantic["model_tasks"], long_clauses=semantic["long_clauses"])
     good = ready["claims"].where("may_index")
     if good.isEmpty():
         raise ValueError("no claim was accepted: there is nothing to index")
-    keep(semantic_findings=semantic_findings(ready["claims"]), mentions=entities.mentions(good))
+    found, many = _judged(ready, policy.semantic)
+    keep(semantic_findings=found, mentions=entities.mentions(good))
+    keep(warnings=reduce(DataFrame.unionByName, [first["warnings"], second["warnings"], semantic["warnings"], many]))
     valid = None if links is None else entities.valid_links(links, ready["mentions"], texts, units).where("problem is null")
     merged, blocked = entities.components(ready["mentions"], entities.identity_edges(ready["mentions"], good, valid))
     keep(merged=merged, blocked_merges=blocked)
@@ -124,6 +171,22 @@ def publish(spark: SparkSession, sources: DataFrame, path: str, policy: ProjectP
     store.write_manifest(ready, path)
 
 
+def regenerated_differences(spark: SparkSession, path: str, policy: ProjectPolicy = ProjectPolicy()) -> DataFrame:
+    """R-10: tables of a project that a fresh build of its own sources does not give: table_name, problem."""
+    fresh = new_path(spark, "regenerated")
+    _write(spark, store.read_project(spark, path, ["sources"])["sources"], fresh, policy, None)
+    columns = ("table_name", "n_rows", "logical_sha256")
+    return store.manifest_differences(*(spark.read.parquet(f"{p}/manifest").select(*columns) for p in (path, fresh)))
+
+
+def probe(spark: SparkSession, path: str) -> DataFrame:
+    """R-11: the packet of a question that the project's own first canonical relation answers; no row where it has none."""
+    facts = store.read_project(spark, path, ["facts"])["facts"].where("canonical_status = 'canonical' and polarity and claim_type in ('located_in', 'defeats', 'alias')")
+    asks = {"located_in": "位于哪里？", "defeats": "击败了谁？", "alias": "又叫什么？"}
+    first = facts.select("subject", "claim_type").orderBy("source_id", "fact_id").limit(1).collect()
+    return ask(spark, path, [r.subject + asks[r.claim_type] for r in first])
+
+
 def load_profile(text: str) -> ProjectPolicy:
     """S-19: a policy from a JSON object with closed fields: a base profile's name and limits of the semantic stage."""
     told = json.loads(text)
@@ -155,7 +218,22 @@ def ask(spark: SparkSession, path: str, questions: list[str], source: str | None
     """Packets for questions against a published project."""
     asked = retrieval.intent_rows(spark, [(f"q{n}", q, source) for n, q in enumerate(questions)])
     project = store.read_project(spark, path, ["facts", "entity_names"])
-    return qa.answers(asked, project["facts"], project["entity_names"])
+    facts, names = project["facts"], project["entity_names"]
+    if len(questions) <= FEW:
+        # what a few questions can touch is a few rows, which the forms of their names find in one pass; all else is done on these
+        forms = sorted({f for r in asked.select("subject_form", "object_form").collect() for f in r if f})
+        names = _local(names.where(F.col("normalized_name").isin(forms)))
+        known = [r.entity_id for r in names.select("entity_id").distinct().collect()]
+        side = lambda s: F.col(f"normalized_{s}").isin(forms) | F.col(f"{s}_entity_id").isin(known)
+        facts = _local(facts.where(side("subject") | side("object")))
+        return qa.answers(asked, facts, names, keep=lambda df, _: _local(df))
+    return qa.answers(asked, facts, names)
+
+
+def _local(df: DataFrame) -> DataFrame:
+    """The rows of a small table at the driver: at most MOST_LOCAL, else the table as it is."""
+    rows = df.limit(MOST_LOCAL + 1).collect()
+    return df if len(rows) > MOST_LOCAL else df.sparkSession.createDataFrame(rows, df.schema)
 
 
 def profile(name: str, **changes) -> ProjectPolicy:

@@ -13,7 +13,7 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where that is unset (local tests), a temporary folder of our own."""
+    """The session's ``spark.checkpoint.dir``; where that is unset, on a local master alone, a temporary folder of our own."""
     sc = spark.sparkContext
     told = sc.getConf().get("spark.checkpoint.dir")
     if told:
@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     known = sc._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="quillspan-")
     sc.setCheckpointDir(own)
     return own

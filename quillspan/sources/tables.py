@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,10 +62,51 @@ def table_hashes(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
-def drop_manifest(spark: SparkSession, path: str) -> None:
-    """Takes a project out of use before its tables change."""
-    old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
-    old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+def _files(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and its path class."""
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), of
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """R-22: where a swap was cut off between its two renames, the old project takes its place again."""
+    fs, of = _files(spark, path)
+    if not fs.exists(of(f"{path}/manifest")) and fs.exists(of(f"{path}.old/manifest")):
+        fs.delete(of(path), True)
+        if not fs.rename(of(f"{path}.old"), of(path)):
+            raise OSError(f"{path}: the old project could not be put back")
+
+
+@contextmanager
+def replacing(spark: SparkSession, path: str) -> Iterator[str]:
+    """K-13, R-22: a fresh place to write a project to; when the block ends without an error, it takes the place of what is
+    at ``path`` by two renames. Until then, and after an error, what was there stays. ``path``.lock keeps others out; it is
+    the mark of a build that was killed, too, and then to be removed with ``break_lock``."""
+    path = path.rstrip("/")
+    fs, of = _files(spark, path)
+    if not fs.createNewFile(of(f"{path}.lock")):
+        raise OSError(f"{path}.lock: another build is at work, or was killed")
+    place = f"{path}.build-{uuid.uuid4().hex}"
+    try:
+        recover(spark, path)
+        yield place
+        fs.delete(of(f"{path}.old"), True)
+        if fs.exists(of(path)) and not fs.rename(of(path), of(f"{path}.old")):
+            raise OSError(f"{path}: the old project could not be put aside")
+        if not fs.rename(of(place), of(path)):
+            recover(spark, path)
+            raise OSError(f"{path}: the new project could not take its place")
+        fs.delete(of(f"{path}.old"), True)
+    finally:
+        fs.delete(of(place), True)
+        fs.delete(of(f"{path}.lock"), False)
+
+
+def break_lock(spark: SparkSession, path: str) -> None:
+    """Lets the next build of a path begin where one was killed, and puts the old project back if it had been put aside."""
+    fs, of = _files(spark, path.rstrip("/"))
+    fs.delete(of(f"{path.rstrip('/')}.lock"), False)
+    recover(spark, path.rstrip("/"))
 
 
 def write_tables(tables: dict[str, DataFrame], path: str) -> dict[str, DataFrame]:
@@ -81,6 +125,7 @@ def write_manifest(tables: dict[str, DataFrame], path: str) -> None:
 
 def read_project(spark: SparkSession, path: str, names: list[str] | None = None) -> dict[str, DataFrame]:
     """S-18: tables of a published project, all or some, by the schemas of its manifest."""
+    recover(spark, path.rstrip("/"))
     rows = {r.table_name: r.table_schema for r in spark.read.parquet(f"{path}/manifest").select("table_name", "table_schema").collect()}
     return {n: spark.read.schema(StructType.fromJson(json.loads(rows[n]))).parquet(f"{path}/{n}") for n in names or rows}
 
