@@ -207,6 +207,12 @@ def ordinal_continuity(numbered: DataFrame, keys: list[str], order: list[str], o
     return rows.withColumn("issue", issue.when(F.col(ordinal_column) > F.col("previous") + 1, "ORDINAL_GAP_CANDIDATE"))
 
 
+def first_bearers(rows: DataFrame, keys: list[str], order: list[str], name: str, alias: str) -> DataFrame:
+    """W-10: rows whose keys another row had before, with the name of the first."""
+    first = F.first(name).over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn(alias, first).where(F.col(alias) != F.col(name))
+
+
 def continuity_findings(units_: DataFrame, headings: DataFrame, policy: StructurePolicy = StructurePolicy()) -> DataFrame:
     """W-09 to W-11 and the heading findings: source_id, rule_id, category, severity, confidence, unit_id,
     related_unit_ids, start_char, end_char, start_line, end_line, signals, finding_id."""
@@ -229,8 +235,8 @@ def continuity_findings(units_: DataFrame, headings: DataFrame, policy: Structur
     missing = (F.concat(F.lit("missing_start="), F.col("previous") + 1), F.concat(F.lit("missing_end="), F.col("ordinal") - 1))
     gap = told(numbered.where("ordinal > previous + 1"), "ORDINAL_GAP_CANDIDATE", "continuity_anomaly", "medium", "high", F.array("previous_unit"), word("previous", "previous"), word("current", "ordinal"), *missing, inside)
     titled = rows.withColumn("normal", collapse(F.lower("title"))).where("normal != ''")
-    titled = titled.withColumn("first_unit", F.first("unit_id").over(Window.partitionBy("source_id", "group", "normal").orderBy("start_char")))
-    same = told(titled.where("first_unit != unit_id"), "DUPLICATE_TITLE_CANDIDATE", "structure_anomaly", "low", "medium", F.array("first_unit"), word("title", "normal"))
+    titled = first_bearers(titled, ["source_id", "group", "normal"], ["start_char"], "unit_id", "first_unit")
+    same = told(titled, "DUPLICATE_TITLE_CANDIDATE", "structure_anomaly", "low", "medium", F.array("first_unit"), word("title", "normal"))
     whole = in_order("start_char")
     placed = rows.withColumn("chapters_before", F.count_if(F.col("unit_type") == "chapter").over(whole.rowsBetween(FIRST, -1)))
     late = told(placed.where("unit_type in ('prologue', 'preface') and chapters_before > 0"), "LATE_FRONT_MATTER_CANDIDATE", "structure_anomaly", "low", "medium", none, word("unit_type", "unit_type"))

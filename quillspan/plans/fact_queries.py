@@ -3,10 +3,10 @@ whole tables to work on and plain SQL to be held against."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspan.operators import anomaly, claims, entities, gold, qa, retrieval, semantics
+from quillspan.operators import anomaly, claims, entities, gold, qa, retrieval, semantics, structure
 from quillspan.sources import tables as store
 from quillspan.sources.scratch import cut
 
@@ -100,12 +100,6 @@ def judged(candidates: DataFrame) -> DataFrame:
     return claims.validate_claims(candidates, sources, units)
 
 
-@query("claim_proposals", "SELECT c_custkey, c_name AS subject, n_name AS object, length(c_name) + length(n_name) + 16 AS evidence_end FROM customer JOIN nation ON c_nationkey = n_nationkey")
-def claim_proposals(spark, sf_dir):
-    rows = located_candidates(spark, sf_dir)
-    return rows.select(F.col("source_id").cast("long").alias("c_custkey"), "subject", "object", "evidence_end")
-
-
 @query("chinese_proposals", "SELECT c_custkey, 'located_in' AS claim_type, c_name_ AS subject, '城' || c_nationkey AS object, true AS polarity FROM (SELECT c_custkey, '客' || c_custkey AS c_name_, c_nationkey FROM customer)")
 def chinese_proposals(spark, sf_dir):
     """Proposals by the marker rules from a sentence for each customer."""
@@ -338,8 +332,8 @@ def located_facts(spark, sf_dir, who: str = "customer") -> tuple[DataFrame, Data
         F.sha2("evidence", 256).alias("evidence_sha256"), F.col("evidence").alias("evidence_text"), F.lit("unspecified").alias("temporal_marker"), F.lit("canonical").alias("canonical_status"),
     )
     names = rows.select(F.explode(F.array(F.struct(F.col("subject_entity_id").alias("entity_id"), F.col("subject").alias("name")), F.struct(F.col("object_entity_id").alias("entity_id"), F.col("object").alias("name")))).alias("e"), "source_id")
-    names = names.groupBy("e.entity_id", "e.name").agg(F.collect_set("source_id").alias("source_ids"))
-    names = names.select("entity_id", F.col("name").alias("canonical_name"), F.array("name").alias("aliases"), "source_ids")
+    # a row for each source of a name: a nation's customers may be many
+    names = names.select("e.entity_id", F.col("e.name").alias("canonical_name"), F.array("e.name").alias("aliases"), F.array("source_id").alias("source_ids")).distinct()
     return cut(retrieval.indexed_facts(rows), "facts"), cut(retrieval.entity_names(names), "entity-names")
 
 
@@ -420,9 +414,10 @@ def phrase_bm25(spark, sf_dir):
 )
 def temporal_select(spark, sf_dir):
     """The past and the current state of each customer's orders."""
-    orders = table(spark, sf_dir, "orders")
-    order = F.struct("o_orderdate", "o_orderkey")
-    return orders.groupBy("o_custkey").agg(F.min_by("o_orderkey", order).alias("first_order"), F.max_by("o_orderkey", order).alias("last_order"))
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey")
+    scopes = orders.withColumn("scope", F.explode(F.array(F.lit("past"), F.lit("current"))))
+    ends = retrieval.temporal_ends(scopes, ["o_custkey", "scope"], ["o_orderdate", "o_orderkey"], F.col("scope"))
+    return ends.groupBy("o_custkey").agg(*(F.max(F.when(F.col("scope") == scope, F.col("o_orderkey"))).alias(name) for scope, name in (("past", "first_order"), ("current", "last_order"))))
 
 
 @query("date_refine", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS value FROM orders")
@@ -545,23 +540,9 @@ def manifest_diff(spark, sf_dir):
     return store.manifest_differences(told, found)
 
 
-@query(
-    "table_digests",
-    " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows, sum(('0x' || substr(sha256({c}), 1, 8))::BIGINT)::BIGINT AS digest FROM {t}" for t, c in (("documents", "text"), ("pages", "html"), ("benchmark", "text"))),
-)
-def table_digests(spark, sf_dir):
-    """Hashes of whole tables whatever their order: sums of each text's digest."""
-    out = None
-    for name, column in (("documents", "text"), ("pages", "html"), ("benchmark", "text")):
-        digest = F.conv(F.substring(F.sha2(column, 256), 1, 8), 16, 10).cast("long")
-        row = table(spark, sf_dir, name).agg(F.lit(name).alias("table_name"), F.count("*").alias("n_rows"), F.sum(digest).alias("digest"))
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
 @query("conversation_order", "SELECT conv_id, count(*) AS turns, count(*) FILTER (WHERE gap > 1) AS gaps FROM (SELECT conv_id, turn - lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS gap FROM conversations) GROUP BY conv_id")
 def conversation_order(spark, sf_dir):
     """Turns as ordinals of their conversation."""
-    turns = table(spark, sf_dir, "conversations")
-    gap = F.col("turn") - F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
-    return turns.select("conv_id", gap.alias("gap")).groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_if(F.col("gap") > 1).alias("gaps"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    gaps = structure.ordinal_continuity(turns, ["conv_id"], ["turn"], "turn")
+    return gaps.groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_if(F.col("issue") == "ORDINAL_GAP_CANDIDATE").alias("gaps"))

@@ -436,8 +436,8 @@ def parent_hierarchy(spark, sf_dir):
 @query("duplicate_titles", "SELECT lower(p_name) AS title, min(p_partkey) AS first_part, count(*) - 1 AS duplicates FROM part GROUP BY lower(p_name) HAVING count(*) > 1")
 def duplicate_titles(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select(collapse(F.lower("p_name")).alias("title"), "p_partkey")
-    parts = parts.withColumn("first_part", F.first("p_partkey").over(Window.partitionBy("title").orderBy("p_partkey")))
-    return parts.where("first_part != p_partkey").groupBy("title", "first_part").agg(F.count("*").alias("duplicates"))
+    parts = structure.first_bearers(parts, ["title"], ["p_partkey"], "p_partkey", "first_part")
+    return parts.groupBy("title", "first_part").agg(F.count("*").alias("duplicates"))
 
 
 _FIXED = """WITH s AS (SELECT doc_id, text, unnest(CASE WHEN length(text) > 1400 THEN range(0, length(text) - 180, 1220) WHEN length(text) > 0 THEN [0] ELSE [] END) AS norm_start FROM documents),
