@@ -17,7 +17,7 @@ from .storage import cut
 #: Cosine from which vectors are linked, and the chance of missing such a pair at each of two steps.
 COSINE, MISS = 0.95, 5e-4
 #: Vectors that a cell holds on average, and above which it is compared in blocks; sorted projections of each vector.
-CELL, BLOCK, PROJECTIONS = 256, 2048, 24
+CELL, BLOCK, PROJECTIONS = 128, 1024, 16
 #: Pairs that a worker verifies at once.
 PAIRS = 1 << 16
 _DISTANCE = math.sqrt(2 - 2 * COSINE)
@@ -77,12 +77,13 @@ def colliding(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     a vector's window is a range of the order around it, and all in that range get a collision with it. The windows are a
     little wider than calibrated, for what rounding to 32 bits can move."""
     n = len(z)
-    count, at = np.zeros((n, n), np.int8), np.arange(n)
+    count, rank, low, high = np.zeros((n, n), np.int8), *np.empty((3, n), np.int32)
     for k in range(z.shape[1]):
         order = np.argsort(z[:, k], kind="stable")
         line = z[order, k]
-        low, high = np.searchsorted(line, line - WINDOW - 1e-5), np.searchsorted(line, line + WINDOW + 1e-5, side="right")
-        count[np.ix_(order, order)] += (at >= low[:, None]) & (at < high[:, None])
+        rank[order] = np.arange(n)
+        low[order], high[order] = np.searchsorted(line, line - WINDOW - 1e-5), np.searchsorted(line, line + WINDOW + 1e-5, side="right")
+        count += (rank >= low[:, None]) & (rank < high[:, None])
     a, b = np.nonzero(count >= ENOUGH)
     return a[a < b], b[a < b]
 
