@@ -353,13 +353,13 @@ def link_problem(relation: str, left: str, right: str, evidence: str) -> str | N
 
 def normalize(accepted: DataFrame, sources: DataFrame | None = None, units: DataFrame | None = None, links: DataFrame | None = None) -> dict[str, DataFrame]:
     """Everything that follows from accepted claims, by table name."""
-    found = mentions(accepted)
+    found = cut(mentions(accepted), "mentions")
     good = None
     if links is not None:
         good = valid_links(links, found, sources, units).where("problem is null")
     merged, blocked = components(found, identity_edges(found, accepted, good))
-    named = entities(found, merged)
-    rows = facts(accepted, found, merged, named)
+    named = cut(entities(found, merged), "entities")
+    rows = cut(facts(accepted, found, merged, named), "facts")
     disputes = conflicts(rows)
     judged = fact_status(rows, disputes, blocked)
     unclear = ambiguity_groups(found, merged, named)

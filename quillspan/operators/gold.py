@@ -70,6 +70,24 @@ def evaluate(cases: DataFrame, packets: DataFrame, failures: DataFrame | None =
     return df.withColumn("reason_codes", F.concat(codes, "failures")).drop("claim", "fact_ids")
 
 
+def case_problems(cases: DataFrame) -> DataFrame:
+    """S-17, G-27: case_id and problem of cases that contradict themselves or one another."""
+    answered = F.col("expected_decision") == "answered"
+    facts = F.coalesce(F.size("expected_fact_ids"), F.lit(0))
+    twice = F.count("*").over(Window.partitionBy("case_id")) > 1
+    tests = {
+        "CASE_ID_REPEATED": twice,
+        "UNKNOWN_DECISION": ~F.col("expected_decision").isin("answered", *REFUSED),
+        "UNKNOWN_PREDICATE": ~F.col("expected_predicate").isin("unsupported", *PREDICATES),
+        "ANSWER_WITHOUT_CLAIM_OR_FACTS": answered & (F.col("expected_claim").isNull() | (facts < 1)),
+        "REFUSAL_WITH_CLAIM_OR_FACTS": ~answered & (F.col("expected_claim").isNotNull() | (facts > 0)),
+        "UNKNOWN_TAG": F.size(F.array_except("tags", F.array(*(F.lit(t) for t in TAGS)))) > 0,
+        "QUESTION_EMPTY": F.trim("question") == "",
+    }
+    told = F.array_compact(F.array(*(F.when(F.coalesce(test, F.lit(True)), F.lit(name)) for name, test in tests.items())))
+    return cases.select("case_id", told.alias("told")).select("case_id", F.explode("told").alias("problem")).distinct()
+
+
 def metric_columns(wanted: Column, given: Column, refused: Column, exact: Column, decision: Column, claim: Column, cited: Column) -> dict[str, Column]:
     """G-23: metrics from flags of each case; a ratio of nothing is 1."""
     n = F.count("*")

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.operators import anomaly, chunking, claims, entities, headings, qa, retrieval, semantics, structure
+from quillspan.operators import anomaly, chunking, claims, entities, gold, headings, qa, retrieval, semantics, structure
 from quillspan.operators.limits import within
 from quillspan.operators.lines import physical_lines
 from quillspan.sources import tables as store
@@ -93,7 +93,7 @@ _PLACE = ("start_char", "end_char", "rule_id", "finding_id")
 def _inspected(sources: DataFrame, lines: DataFrame, policy: ProjectPolicy) -> dict[str, DataFrame]:
     """Findings up to the policy's limit, headings, and the warnings of both."""
     found, many = within(cut(anomaly.inspect_anomalies(sources, policy.anomaly, lines), "findings"), policy.anomaly.max_findings, _PLACE, "anomaly", "FINDING_LIMIT_REACHED")
-    marks = structure.heading_candidates(lines, policy.structure)
+    marks = cut(structure.heading_candidates(lines, policy.structure), "headings")
     return {"anomalies": found, "headings": marks, "warnings": many.unionByName(anomaly.mosaic_warnings(sources, lines, policy.anomaly))}
 
 
@@ -109,12 +109,13 @@ def _judged(semantic: dict[str, DataFrame], policy: semantics.SemanticPolicy) ->
 
 
 def build(sources: DataFrame, policy: ProjectPolicy = ProjectPolicy(), links: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All tables of a project from ``sources`` (source_id, text)."""
-    lines = physical_lines(sources)
+    """All tables of a project from ``sources`` (source_id, text); what several of them come from is written once."""
+    lines = cut(physical_lines(sources), "lines")
     first = _inspected(sources, lines, policy)
-    units = structure.units(first["headings"], sources, lines, policy.structure)
+    units = cut(structure.units(first["headings"], sources, lines, policy.structure), "units")
     second = _structured(sources, lines, first["headings"], units, policy)
     semantic = accepted_claims(sources, units, first["anomalies"], policy.semantic)
+    semantic["claims"] = cut(semantic["claims"], "claims")
     found, many = _judged(semantic, policy.semantic)
     warnings = reduce(DataFrame.unionByName, [first["warnings"], second["warnings"], semantic["warnings"], many])
     out = {"sources": sources.select("source_id", "text", F.sha2("text", 256).alias("source_sha256")), "units": units, "semantic_findings": found}
@@ -230,12 +231,52 @@ def ask(spark: SparkSession, path: str, questions: list[str], source: str | None
     return qa.answers(asked, facts, names)
 
 
+def search(spark: SparkSession, path: str, questions: list[str], limit: int = 10, source: str | None = None) -> DataFrame:
+    """R-03: units of a published project that the words of questions find, whatever the answers are."""
+    asked = retrieval.intent_rows(spark, [(f"q{n}", q, source) for n, q in enumerate(questions)])
+    project = store.read_project(spark, path, ["units", "sources"])
+    return retrieval.lexical_hits(asked, structure.unit_texts(project["units"], project["sources"].select("source_id", "text")), limit)
+
+
 def _local(df: DataFrame) -> DataFrame:
     """The rows of a small table at the driver: at most MOST_LOCAL, else the table as it is."""
     rows = df.limit(MOST_LOCAL + 1).collect()
     return df if len(rows) > MOST_LOCAL else df.sparkSession.createDataFrame(rows, df.schema)
 
 
+def verify_answers(spark: SparkSession, path: str, packets: DataFrame) -> DataFrame:
+    """R-09, R-13: packets that the project does not give today, with the fields that differ."""
+    project = store.read_project(spark, path, ["facts", "entity_names"])
+    asked = retrieval.intents(packets.select("question_id", "question", F.lit(None).cast("string").alias("source_filter")))
+    return qa.packet_differences(packets, qa.answers(asked, project["facts"], project["entity_names"]).select(packets.columns))
+
+
+def gold_report(spark: SparkSession, path: str, cases: DataFrame, out: str, policy: gold.GoldPolicy = gold.POLICIES["release"]) -> None:
+    """R-14, R-15: every case against the project: results, metrics, coverage, blockers and the manifest of these at ``out``.
+    Cases that contradict themselves stop it."""
+    wrong = gold.case_problems(cases).limit(5).collect()
+    if wrong:
+        raise ValueError("; ".join(f"{r.case_id}: {r.problem}" for r in wrong))
+    project = store.read_project(spark, path, ["facts", "entity_names"])
+    facts, names = project["facts"], project["entity_names"]
+    asked = cut(retrieval.intents(cases.select("question_id", "question", "source_filter")), "questions")
+    packets = cut(qa.answers(asked, facts, names), "packets")
+    failures = gold.hard_negative_failures(cases, asked, packets, facts, names)
+    results = cut(gold.evaluate(cases, packets, failures), "results")
+    made = {"results": results, "metrics": gold.metrics(results), "coverage": gold.coverage(cases), "blockers": gold.gate_blockers(results, cases, policy)}
+    with store.replacing(spark, out) as place:
+        store.write_manifest(store.write_tables(made, place), place)
+
+
+def gold_differences(spark: SparkSession, path: str, cases: DataFrame, report: str, policy: gold.GoldPolicy = gold.POLICIES["release"]) -> DataFrame:
+    """R-15: tables of a report that are not its manifest's, or that the project and the cases do not give today."""
+    fresh = new_path(spark, "gold")
+    gold_report(spark, path, cases, fresh, policy)
+    columns = ("table_name", "n_rows", "logical_sha256")
+    today = store.manifest_differences(*(spark.read.parquet(f"{p}/manifest").select(*columns) for p in (report, fresh)))
+    return store.verify_project(spark, report).unionByName(today).distinct()
+
+
 def profile(name: str, **changes) -> ProjectPolicy:
     """A named profile, with parts replaced."""
     return replace(PROFILES[name], **changes)

@@ -25,6 +25,16 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), sha.alias("source_sha256"))
 
 
+def changed_files(spark: SparkSession, path: str, seen: DataFrame) -> DataFrame:
+    """S-03, T-F: path and problem of files whose size or time is not what it was when ``seen`` (path, size_bytes, modified)
+    was read, or that came or went since; the contents are not read again."""
+    now = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("size_now"), F.col("modificationTime").alias("modified_now"))
+    both = seen.select("path", "size_bytes", "modified").join(now, "path", "full_outer")
+    problem = F.when(F.col("size_now").isNull(), "GONE").when(F.col("size_bytes").isNull(), "NEW")
+    problem = problem.when((F.col("size_now") != F.col("size_bytes")) | (F.col("modified_now") != F.col("modified")), "CHANGED")
+    return both.select("path", problem.alias("problem")).where("problem is not null")
+
+
 def verified(files: DataFrame, expected: Column) -> DataFrame:
     """S-04: the files whose digest is ``expected``, in any case; a malformed digest matches nothing."""
     return files.where(expected.rlike("^[0-9A-Fa-f]{64}$") & (F.col("source_sha256") == F.lower(expected)))

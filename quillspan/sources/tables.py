@@ -34,6 +34,28 @@ def read_rows(spark: SparkSession, path: str, schema: str, kind: str = "json") -
     return reader.csv(path, header=True) if kind == "csv" else reader.json(path)
 
 
+def closed_rows(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """S-14, S-17: objects of a file of JSON lines with exactly the fields of ``schema``, and (line, problem) of the lines
+    that are none: blank ones, others than objects, with fields that are unknown, missing or of another type."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    lines = spark.read.text(path).withColumn("fields", F.expr("json_object_keys(value)"))
+    known = F.array(*(F.lit(n) for n in names))
+    lines = lines.withColumn("row", F.from_json("value", schema))
+    typed = [F.col(f"row.{n}").isNull() & F.get_json_object("value", f"$.{n}").isNotNull() for n in names]
+    wrong = typed[0]
+    for test in typed[1:]:
+        wrong = wrong | test
+    problem = (
+        F.when(F.trim("value") == "", "BLANK_LINE")
+        .when(F.col("fields").isNull(), "NOT_AN_OBJECT")
+        .when(F.size(F.array_except("fields", known)) > 0, "UNKNOWN_FIELD")
+        .when(F.size(F.array_except(known, "fields")) > 0, "MISSING_FIELD")
+        .when(wrong, "WRONG_TYPE")
+    )
+    lines = lines.withColumn("problem", problem)
+    return lines.where("problem is null").select("row.*"), lines.where("problem is not null").select(F.col("value").alias("line"), "problem")
+
+
 def unit_index(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """S-16: units (source_id, unit_id, start_char, end_char): body offsets count where both are there. A source that has
     no unit is one."""

@@ -1,5 +1,7 @@
 """From sentences to answers, with conflicts, links and a benchmark."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,3 +187,135 @@ def test_chunk_boundaries(spark):
     counts = {(r.side, r.boundary): r.n for r in chunking.boundary_counts(made).collect()}
     assert counts[("start", "unit_start")] == 1 and counts[("end", "unit_end")] == 1 and counts[("end", "hard")] >= 1 and counts[("end", "sentence")] >= 2
     assert chunking.chunk_problems(made, chunking.ChunkPolicy(30, 6)).count() == 0
+
+
+def test_a_failed_build_leaves_the_old_project(spark, tmp_path):
+    path = f"file://{tmp_path}/p"
+    good = spark.createDataFrame([("a", "陆川击败韩岳。")], "source_id string, text string")
+    project.publish(spark, good, path)
+    with pytest.raises(ValueError):
+        project.publish(spark, spark.createDataFrame([("a", "天气很好。")], "source_id string, text string"), path)
+    assert store.verify_project(spark, path).isEmpty() and not list(tmp_path.glob("p.build*")) and not (tmp_path / "p.lock").exists()
+    assert project.regenerated_differences(spark, path).isEmpty()
+    assert [r.decision for r in project.probe(spark, path).collect()] == ["answered"]
+    (tmp_path / "p").rename(tmp_path / "p.old")  # killed between the two renames
+    (tmp_path / "p.lock").touch()
+    with pytest.raises(OSError):
+        project.publish(spark, good, path)
+    assert project.ask(spark, path, ["陆川击败了谁？"]).first().decision == "answered"
+    store.break_lock(spark, path)
+    with store.replacing(spark, path) as place:
+        spark.range(1).write.parquet(f"{place}/t")
+    assert (tmp_path / "p" / "t").exists() and not (tmp_path / "p.old").exists()
+
+
+def test_limits_leave_warnings(spark, tmp_path):
+    """Every limit that is reached says so; nothing below a limit is touched."""
+    long_ = "他" * 700 + "击败韩岳。"
+    text = "".join(f"第{k}章 题{k}\n陆川击败韩岳。似乎陆川来了。\n" for k in range(1, 6)) + "----------\n" + ("字" * 30 + "\n") * 10 + "\ufffd一\ufffd\n" + long_
+    policy = project.ProjectPolicy(
+        anomaly.AnomalyPolicy(max_findings=1, mosaic=anomaly.MosaicPolicy(max_block_characters=200)),
+        project.headings.StructurePolicy(max_units=4),
+        project.semantics.SemanticPolicy(max_candidates=3, max_findings=1, max_model_tasks=2),
+    )
+    made = project.build(spark.createDataFrame([("a", text), ("b", "陆川击败韩岳。")], "source_id string, text string"), policy)
+    warned = {(r.source_id, r.warning) for r in made["warnings"].collect()}
+    assert {w for s, w in warned if s == "a"} >= {"UNIT_LIMIT_REACHED", "CANDIDATE_LIMIT_REACHED", "MODEL_TASK_LIMIT_REACHED", "MOSAIC_BLOCK_LIMIT_REACHED", "FINDING_LIMIT_REACHED"}
+    assert not [w for s, w in warned if s == "b"]
+    assert made["claims"].where("source_id = 'a'").count() == 3 and made["claims"].where("source_id = 'b'").count() == 1
+    found = project.semantic_findings(made["claims"], made["long_clauses"]).where("rule_id = 'CLAUSE_EXCEEDS_EXTRACTION_LIMIT'").collect()
+    assert [(r.source_id, r.signals) for r in found] == [("a", [f"length={len(long_)}"])]
+
+
+def test_identity_links_stay_within_a_source(spark):
+    rows = [("alias", "玄霄", "青帝", None, "", "玄霄又称青帝。")]
+    good, text = accepted(spark, rows)
+    other = good.withColumns({"source_id": F.lit("t"), "result_id": F.lit("r9")})
+    found = entities.mentions(good.unionByName(other))
+    links = spark.createDataFrame([("same_as", "r0", "subject", "r9", "object", "s", "u", 0, len(text), text, 1)], "relation string, left_result_id string, left_role string, right_result_id string, right_role string, source_id string, unit_id string, evidence_start long, evidence_end long, evidence_text string, position int")
+    sources = spark.createDataFrame([("s", text)], "source_id string, text string")
+    units = spark.createDataFrame([("s", "u", 0, len(text))], "source_id string, unit_id string, start_char long, end_char long")
+    assert [r.problem for r in entities.valid_links(links, found, sources, units).collect()] == ["CROSS_SOURCE_IDENTITY_MERGE"]
+
+
+def test_merging_keeps_what_must_stay_apart(spark):
+    """Components against the rule itself, edge by edge, over all members."""
+    rng = random.Random(5)
+    for _ in range(200):
+        names = [f"m{k}" for k in range(9)]
+        types = {m: rng.choice(["entity", "unknown", "actor", "place"]) for m in names}
+        edges = sorted((rng.choice([0, 1, 2, 3]), *rng.sample(names, 2), "") for _ in range(rng.randint(0, 14)))
+        groups, apart, blocked = {m: {m} for m in names}, {frozenset(e[1:3]) for e in edges if e[0] == 3}, 0
+        for kind, a, b, _ in edges:
+            x, y = groups[a], groups[b]
+            kinds = {types[m] for m in x | y} - {"entity", "unknown"}
+            if kind == 3:
+                blocked += x is y
+            elif x is not y:
+                if len(kinds) > 1 or any(frozenset((p, q)) in apart for p in x for q in y):
+                    blocked += 1
+                else:
+                    x |= y
+                    groups.update(dict.fromkeys(x, x))
+        homes, refused = entities.settle(types, edges)
+        assert {m: homes[m][0] for m in names} == {m: min(groups[m]) for m in names} and len(refused) == blocked
+
+
+def test_closed_rows_cases_and_files(spark, tmp_path):
+    (tmp_path / "c.jsonl").write_text('{"question_id": "q", "question": "谁？", "source_filter": null}\n\n[1]\n{"question_id": "q"}\n{"question_id": "q", "question": "x", "source_filter": null, "more": 1}\n{"question_id": {"a": 1}, "question": 3, "source_filter": null}\n')
+    rows, problems = store.closed_rows(spark, str(tmp_path / "c.jsonl"), "question_id string, question string, source_filter string")
+    assert [p.problem for p in problems.collect()][:4] == ["BLANK_LINE", "NOT_AN_OBJECT", "MISSING_FIELD", "UNKNOWN_FIELD"] and rows.where("question = '谁？'").count() == 1
+    cases = spark.createDataFrame([("a", "q1", "谁？", None, "answered", "alias", None, [], []), ("b", "q2", "谁？", None, "refused_unsupported", "x", None, [], ["odd"])], store.GOLD)
+    assert {(r.case_id, r.problem) for r in gold.case_problems(cases).collect()} == {("a", "ANSWER_WITHOUT_CLAIM_OR_FACTS"), ("b", "UNKNOWN_PREDICATE"), ("b", "UNKNOWN_TAG")}
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("一")
+    (tmp_path / "in" / "b.txt").write_text("二")
+    seen = spark.createDataFrame(ingest.read_files(spark, str(tmp_path / "in")).select("path", "size_bytes", "modified").collect())
+    assert ingest.changed_files(spark, str(tmp_path / "in"), seen).isEmpty()
+    (tmp_path / "in" / "a.txt").write_text("一二")
+    (tmp_path / "in" / "b.txt").unlink()
+    (tmp_path / "in" / "c.txt").write_text("三")
+    assert sorted(r.problem for r in ingest.changed_files(spark, str(tmp_path / "in"), seen).collect()) == ["CHANGED", "GONE", "NEW"]
+    sources = spark.createDataFrame([("s", "一二三"), ("t", "四")], "source_id string, text string")
+    index = spark.createDataFrame([("s", "u", 0, 3, 1, 2), ("s", "v", 0, 3, None, 2)], store.UNIT_INDEX)
+    assert sorted(tuple(r) for r in store.unit_index(index, sources).collect()) == [("s", "u", 1, 2), ("s", "v", 0, 3), ("t", "unit-1", 0, 1)]
+
+
+def test_model_proposals_have_no_authority(spark):
+    tasks = spark.createDataFrame([("t", 10, 20, "0123456789")], "task_id string, evidence_start long, evidence_end long, evidence_text string")
+    schema = "task_id string, claim_type string, subject string, object string, value string, unit string, polarity boolean, evidence_start long, evidence_end long, evidence_text string, fields array<string>"
+    rows = [("t", "alias", "a", "b", None, "", True, 12, 15, "234", ["subject"]), ("x", "alias", "a", "b", None, "", True, 12, 15, "234", []), ("t", "odd", "a", "b", None, "", True, 8, 15, "z", ["may_index"])]
+    got = [r.rejections for r in project.semantics.model_proposals(tasks, spark.createDataFrame(rows, schema)).orderBy(F.size("rejections")).collect()]
+    assert got[0] == [] and "UNKNOWN_TASK" in got[1] and set(got[2]) == {"AUTHORITY_FIELD_PRESENT", "UNSUPPORTED_CLAIM_TYPE", "SPAN_OUTSIDE_TASK", "EVIDENCE_TEXT_MISMATCH"}
+
+
+def test_lexical_search_of_few_and_of_many_terms(spark, monkeypatch):
+    units = spark.createDataFrame([("a", "u", 0, "玄霄又称青帝，天下知名。"), ("b", "u", 5, "青帝在此。青帝！"), ("c", "u", 0, "无关"), ("d", "u", 0, "")], "source_id string, unit_id string, start_char long, unit_text string")
+    asked = spark.createDataFrame([("q", "青帝", "玄霄又称", "alias", "", None), ("r", "青帝", "", "unsupported", "", "b"), ("z", "x", "", "unsupported", "", None)], "question_id string, subject string, object string, predicate string, question string, source_filter string")
+    few = sorted(map(tuple, retrieval.lexical_hits(asked, units, 5).collect()))
+    monkeypatch.setattr(retrieval, "FEW_TERMS", 0)
+    assert sorted(map(tuple, retrieval.lexical_hits(asked, units, 5).collect())) == few
+    assert [(r[0], r[1], r[2], r[6] >= 20) for r in few] == [("q", 1, "a", True), ("q", 2, "b", False), ("r", 1, "b", False)]
+    with pytest.raises(ValueError):
+        retrieval.lexical_hits(asked, units, 101)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from quillspan.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("陆川击败韩岳。\n玄霄又称青帝。\n")
+    base, made = str(tmp_path), f"file://{tmp_path}/p"
+    assert main(["build", f"{base}/in", made]) == 0 and main(["verify", made, "--deep"]) == 0
+    assert main(["ask", made, "陆川击败了谁？"]) == 0 and "陆川击败了韩岳。[E1]" in capsys.readouterr().out
+    assert main(["ask", made, "陆川为何离开？"]) == 3 and main(["search", made, "玄霄又称谁？"]) in (0, 3)
+    for name in ("admit", "encoding", "anomalies", "structure", "semantic", "chunks"):
+        assert main([name, f"{base}/in", f"{base}/out-{name}"]) == 0 and list((tmp_path / f"out-{name}").rglob("*.json")) or name == "anomalies"
+    project.ask(spark, made, ["陆川击败了谁？"]).write.parquet(f"{base}/packets")
+    assert main(["verify-answer", made, f"{base}/packets"]) == 0
+    spark.read.parquet(f"{base}/packets").withColumn("answer_text", F.lit("x")).write.parquet(f"{base}/forged")
+    assert main(["verify-answer", made, f"{base}/forged"]) == 2
+    (tmp_path / "g.jsonl").write_text('{"case_id": "c", "question_id": "q", "question": "韩岳击败了谁？", "source_filter": null, "expected_decision": "refused_insufficient_evidence", "expected_predicate": "defeats", "expected_claim": null, "expected_fact_ids": [], "tags": ["relation_direction"]}\n')
+    assert main(["gold-run", made, f"{base}/g.jsonl", f"file://{base}/report", "--policy", "smoke"]) == 2
+    assert main(["gold-verify", made, f"{base}/g.jsonl", f"file://{base}/report", "--policy", "smoke"]) == 0
+    assert main(["export", made, "facts", f"{base}/facts"]) == 0
