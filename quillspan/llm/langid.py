@@ -246,7 +246,8 @@ def train(labelled: DataFrame) -> Network | None:
             labels += [languages.index(row.lang)] * (len(texts) - len(labels))
     if not texts:
         return None
-    others = scrambled(texts)
+    # of few texts nothing can be learned about what is none of them, as nothing can be calibrated then
+    others = scrambled(texts) if len(texts) >= PASSAGES * LEAST_LONG else []
     network = Network([*languages, None] if others else languages)
     network.fit(texts + others, np.array(labels + [len(languages)] * len(others)))
     return network

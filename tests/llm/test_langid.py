@@ -34,7 +34,7 @@ def test_gradients_through_time():
     there = net.there.backward(letters, keep[0], grad[:, :, : langid.HIDDEN])
     back = net.back.backward(letters[::-1], keep[1], grad[::-1, :, langid.HIDDEN :])
     for part, grads in ((net.there, there), (net.back, back)):
-        for name, at in (("U", (3, 7)), ("U", (2, 40)), ("b", (20,)), ("W", (int(letters[2, 1]), 5))):
+        for name, at in (("U", (3, 7)), ("U", (2, 2 * langid.HIDDEN + 8)), ("b", (langid.HIDDEN + 4,)), ("W", (int(letters[2, 1]), 5))):
             w = getattr(part, name)
             was, step = w[at], 1e-2
             w[at] = was + step
