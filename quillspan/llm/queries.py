@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, fmindex, langid, lines, minhash, mixing, pii, sharding, substrings, warc
+from . import embeddings, fmindex, langid, lines, minhash, mixing, pii, sharding, substrings, vectorcodes, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language_id": langid.op8_language_id,
     "op9_sharding": sharding.op9_sharding,
     "op10_substring_dedup": substrings.op10_substring_dedup,
+    "op12_vector_codes": vectorcodes.op12_vector_codes,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -23,4 +24,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_decontamination": fmindex.OP4_SQL,
     "op5_minhash_near_dedup": minhash.OP5_SQL,
     "op6_line_dedup": lines.OP6_SQL,
+    "op12_vector_codes": vectorcodes.OP12_SQL,
 }
