@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, fmindex, langid, lines, minhash, mixing, pii, sharding, substrings, vectorcodes, warc
+from . import embeddings, fmindex, langid, lines, minhash, mixing, pii, quality, sharding, substrings, vectorcodes, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language_id": langid.op8_language_id,
     "op9_sharding": sharding.op9_sharding,
     "op10_substring_dedup": substrings.op10_substring_dedup,
+    "op11_quality": quality.op11_quality,
     "op12_vector_codes": vectorcodes.op12_vector_codes,
 }
 
