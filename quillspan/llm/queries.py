@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, fmindex, langid, lines, minhash, mixing, pii, quality, sharding, substrings, vectorcodes, warc
+from . import embeddings, erasure, fmindex, langid, lines, minhash, mixing, pii, quality, sharding, substrings, vectorcodes, warc
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_substring_dedup": substrings.op10_substring_dedup,
     "op11_quality": quality.op11_quality,
     "op12_vector_codes": vectorcodes.op12_vector_codes,
+    "op13_erasure": erasure.op13_erasure,
 }
 
 ORACLE_SQL: dict[str, str] = {
