@@ -386,7 +386,7 @@ def _terms(spark) -> DataFrame:
 
 @query(
     "lexical_like",
-    f"""WITH {_TERMS_SQL}, m AS (SELECT term_id, term, doc_id, text, row_number() OVER (PARTITION BY term_id ORDER BY doc_id::VARCHAR) AS rank FROM documents JOIN terms ON contains(text, term)),
+    f"""WITH {_TERMS_SQL}, m AS (SELECT term_id, term, doc_id, text, row_number() OVER (PARTITION BY term_id ORDER BY doc_id::VARCHAR) AS rank FROM documents JOIN terms ON contains(lower(text), lower(term))),
 p AS (SELECT *, strpos(text, term) - 1 AS pos FROM m WHERE rank <= 20)
 SELECT term_id, rank, doc_id, greatest(0, pos - 80)::BIGINT AS evidence_start, least(length(text), pos + length(term) + 120)::BIGINT AS evidence_end, sha256(substr(text, greatest(0, pos - 80) + 1, least(length(text), pos + length(term) + 120) - greatest(0, pos - 80))) AS snippet_sha256 FROM p""",
 )
@@ -397,11 +397,11 @@ def lexical_like(spark, sf_dir):
 
 @query(
     "phrase_bm25",
-    f"""WITH {_TERMS_SQL}, s AS (SELECT doc_id, text, greatest(length(text) - 2, 0) AS size FROM documents),
+    f"""WITH {_TERMS_SQL}, s AS (SELECT doc_id, lower(text) AS text, greatest(coalesce(length(text), 0) - 2, 0) AS size FROM documents),
 t AS (SELECT count(*) AS n, avg(size) AS mean FROM s),
 m AS (SELECT term_id, doc_id, size, (length(text) - length(replace(text, term, ''))) // length(term) AS tf FROM s JOIN terms ON contains(text, term)),
 d AS (SELECT term_id, count(*) AS df FROM m GROUP BY term_id)
-SELECT term_id, doc_id, tf, round(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * size / mean)), 6) AS score FROM m JOIN d USING (term_id), t""",
+SELECT term_id, doc_id, tf, round(greatest(ln((n - df + 0.5) / (df + 0.5)), 0.000001) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * size / mean)), 6) AS score FROM m JOIN d USING (term_id), t""",
 )
 def phrase_bm25(spark, sf_dir):
     out = retrieval.phrase_bm25(_units(spark, sf_dir), _terms(spark))

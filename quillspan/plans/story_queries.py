@@ -349,17 +349,22 @@ _TERMS = [(q, i, t) for q, *terms in _FOUR for i, t in enumerate(terms) if len(t
 
 @query(
     "lexical_retrieval",
-    f"""WITH t AS (SELECT * FROM (VALUES {", ".join(f"('{q}', {i}, '{t}')" for q, i, t in _TERMS)}) v(question_id, position, term)),
-s AS (SELECT doc_id, text, greatest(length(text) - 2, 0) AS size FROM documents WHERE text IS NOT NULL), a AS (SELECT count(*) AS n, avg(size) AS mean FROM s),
-m AS (SELECT question_id, position, term, doc_id, text, size, (length(text) - length(replace(text, term, ''))) // length(term) AS tf FROM s JOIN t ON contains(text, term)),
-d AS (SELECT term, count(DISTINCT doc_id) AS df FROM m GROUP BY term),
-r AS (SELECT *, CASE WHEN length(term) >= 3 THEN 0 ELSE 1 END AS way, CASE WHEN length(term) >= 3 THEN 20 + ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * size / mean)) ELSE 10.0 END AS score FROM m JOIN d USING (term), a),
-o AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY question_id, doc_id ORDER BY way, position, score DESC) = 1),
-k AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY way, position, round(score, 9) DESC, doc_id::VARCHAR) AS rank FROM o)
-SELECT question_id, rank, doc_id, round(score, 6) AS score, sha256(substr(text, greatest(0, strpos(text, term) - 81) + 1, least(length(text), strpos(text, term) - 1 + length(term) + 120) - greatest(0, strpos(text, term) - 81))) AS evidence_sha256 FROM k WHERE rank <= 20""",
+    f"""WITH t AS (SELECT *, lower(term) AS low FROM (VALUES {", ".join(f"('{q}', {i}, '{t}')" for q, i, t in _TERMS)}) v(question_id, position, term)),
+s AS (SELECT doc_id, text, lower(text) AS plain, greatest(length(text) - 2, 0) AS size FROM documents WHERE text IS NOT NULL), a AS (SELECT count(*) AS n, avg(size) AS mean FROM s),
+m AS (SELECT term, doc_id, size, (length(plain) - length(replace(plain, low, ''))) // length(low) AS tf FROM s JOIN (SELECT DISTINCT term, low FROM t) ON contains(plain, low)),
+d AS (SELECT term, count(*) AS df FROM m GROUP BY term),
+b AS (SELECT term, doc_id, greatest(ln((n - df + 0.5) / (df + 0.5)), 0.000001) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * size / mean)) AS bm25 FROM m JOIN d USING (term), a WHERE length(term) >= 3),
+w AS (SELECT term, doc_id, 0 AS way, 20 + bm25 AS score, row_number() OVER (PARTITION BY term ORDER BY round(bm25, 12) DESC, doc_id::VARCHAR) AS nth FROM b
+  UNION ALL SELECT term, doc_id, 1, 10.0, row_number() OVER (PARTITION BY term ORDER BY doc_id::VARCHAR) FROM m),
+o AS (SELECT * FROM t JOIN w USING (term) WHERE nth <= 20 QUALIFY row_number() OVER (PARTITION BY question_id, doc_id ORDER BY way, position) = 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY way, position, nth) AS rank FROM o),
+p AS (SELECT *, strpos(text, term) - 1 AS pos FROM k JOIN s USING (doc_id) WHERE rank <= 20),
+e AS (SELECT *, greatest(0, pos - 80) AS a, least(length(text), CASE WHEN way = 0 AND pos < 0 THEN 240 ELSE pos + length(term) + 120 END) AS z FROM p)
+SELECT question_id, rank, doc_id, round(score, 6) AS score, sha256(substr(text, a + 1, z - a)) AS evidence_sha256 FROM e""",
 )
 def lexical_retrieval(spark, sf_dir):
-    """R-03, O-05 to O-08, F-45, F-46 over all documents: phrases by BM25, then what only contains a shorter term."""
+    """R-03, O-05 to O-08, F-45, F-46, K-09, J-07 over all documents, through an index of them: phrases of any case by BM25,
+    then what holds a term."""
     asked = spark.createDataFrame([(q, a, b, "unsupported", c, None) for q, a, b, c in _FOUR], "question_id string, subject string, object string, predicate string, question string, source_filter string")
     units = doc_sources(spark, sf_dir).where("text is not null").select("source_id", F.lit("unit-1").alias("unit_id"), F.lit(0).cast("long").alias("start_char"), F.col("text").alias("unit_text"))
     out = retrieval.lexical_hits(asked, units, 20)

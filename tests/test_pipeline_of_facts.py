@@ -293,7 +293,7 @@ def test_lexical_search_of_few_and_of_many_terms(spark, monkeypatch):
     units = spark.createDataFrame([("a", "u", 0, "玄霄又称青帝，天下知名。"), ("b", "u", 5, "青帝在此。青帝！"), ("c", "u", 0, "无关"), ("d", "u", 0, "")], "source_id string, unit_id string, start_char long, unit_text string")
     asked = spark.createDataFrame([("q", "青帝", "玄霄又称", "alias", "", None), ("r", "青帝", "", "unsupported", "", "b"), ("z", "x", "", "unsupported", "", None)], "question_id string, subject string, object string, predicate string, question string, source_filter string")
     few = sorted(map(tuple, retrieval.lexical_hits(asked, units, 5).collect()))
-    monkeypatch.setattr(retrieval, "FEW_TERMS", 0)
+    monkeypatch.setattr(retrieval.lexindex, "FEW_TERMS", 0)
     assert sorted(map(tuple, retrieval.lexical_hits(asked, units, 5).collect())) == few
     assert [(r[0], r[1], r[2], r[6] >= 20) for r in few] == [("q", 1, "a", True), ("q", 2, "b", False), ("r", 1, "b", False)]
     with pytest.raises(ValueError):
