@@ -26,6 +26,7 @@ from quillspan.functions.text import (
 
 from quillspan.sources.scratch import cut
 
+from . import prefix
 from .coherence import MosaicPolicy, bigram_cosine, mosaic_rows, splice_rows
 from .limits import warnings_of
 from .lines import FIRST, LAST, in_order, physical_lines
@@ -202,8 +203,15 @@ def marker_clusters(lines: DataFrame, policy: AnomalyPolicy) -> DataFrame:
 
 
 def line_runs(lines: DataFrame) -> DataFrame:
-    """W-01: lines with ``normal`` (white space collapsed) and ``run``: how many equal ones in a row end here, 0 if blank."""
+    """W-01: lines with ``normal`` (white space collapsed) and ``run``: how many equal ones in a row end here, 0 if blank.
+    Lines in chunks are looked at chunk by chunk."""
     df = lines.withColumn("normal", collapse(F.col("content")))
+    if "chunk" in lines.columns:
+        df = prefix.previous(df, {"_was": F.col("normal")}, ("line_no",))
+        df = df.withColumn("_new", F.when(~F.col("normal").eqNullSafe(F.col("_was")), F.col("line_no")))
+        df = prefix.before(df, {"_from": ("max", F.col("_new"))}, ("line_no",))
+        place = F.col("line_no") - F.coalesce("_new", "_from") + 1
+        return df.withColumn("run", F.when(F.col("normal") == "", 0).otherwise(place).cast("long")).drop("_was", "_new", "_from")
     islands = df.withColumn("new", F.when(F.col("normal").eqNullSafe(F.lag("normal").over(in_order())), 0).otherwise(1))
     islands = islands.withColumn("island", F.sum("new").over(in_order()))
     place = F.row_number().over(in_order().partitionBy("source_id", "island"))
@@ -231,11 +239,14 @@ def distant_duplicates(lines: DataFrame, policy: AnomalyPolicy = AnomalyPolicy()
 
 
 def script_shifts(lines: DataFrame, min_characters: int, delta: float) -> DataFrame:
-    """W-04: long lines right after a long line of another script profile."""
+    """W-04: long lines right after a long line of another script profile. Lines in chunks are looked at chunk by chunk."""
     df = lines.withColumns({"cjk": cjk_ratio(F.col("content")), "latin": ascii_letter_ratio(F.col("content"))})
     long_ = F.length("content") >= min_characters
-    before = {c: F.lag(F.when(long_, F.col(c))).over(in_order()) for c in ("cjk", "latin")}
-    df = df.withColumns({"cjk_before": before["cjk"], "latin_before": before["latin"]}).where(long_)
+    told = {f"{c}_before": F.when(long_, F.col(c)) for c in ("cjk", "latin")}
+    if "chunk" in lines.columns:
+        df = prefix.previous(df, told, ("line_no",)).where(long_)
+    else:
+        df = df.withColumns({c: F.lag(v).over(in_order()) for c, v in told.items()}).where(long_)
     return df.where((F.abs(F.col("cjk") - F.col("cjk_before")) >= delta) & (F.abs(F.col("latin") - F.col("latin_before")) >= delta))
 
 
@@ -257,6 +268,25 @@ def char_windows(sources: DataFrame, width: int, stride: int, least: int) -> Dat
     return df.select("source_id", "window_no", "start_char", (F.col("start_char") + F.length("window")).alias("end_char"), "window")
 
 
+def windows_of_pieces(pieces: DataFrame, width: int, stride: int, least: int) -> DataFrame:
+    """W-02 of texts in pieces (source_id, chunk, nth, text): the windows of ``char_windows``. A piece gives each window
+    that it touches its share, so a source of any length is many tasks' work."""
+    rows = prefix.before(pieces.where("text != ''"), {"a": ("sum", F.length("text").cast("long"))}, ("nth",))
+    rows = rows.withColumn("b", F.col("a") + F.length("text"))
+    first, last = F.greatest(F.lit(0), F.ceil((F.col("a") - width + 1) / stride)), F.floor((F.col("b") - 1) / stride)
+    # between windows that are narrower than their stride there may be pieces that touch none
+    rows = rows.where(first <= last).withColumn("window_no", F.explode(F.sequence(first, last)))
+    rows = rows.withColumn("from_", F.greatest(F.col("a"), F.col("window_no") * stride)).withColumn("to_", F.least(F.col("b"), F.col("window_no") * stride + width)).where("from_ < to_")
+    share = F.struct("from_", F.expr("substring(text, cast(from_ - a as int) + 1, cast(to_ - from_ as int))").alias("text"))
+    whole = rows.groupBy("source_id", "window_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(share)), lambda x: x["text"]), "").alias("window"))
+    size = pieces.groupBy("source_id").agg(F.sum(F.length("text")).alias("n"))
+    df = whole.join(size, "source_id").withColumn("start_char", F.col("window_no") * stride)
+    full = F.length("window") == width
+    first_short = ~full & ((F.col("start_char") == 0) | (F.col("start_char") - stride + width <= F.col("n")))
+    df = df.where((full | first_short) & (F.length("window") >= least))
+    return df.select("source_id", "window_no", "start_char", (F.col("start_char") + F.length("window")).alias("end_char"), "window")
+
+
 def window_bigrams(windows: DataFrame, kept: str = "[^a-z]") -> DataFrame:
     """G-08 as rows: source_id, window_no, gram, tf; characters that match ``kept`` are left out of the lower-cased text."""
     plain = windows.select("source_id", "window_no", F.regexp_replace(F.lower("window"), kept, "").alias("plain")).where(F.length("plain") > 1)
