@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -16,6 +16,7 @@ from quillspan.functions.text import folded, nfkc, sha, stable_id
 from quillspan.sources.scratch import cut
 
 from .claims import any_of, literal, literal_spans
+from .connected import connected
 from .lines import FIRST, LAST
 
 # The wording of time, date scopes and identity.
@@ -96,6 +97,8 @@ def identity_edges(found: DataFrame, accepted: DataFrame, links: DataFrame | Non
 
 
 SETTLED = "source_id string, mention_id string, component string, merge_basis array<string>, blocked struct<conflict_type:string,severity:string,left_mention:string,right_mention:string,claim_result_id:string,relation:string>"
+#: Edges of a source up to which it is settled whole.
+SOURCE_EDGES = 200_000
 BASIS = ("same_surface_same_unit", "accepted_alias_claim", "evidence_bound_same_as")
 
 
@@ -143,25 +146,25 @@ def settle(types: dict[str, str], edges: list[tuple[int, str, str, str]]) -> tup
 
 def components(found: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """J-13: each mention's component, and the merges that were blocked. All edges lie within a source, and what is blocked
-    depends on their order, so a source with edges is one call; sources run in parallel, and mentions that no edge names
-    stay out of it. Solved once and written: both results are read from it."""
+    depends on their order.
+
+    Sources stream through tasks one after the other, each settled when its edges are together. A source of more than
+    SOURCE_EDGES is first cut into the components that it would have without constraints, as merges in one have no
+    bearing on another. Of these, those whose mentions have one concrete type at most and no ``different_from`` among them
+    can't conflict: they are merged as they are, without being brought together; the others are settled one by one.
+    Mentions that no edge names stay out of all this. It is solved once and written: both results are read from it."""
+    typed = found.select("source_id", "mention_id", "inferred_type")
     edges = edges.where("a != b")
-    ends = edges.select("source_id", F.explode(F.array("a", "b")).alias("mention_id")).distinct()
-    bound = found.join(ends, ["source_id", "mention_id"], "left_semi")
-
-    def solve(nodes: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        pairs = pairs.sort_values(["kind", "rank", "a", "b"])
-        each = zip(pairs.kind, pairs.a, pairs.b, pairs.claim, strict=True)
-        homes, refused = settle(dict(zip(nodes.mention_id, nodes.inferred_type, strict=True)), list(each))
-        source = pairs.edge_source.iloc[0] if len(pairs) else None
-        rows = [(source, m, home, sorted(basis), None) for m, (home, basis) in homes.items()]
-        names = [x.split(":")[0] for x in SETTLED.split("struct<")[1][:-1].split(",")]
-        rows += [(source, None, None, None, dict(zip(names, r, strict=True))) for r in refused]
-        return pd.DataFrame(rows, columns=["source_id", "mention_id", "component", "merge_basis", "blocked"])
-
-    edges = edges.select(F.col("source_id").alias("edge_source"), *(F.col(c).alias(c) for c in ("kind", "rank", "a", "b", "claim")))
-    nodes = bound.select("source_id", "mention_id", "inferred_type")
-    done = cut(nodes.groupBy("source_id").cogroup(edges.groupBy("edge_source")).applyInPandas(solve, SETTLED), "identity")
+    for side in ("a", "b"):
+        edges = edges.join(typed.select("source_id", F.col("mention_id").alias(side), F.col("inferred_type").alias(f"{side}_type")), ["source_id", side])
+    edges = cut(edges.select("source_id", "kind", F.col("rank").cast("long").alias("rank"), "a", "b", "claim", "a_type", "b_type"), "identity-edges")
+    large = cut(edges.groupBy("source_id").agg(F.count("*").alias("n")).where(F.col("n") > SOURCE_EDGES).select("source_id"), "large-sources")
+    if large.isEmpty():
+        done = cut(_settled(edges.withColumn("home", F.lit(""))), "identity")
+    else:
+        parts, easy = _cut_up(edges.join(large, "source_id", "left_semi"))
+        small = edges.join(large, "source_id", "left_anti").withColumn("home", F.lit(""))
+        done = cut(_settled(small.unionByName(parts)).unionByName(easy), "identity")
     own = done.where("mention_id is not null").select("source_id", "mention_id", F.col("component").alias("c"), F.col("merge_basis").alias("basis"))
     none = F.array().cast("array<string>")
     merged = found.select("source_id", "mention_id").join(own, ["source_id", "mention_id"], "left")
@@ -169,6 +172,55 @@ def components(found: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame
     return merged, done.where("blocked is not null").select("source_id", "blocked.*")
 
 
+def _cut_up(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges of large sources, each with the home of its unconstrained component, where it can conflict; and what
+    becomes of the mentions of all other components."""
+    homes = cut(connected(edges.where("kind != 3").select("source_id", "a", "b")), "homes")
+    for side in ("a", "b"):
+        edges = edges.join(homes.toDF("source_id", side, f"{side}_home"), ["source_id", side], "left")
+    # mentions that no merge could bring together need not be kept apart
+    edges = cut(edges.where("a_home = b_home").withColumnRenamed("a_home", "home").drop("b_home"), "bound-edges")
+    concrete = [F.when(~F.col(f"{s}_type").isin("entity", "unknown"), F.col(f"{s}_type")) for s in ("a", "b")]
+    lowest, highest = F.min(F.least(*concrete)), F.max(F.greatest(*concrete))
+    bases = F.sort_array(F.collect_set(F.when(F.col("kind") < 3, F.element_at(F.array(*map(F.lit, BASIS)), F.col("kind") + 1))))
+    judged = edges.groupBy("source_id", "home").agg((F.coalesce(lowest != highest, F.lit(False)) | F.max(F.col("kind") == 3)).alias("hard"), bases.alias("merge_basis"))
+    judged = cut(judged, "judged-components")
+    hard = edges.join(judged.where("hard").select("source_id", "home"), ["source_id", "home"])
+    blocked = SETTLED.split(", blocked ")[1]
+    easy = homes.join(judged.where("not hard"), ["source_id", "home"]).select("source_id", F.col("node").alias("mention_id"), F.col("home").alias("component"), "merge_basis", F.lit(None).cast(blocked).alias("blocked"))
+    return hard, easy
+
+
+def _settled(edges: DataFrame) -> DataFrame:
+    """SETTLED of edges, one group of (source_id, home) after the other in each task."""
+    names = [x.split(":")[0] for x in SETTLED.split("struct<")[1][:-1].split(",")]
+
+    def rows_of(source: str, group: list[tuple]) -> list[tuple]:
+        homes, refused = settle({m: t for r in group for m, t in ((r[2], r[5]), (r[3], r[6]))}, [(r[0], r[2], r[3], r[4]) for r in group])
+        rows = [(source, m, home, sorted(basis), None) for m, (home, basis) in homes.items()]
+        return rows + [(source, None, None, None, dict(zip(names, r, strict=True))) for r in refused]
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, group = None, []
+
+        def shaped(rows: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame(rows, columns=["source_id", "mention_id", "component", "merge_basis", "blocked"])
+
+        for frame in frames:
+            done = []
+            for source, home, *row in frame.itertuples(index=False, name=None):
+                if (source, home) != key:
+                    done += rows_of(key[0], group) if group else []
+                    key, group = (source, home), []
+                group.append(tuple(row))
+            yield shaped(done)
+        yield shaped(rows_of(key[0], group) if group else [])
+
+    order = ("source_id", "home", "kind", "rank", "a", "b")
+    edges = edges.select(*order[:2], "kind", "rank", "a", "b", "claim", "a_type", "b_type")
+    return edges.repartition("source_id", "home").sortWithinPartitions(*order).mapInPandas(each, SETTLED)
+
+
 def entities(found: DataFrame, merged: DataFrame) -> DataFrame:
     """G-16, G-17: one row a component: canonical name (the commonest, then the earliest, then by name), aliases, type,
     mentions, units, basis."""
