@@ -114,9 +114,9 @@ def _run(spark: SparkSession, told: argparse.Namespace) -> int:
             hits = project.search(spark, told.project, told.question, told.limit, told.source).orderBy("question_id", "rank")
             return 0 if _shown(hits, "question_id", "rank", "source_id", "evidence_start", "evidence_end", "score", "evidence_text") else 3
         case "verify":
-            wrong = store.verify_project(spark, told.project)
-            wrong = wrong.unionByName(project.regenerated_differences(spark, told.project, policy)) if told.deep else wrong
-            asked = project.probe(spark, told.project).where("decision != 'answered'").select(F.lit("facts").alias("table_name"), F.lit("PROBE_NOT_ANSWERED").alias("problem"))
+            wrong = project.verify(spark, told.project)
+            wrong = wrong.unionByName(project.regenerated_differences(spark, told.project)) if told.deep else wrong
+            asked = project.probe(spark, told.project).where("decision not in ('answered', 'refused_ambiguous')").select(F.lit("facts").alias("table_name"), F.lit("PROBE_NOT_ANSWERED").alias("problem"))
             return 2 if _shown(wrong.unionByName(asked), "table_name", "problem") else 0
         case "verify-answer":
             return 2 if _shown(project.verify_answers(spark, told.project, spark.read.parquet(told.packets)), "question_id", "reason_codes") else 0

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspan.functions.text import safe_ratio
+from quillspan.functions.text import safe_ratio, search_form
+from quillspan.sources.scratch import cut
 
 from .retrieval import ACTIVE, entity_names, indexed_facts
 
@@ -172,14 +173,15 @@ def absent_not_negative(asked: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def named_entities(asked: DataFrame, entities: DataFrame) -> DataFrame:
-    """J-06: questions that contain the name of an entity. A question is short: its parts of two characters and more are
-    joined with the names by equality, so neither side is sent everywhere."""
-    form = F.regexp_replace(F.lower("question"), "(?U)[\\s，。！？；：、,.!?;:]+", "")
-    names = entity_names(entities).where(F.length("normalized_name") >= 2)
-    starts, last = F.sequence(F.lit(1), F.length("form")), F.length("form")
-    parts = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(2), F.greatest(last - i + 1, F.lit(2))), lambda n: F.substring("form", i, n))))
-    each = asked.select("question_id", "source_filter", form.alias("form")).where(F.length("form") >= 2)
-    each = each.select("question_id", "source_filter", F.explode(F.array_distinct(parts)).alias("normalized_name"))
+    """J-06: questions that contain the name of an entity, both in the form that names are looked up in. Of a question, the
+    parts of each length that a name has are joined with the names by equality: as many as it has characters, times the
+    lengths there are (a few dozen, collected), and neither side is sent everywhere."""
+    names = cut(entity_names(entities).where(F.length("normalized_name") >= 2), "entity-names")
+    lengths = sorted(r.n for r in names.select(F.length("normalized_name").alias("n")).distinct().collect())
+    each = asked.select("question_id", "source_filter", search_form(F.col("question")).alias("form"))
+    part = F.explode(F.sequence(F.lit(1), F.length("form") - F.col("n") + 1))
+    each = each.withColumn("n", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>"))).where(F.length("form") >= F.col("n"))
+    each = each.withColumn("at", part).select("question_id", "source_filter", F.expr("substring(form, at, n)").alias("normalized_name")).distinct()
     met = each.join(names, "normalized_name")
     return met.where(F.col("source_filter").isNull() | F.array_contains("source_ids", F.col("source_filter"))).select("question_id").distinct()
 

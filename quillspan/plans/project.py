@@ -4,20 +4,21 @@ from __future__ import annotations
 
 import hashlib
 import json
-from dataclasses import dataclass, field, fields, replace
+from dataclasses import asdict, dataclass, field, fields, is_dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspan.operators import anomaly, chunking, claims, entities, gold, headings, qa, retrieval, semantics, structure
+from quillspan.operators import anomaly, chunking, claims, entities, gold, headings, lexindex, qa, retrieval, semantics, structure
 from quillspan.operators.limits import within
 from quillspan.operators.lines import physical_lines
 from quillspan.sources import tables as store
 from quillspan.sources.scratch import cut, new_path
+from quillspan.sources.tables import INDEX
 
 #: Of the rules; a build of another version is another build.
-VERSION = "quillspan-2"
+VERSION = "quillspan-3"
 #: Questions that are answered without written tables, and rows that such a step may hold at the driver.
 FEW, MOST_LOCAL = 20, 10_000
 
@@ -87,6 +88,24 @@ def semantic_report(judged: DataFrame) -> DataFrame:
     return judged.select("source_id", each.alias("x")).groupBy("source_id", "x.kind", "x.name").agg(F.count("*").alias("n"))
 
 
+def policy_json(policy: ProjectPolicy) -> str:
+    """A policy as JSON with sorted names, as a project keeps it."""
+    return json.dumps(asdict(policy), sort_keys=True, ensure_ascii=False)
+
+
+def policy_of(text: str) -> ProjectPolicy:
+    """The policy that ``policy_json`` has told; unknown fields fail."""
+
+    def rebuilt(usual, told):
+        if is_dataclass(usual):
+            return replace(usual, **{k: rebuilt(getattr(usual, k), v) for k, v in told.items()})
+        if isinstance(told, dict):
+            return {k: rebuilt((), v) for k, v in told.items()}
+        return tuple(told) if isinstance(told, list) else told
+
+    return rebuilt(ProjectPolicy(), json.loads(text))
+
+
 _PLACE = ("start_char", "end_char", "rule_id", "finding_id")
 
 
@@ -137,7 +156,11 @@ def _write(spark: SparkSession, sources: DataFrame, path: str, policy: ProjectPo
     def keep(**made: DataFrame) -> None:
         ready.update(store.write_tables(made, path))
 
-    keep(sources=sources.select("source_id", "text", F.sha2("text", 256).alias("source_sha256")))
+    # what the project was built by is kept with it, so that it can be built again
+    keep(sources=sources.select("source_id", "text", F.sha2("text", 256).alias("source_sha256")), policy=spark.createDataFrame([(policy_json(policy),)], "policy string").coalesce(1))
+    if links is not None:
+        keep(links=links)
+        links = ready["links"]
     texts = ready["sources"].select("source_id", "text")
     keep(lines=physical_lines(texts))
     first = _inspected(texts, ready["lines"], policy)
@@ -169,23 +192,45 @@ def _write(spark: SparkSession, sources: DataFrame, path: str, policy: ProjectPo
     gates = entities.report(ready).first()
     if not gates.may_build_review_index or (policy.canonical and not gates.may_publish_canonical):
         raise ValueError(f"the project may not be published: {gates.asDict()}")
+    lexindex.add_units(structure.unit_texts(units, texts), f"{path}/{INDEX}", "units")
     store.write_manifest(ready, path)
 
 
-def regenerated_differences(spark: SparkSession, path: str, policy: ProjectPolicy = ProjectPolicy()) -> DataFrame:
-    """R-10: tables of a project that a fresh build of its own sources does not give: table_name, problem."""
-    fresh = new_path(spark, "regenerated")
-    _write(spark, store.read_project(spark, path, ["sources"])["sources"], fresh, policy, None)
+def regenerated_differences(spark: SparkSession, path: str, policy: ProjectPolicy | None = None) -> DataFrame:
+    """R-10: tables of a project that a fresh build of its own sources and links, by its own policy unless another is
+    given, does not give: table_name, problem."""
+    fresh, names = new_path(spark, "regenerated"), store.folders(spark, path)
+    told = store.read_project(spark, path, [n for n in ("sources", "policy", "links") if n in names])
+    policy = policy or policy_of(told["policy"].first().policy)
+    _write(spark, told["sources"], fresh, policy, told.get("links"))
     columns = ("table_name", "n_rows", "logical_sha256")
     return store.manifest_differences(*(spark.read.parquet(f"{p}/manifest").select(*columns) for p in (path, fresh)))
 
 
+def verify(spark: SparkSession, path: str) -> DataFrame:
+    """R-10 to R-12: table_name and problem of what isn't as the manifest says, the index of units included, which must have
+    the units' texts and no others; empty where all is sound."""
+    wrong = store.verify_project(spark, path)
+    if {"units", "sources"} - set(store.folders(spark, path)):
+        return wrong
+    project = store.read_project(spark, path, ["units", "sources"])
+    texts = structure.unit_texts(project["units"], project["sources"].select("source_id", "text"))
+    columns = ("source_id", "unit_id", "start_char", "unit_text")
+    sides = {INDEX: lexindex.docs_of(spark, f"{path}/{INDEX}"), "units": texts} if INDEX in store.folders(spark, path) else {"units": texts}
+    hashes = {r.table_name: (r.n_rows, r.logical_sha256) for r in store.table_hashes({n: df.select(*columns).withColumn("start_char", F.col("start_char").cast("long")) for n, df in sides.items()}).collect()}
+    if hashes.get(INDEX) == hashes["units"]:
+        return wrong
+    return wrong.unionByName(spark.createDataFrame([(INDEX, "CHANGED" if INDEX in hashes else "MISSING")], wrong.schema))
+
+
 def probe(spark: SparkSession, path: str) -> DataFrame:
-    """R-11: the packet of a question that the project's own first canonical relation answers; no row where it has none."""
+    """R-11: the packet of a question about the project's own first canonical relation, within its source; no row where it
+    has none. A name that stands for several entities there may make it ambiguous, which is an answer; that nothing is
+    found isn't."""
     facts = store.read_project(spark, path, ["facts"])["facts"].where("canonical_status = 'canonical' and polarity and claim_type in ('located_in', 'defeats', 'alias')")
     asks = {"located_in": "位于哪里？", "defeats": "击败了谁？", "alias": "又叫什么？"}
-    first = facts.select("subject", "claim_type").orderBy("source_id", "fact_id").limit(1).collect()
-    return ask(spark, path, [r.subject + asks[r.claim_type] for r in first])
+    first = facts.select("subject", "claim_type", "source_id").orderBy("source_id", "fact_id").limit(1).collect()
+    return ask(spark, path, [r.subject + asks[r.claim_type] for r in first], first[0].source_id if first else None)
 
 
 def load_profile(text: str) -> ProjectPolicy:
@@ -210,7 +255,7 @@ def publish_once(spark: SparkSession, sources: DataFrame, root: str, policy: Pro
     path = f"{root}/{build_key(sources, policy)}"
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
     there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
-    if not there or not store.verify_project(spark, path).isEmpty():
+    if not there or not verify(spark, path).isEmpty():
         publish(spark, sources, path, policy)
     return path
 
@@ -234,8 +279,7 @@ def ask(spark: SparkSession, path: str, questions: list[str], source: str | None
 def search(spark: SparkSession, path: str, questions: list[str], limit: int = 10, source: str | None = None) -> DataFrame:
     """R-03: units of a published project that the words of questions find, whatever the answers are."""
     asked = retrieval.intent_rows(spark, [(f"q{n}", q, source) for n, q in enumerate(questions)])
-    project = store.read_project(spark, path, ["units", "sources"])
-    return retrieval.lexical_hits(asked, structure.unit_texts(project["units"], project["sources"].select("source_id", "text")), limit)
+    return retrieval.lexical_hits(asked, f"{path}/{INDEX}", limit)
 
 
 def _local(df: DataFrame) -> DataFrame:

@@ -24,6 +24,8 @@ GOLD = (
     "case_id string, question_id string, question string, source_filter string, expected_decision string, expected_predicate string, expected_claim string, expected_fact_ids array<string>, tags array<string>"
 )
 QUESTION = "question_id string, question string, source_filter string"
+#: The folder of the index of a project's units, which is derived from them and not in the manifest.
+INDEX = "lexical"
 #: Columns that tables are partitioned by on disk.
 PARTITIONS = {"claims": ["status"], "anomalies": ["category"], "facts": ["claim_type"]}
 
@@ -174,9 +176,9 @@ def safe_relative(path: Column) -> Column:
 
 def verify_project(spark: SparkSession, path: str) -> DataFrame:
     """R-10 to R-12: what of a project isn't as its manifest says: tables that lack, that are there unasked, or whose rows
-    differ; empty where all is."""
+    differ; empty where all is. The index is no table of the manifest; ``plans.project.verify`` looks at it, too."""
     told = spark.read.parquet(f"{path}/manifest")
-    here = set(folders(spark, path)) - {"manifest"}
+    here = set(folders(spark, path)) - {"manifest", INDEX}
     known = {name: df for name, df in read_project(spark, path).items() if name in here}
     found = table_hashes(known)
     extra = spark.createDataFrame([(name,) for name in sorted(here - set(known))], "table_name string")
