@@ -21,7 +21,9 @@ from quillspan.sources.scratch import cut, new_path, small_batches
 BLOCK_UNITS, PIECE_CHARS = 2048, 1 << 21
 #: Characters a bucket, and bounds of the number of buckets. All trigrams with the same first two characters share one.
 BUCKET_CHARS, LEAST_BUCKETS, MOST_BUCKETS = 1 << 25, 8, 4096
-#: Terms up to which trigrams are filters of the scan; more are joined.
+#: Tasks that write one bucket at most.
+SPLITS = 4
+#: Trigrams of terms up to which these are filters of the scan; more are joined.
 FEW_TERMS = 1000
 #: BM25.
 K1, B = 1.2, 0.75
@@ -178,7 +180,8 @@ def add_units(units: DataFrame, path: str, segment: str | None = None) -> None:
     n, tokens, chars = docs.agg(F.count("*"), F.coalesce(size, F.lit(0)), F.coalesce(F.sum("n_chars"), F.lit(0))).first()
     buckets = max(LEAST_BUCKETS, min(MOST_BUCKETS, -(-chars // BUCKET_CHARS)))
     found = small_batches(docs).select("unit_no", "unit_text").mapInArrow(_poster(buckets), POSTINGS)
-    found = found.repartitionByRange("bucket", "gram", "block").sortWithinPartitions("bucket", "gram", "block")
+    # by hash, as ranges would have to be sampled, which makes the postings twice
+    found = found.repartition("bucket", F.pmod(F.xxhash64("gram"), F.lit(SPLITS))).sortWithinPartitions("bucket", "gram", "block")
     found.write.partitionBy("bucket").parquet(f"{path}/postings/segment={segment}")
     one = spark.createDataFrame([(n, tokens, buckets)], "n_units long, n_tokens long, buckets int").coalesce(1)
     one.write.parquet(f"{path}/segments/segment={segment}")
@@ -252,15 +255,15 @@ def find(spark: SparkSession, path: str, terms: DataFrame) -> DataFrame:
     case folded, its overlapping occurrences and its first place. Terms are distinct in term_id.
 
     First only trigrams and blocks are read: a block counts for a term if it has all trigrams that cover it. Only their
-    payloads are then read and intersected, the shortest first. Up to FEW_TERMS terms, buckets and ranges of trigrams
-    are filters of both scans (partitions and row groups); more are joined on segment, bucket and first two characters.
+    payloads are then read and intersected, the shortest first. Up to FEW_TERMS trigrams, these and their buckets are
+    filters of both scans (partitions and row groups); more are joined on segment, bucket and first two characters.
     Work is dealt by term and block, so a term that stands everywhere is many small groups.
     """
     segments = segments_of(spark, path)
     keyed = _keyed(terms, segments)
     postings = spark.read.schema("gram long, block long, n int, payload binary, segment string, bucket int").parquet(f"{path}/postings")
-    if terms.limit(FEW_TERMS + 1).count() <= FEW_TERMS:
-        rows = keyed.collect()
+    rows = keyed.limit(FEW_TERMS + 1).collect()
+    if len(rows) <= FEW_TERMS:
         chosen = F.lit(False)
         for name in sorted({r.segment for r in rows}):
             own = [r for r in rows if r.segment == name]
@@ -269,7 +272,7 @@ def find(spark: SparkSession, path: str, terms: DataFrame) -> DataFrame:
                 grams |= F.col("gram").between(low, high)
             chosen |= (F.col("segment") == name) & F.col("bucket").isin(sorted({r.bucket for r in own})) & grams
         postings = postings.where(chosen)
-        # a row a trigram of at most FEW_TERMS terms
+        # at most FEW_TERMS rows
         keyed = F.broadcast(spark.createDataFrame([tuple(r) for r in rows], keyed.schema))
     else:
         keyed = cut(keyed, "term-grams")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fact_queries, story_queries, text_queries
+from . import fact_queries, scale_queries, story_queries, text_queries
 
-QUERIES: dict = text_queries.QUERIES | fact_queries.QUERIES | story_queries.QUERIES
-ORACLE_SQL: dict[str, str] = text_queries.ORACLE_SQL | fact_queries.ORACLE_SQL | story_queries.ORACLE_SQL
+QUERIES: dict = text_queries.QUERIES | fact_queries.QUERIES | story_queries.QUERIES | scale_queries.QUERIES
+ORACLE_SQL: dict[str, str] = text_queries.ORACLE_SQL | fact_queries.ORACLE_SQL | story_queries.ORACLE_SQL | scale_queries.ORACLE_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from quillspan.operators import anomaly, chunking, claims, entities, gold, headi
 from quillspan.operators.limits import within
 from quillspan.operators.lines import physical_lines
 from quillspan.sources import tables as store
-from quillspan.sources.scratch import cut, new_path
+from quillspan.sources.scratch import cut, new_path, remove
 from quillspan.sources.tables import INDEX
 
 #: Of the rules; a build of another version is another build.
@@ -98,6 +98,8 @@ def policy_of(text: str) -> ProjectPolicy:
 
     def rebuilt(usual, told):
         if is_dataclass(usual):
+            if set(told) - {f.name for f in fields(usual)}:
+                raise ValueError(f"a policy has no {sorted(set(told) - {f.name for f in fields(usual)})}")
             return replace(usual, **{k: rebuilt(getattr(usual, k), v) for k, v in told.items()})
         if isinstance(told, dict):
             return {k: rebuilt((), v) for k, v in told.items()}
@@ -145,55 +147,64 @@ def build(sources: DataFrame, policy: ProjectPolicy = ProjectPolicy(), links: Da
 def publish(spark: SparkSession, sources: DataFrame, path: str, policy: ProjectPolicy = ProjectPolicy(), links: DataFrame | None = None) -> None:
     """Builds a project and puts it in the place of what was at ``path``. Each stage is written and read back before the next
     builds on it, so none runs twice. All is written beside the place, and takes it by a rename only when it is whole: a
-    build that fails or is killed leaves the old project as it was."""
-    with store.replacing(spark, path) as place:
+    build that fails or is killed leaves the old project as it was. The same build, begun again after it was killed, goes on
+    behind the last stage in its journal."""
+    key = build_key(sources, policy) if links is None else build_key(sources, policy) + links.agg(store.logical_hash(links)).first()[0][:16]
+    with store.replacing(spark, path, key) as place:
         _write(spark, sources, place, policy, links)
 
 
 def _write(spark: SparkSession, sources: DataFrame, path: str, policy: ProjectPolicy, links: DataFrame | None) -> None:
-    ready: dict[str, DataFrame] = {}
-
-    def keep(**made: DataFrame) -> None:
-        ready.update(store.write_tables(made, path))
+    """One stage after the other; those that a journal at ``path`` has are not done again."""
+    journal = store.Journal(spark, path)
+    t, stage = journal.tables, journal.stage
+    texts = lambda: t["sources"].select("source_id", "text")
+    good = lambda: t["claims"].where("may_index")
 
     # what the project was built by is kept with it, so that it can be built again
-    keep(sources=sources.select("source_id", "text", F.sha2("text", 256).alias("source_sha256")), policy=spark.createDataFrame([(policy_json(policy),)], "policy string").coalesce(1))
-    if links is not None:
-        keep(links=links)
-        links = ready["links"]
-    texts = ready["sources"].select("source_id", "text")
-    keep(lines=physical_lines(texts))
-    first = _inspected(texts, ready["lines"], policy)
-    keep(anomalies=first["anomalies"], headings=first["headings"])
-    keep(units=structure.units(ready["headings"], texts, ready["lines"], policy.structure))
-    units = ready["units"]
-    second = _structured(texts, ready["lines"], ready["headings"], units, policy)
-    keep(structure_findings=second["structure_findings"], chunks=second["chunks"])
-    problems = chunking.chunk_problems(ready["chunks"], policy.chunk)
+    told = {"sources": sources.select("source_id", "text", F.sha2("text", 256).alias("source_sha256")), "policy": spark.createDataFrame([(policy_json(policy),)], "policy string").coalesce(1)}
+    stage("sources", lambda: told if links is None else told | {"links": links})
+    stage("lines", lambda: {"lines": physical_lines(texts())})
+    stage("findings", lambda: _inspected(texts(), t["lines"], policy))
+    stage("units", lambda: {"units": structure.units(t["headings"], texts(), t["lines"], policy.structure)})
+    stage("structure", lambda: _structured(texts(), t["lines"], t["headings"], t["units"], policy))
+    problems = chunking.chunk_problems(t["chunks"], policy.chunk)
     if not problems.isEmpty():
         raise ValueError(f"chunks break their own rules: {problems.first().asDict()}")
-    semantic = accepted_claims(texts, units, ready["anomalies"], policy.semantic)
-    keep(claims=semantic["claims"], model_tasks=semantic["model_tasks"], long_clauses=semantic["long_clauses"])
-    good = ready["claims"].where("may_index")
-    if good.isEmpty():
+    stage("claims", lambda: accepted_claims(texts(), t["units"], t["anomalies"], policy.semantic))
+    if good().isEmpty():
         raise ValueError("no claim was accepted: there is nothing to index")
-    found, many = _judged(ready, policy.semantic)
-    keep(semantic_findings=found, mentions=entities.mentions(good))
-    keep(warnings=reduce(DataFrame.unionByName, [first["warnings"], second["warnings"], semantic["warnings"], many]))
-    valid = None if links is None else entities.valid_links(links, ready["mentions"], texts, units).where("problem is null")
-    merged, blocked = entities.components(ready["mentions"], entities.identity_edges(ready["mentions"], good, valid))
-    keep(merged=merged, blocked_merges=blocked)
-    keep(entities=entities.entities(ready["mentions"], ready["merged"]))
-    keep(plain_facts=entities.facts(good, ready["mentions"], ready["merged"], ready["entities"]))
-    keep(conflicts=entities.conflicts(ready["plain_facts"]))
-    judged_facts = entities.fact_status(ready["plain_facts"], ready["conflicts"], ready["blocked_merges"])
-    keep(facts=retrieval.indexed_facts(judged_facts), entity_names=retrieval.entity_names(ready["entities"]))
-    keep(timeline=entities.timeline(ready["facts"]), ambiguity_groups=entities.ambiguity_groups(ready["mentions"], ready["merged"], ready["entities"]))
-    gates = entities.report(ready).first()
+
+    def judged() -> dict[str, DataFrame]:
+        found, many = _judged(t, policy.semantic)
+        return {"semantic_findings": found, "mentions": entities.mentions(good()), "warnings": many}
+
+    def identity() -> dict[str, DataFrame]:
+        valid = None if links is None else entities.valid_links(t["links"], t["mentions"], texts(), t["units"]).where("problem is null")
+        merged, blocked = entities.components(t["mentions"], entities.identity_edges(t["mentions"], good(), valid))
+        return {"merged": merged, "blocked_merges": blocked}
+
+    def index() -> dict[str, DataFrame]:
+        remove(spark, f"{path}/{INDEX}")
+        lexindex.add_units(structure.unit_texts(t["units"], texts()), f"{path}/{INDEX}", "units")
+        return {}
+
+    def facts() -> dict[str, DataFrame]:
+        return {"facts": retrieval.indexed_facts(entities.fact_status(t["plain_facts"], t["conflicts"], t["blocked_merges"])), "entity_names": retrieval.entity_names(t["entities"])}
+
+    stage("judged", judged)
+    stage("identity", identity)
+    stage("entities", lambda: {"entities": entities.entities(t["mentions"], t["merged"])})
+    stage("plain_facts", lambda: {"plain_facts": entities.facts(good(), t["mentions"], t["merged"], t["entities"])})
+    stage("conflicts", lambda: {"conflicts": entities.conflicts(t["plain_facts"])})
+    stage("facts", facts)
+    stage("timeline", lambda: {"timeline": entities.timeline(t["facts"]), "ambiguity_groups": entities.ambiguity_groups(t["mentions"], t["merged"], t["entities"])})
+    gates = entities.report(t).first()
     if not gates.may_build_review_index or (policy.canonical and not gates.may_publish_canonical):
         raise ValueError(f"the project may not be published: {gates.asDict()}")
-    lexindex.add_units(structure.unit_texts(units, texts), f"{path}/{INDEX}", "units")
-    store.write_manifest(ready, path)
+    stage("index", index)
+    warned = store.write_tables({"warnings": reduce(DataFrame.unionByName, journal.warnings())}, path)
+    store.write_manifest(journal.close() | warned, path)
 
 
 def regenerated_differences(spark: SparkSession, path: str, policy: ProjectPolicy | None = None) -> DataFrame:

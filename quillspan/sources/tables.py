@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import json
+import os
+import socket
+import threading
+import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import reduce
 
@@ -12,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+#: Seconds without a sign of life after which a build counts as killed.
+LEASE = 600
 #: Input schemas; readers fail on rows that don't fit.
 UNIT_INDEX = "source_id string, unit_id string, norm_start long, norm_end long, body_start long, body_end long"
 CANDIDATE = (
@@ -101,18 +107,83 @@ def recover(spark: SparkSession, path: str) -> None:
             raise OSError(f"{path}: the old project could not be put back")
 
 
+class _Lock:
+    """R-23: ``path``.lock, which names its owner and is touched as long as that lives. One that has not been touched for
+    LEASE seconds is a killed build's, and is taken over."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.fs, of = _files(spark, path)
+        self.place, self.done = of(f"{path}.lock"), threading.Event()
+        if self.fs.exists(self.place) and time.time() - self.fs.getFileStatus(self.place).getModificationTime() / 1000 > LEASE:
+            self.fs.delete(self.place, False)
+        if not self.fs.createNewFile(self.place):
+            raise OSError(f"{path}.lock: another build is at work, or was killed less than {LEASE} seconds ago")
+        write_text(self.fs, self.place, json.dumps({"host": socket.gethostname(), "pid": os.getpid(), "application": spark.sparkContext.applicationId}))
+        threading.Thread(target=self._touch, daemon=True).start()
+
+    def _touch(self) -> None:
+        while not self.done.wait(LEASE / 4):
+            self.fs.setTimes(self.place, int(time.time() * 1000), -1)
+
+    def release(self) -> None:
+        self.done.set()
+        self.fs.delete(self.place, False)
+
+
+def write_text(fs, place, text: str) -> None:
+    out = fs.create(place, True)
+    out.write(text.encode())
+    out.close()
+
+
+class Journal:
+    """R-22: what a build has done so far, below the place that it writes to. A stage is entered when all its tables are
+    written, and not before; one that is entered is read back instead of being done again."""
+
+    def __init__(self, spark: SparkSession, place: str):
+        self.spark, self.place, self.tables = spark, place, {}
+        self.fs, self.of = _files(spark, place)
+
+    def stage(self, name: str, make: Callable[[], dict[str, DataFrame]]) -> None:
+        """Adds the tables of ``make`` to ``tables`` as written; its ``warnings`` by the name of the stage."""
+        entry = self.of(f"{self.place}/_journal/{name}")
+        if self.fs.exists(entry):
+            stream = self.fs.open(entry)
+            told = json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            stream.close()
+            self.tables |= {n: self.spark.read.schema(StructType.fromJson(s)).parquet(f"{self.place}/{n}") for n, s in told.items()}
+            return
+        made = {f"_journal/warnings-{name}" if n == "warnings" else n: df for n, df in make().items()}
+        self.tables |= write_tables(made, self.place)
+        open_ = self.of(f"{self.place}/_journal/{name}.open")
+        write_text(self.fs, open_, json.dumps({n: json.loads(df.schema.json()) for n, df in made.items()}))
+        if not self.fs.rename(open_, entry):
+            raise OSError(f"{self.place}: stage {name} could not be entered")
+
+    def warnings(self) -> list[DataFrame]:
+        return [df for n, df in self.tables.items() if n.startswith("_journal/")]
+
+    def close(self) -> dict[str, DataFrame]:
+        """The project's tables; the journal is gone then."""
+        self.fs.delete(self.of(f"{self.place}/_journal"), True)
+        return {n: df for n, df in self.tables.items() if not n.startswith("_journal/")}
+
+
 @contextmanager
-def replacing(spark: SparkSession, path: str) -> Iterator[str]:
+def replacing(spark: SparkSession, path: str, key: str | None = None) -> Iterator[str]:
     """K-13, R-22: a fresh place to write a project to; when the block ends without an error, it takes the place of what is
-    at ``path`` by two renames. Until then, and after an error, what was there stays. ``path``.lock keeps others out; it is
-    the mark of a build that was killed, too, and then to be removed with ``break_lock``."""
+    at ``path`` by two renames. Until then, and after an error, what was there stays. A lock keeps others out. With a
+    ``key`` that names the build by its content, a place that a killed build of the same key has left is given again, with
+    what its journal says; places of other keys go. A build that its own rules refuse (ValueError) leaves nothing."""
     path = path.rstrip("/")
     fs, of = _files(spark, path)
-    if not fs.createNewFile(of(f"{path}.lock")):
-        raise OSError(f"{path}.lock: another build is at work, or was killed")
-    place = f"{path}.build-{uuid.uuid4().hex}"
+    lock = _Lock(spark, path)
+    place, left = f"{path}.build-{key or uuid.uuid4().hex}", False
     try:
         recover(spark, path)
+        for other in fs.globStatus(of(f"{path}.build-*")) or ():
+            if other.getPath().getName() != of(place).getName():
+                fs.delete(other.getPath(), True)
         yield place
         fs.delete(of(f"{path}.old"), True)
         if fs.exists(of(path)) and not fs.rename(of(path), of(f"{path}.old")):
@@ -121,9 +192,15 @@ def replacing(spark: SparkSession, path: str) -> Iterator[str]:
             recover(spark, path)
             raise OSError(f"{path}: the new project could not take its place")
         fs.delete(of(f"{path}.old"), True)
+    except ValueError:
+        raise
+    except BaseException:
+        left = key is not None
+        raise
     finally:
-        fs.delete(of(place), True)
-        fs.delete(of(f"{path}.lock"), False)
+        if not left:
+            fs.delete(of(place), True)
+        lock.release()
 
 
 def break_lock(spark: SparkSession, path: str) -> None:
