@@ -218,7 +218,8 @@ def _settled(edges: DataFrame) -> DataFrame:
 
     order = ("source_id", "home", "kind", "rank", "a", "b")
     edges = edges.select(*order[:2], "kind", "rank", "a", "b", "claim", "a_type", "b_type")
-    return edges.repartition("source_id", "home").sortWithinPartitions(*order).mapInPandas(each, SETTLED)
+    # a shuffle by the keys of the join before it would be left out, whatever that join becomes at run time
+    return edges.repartition(F.xxhash64("source_id", "home")).sortWithinPartitions(*order).mapInPandas(each, SETTLED)
 
 
 def entities(found: DataFrame, merged: DataFrame) -> DataFrame:

@@ -282,7 +282,8 @@ def find(spark: SparkSession, path: str, terms: DataFrame) -> DataFrame:
     met = postings.join(keyed, ["segment", "bucket", "prefix"]).where(within)
     whole = met.groupBy("term_id", "segment", "block").agg(F.count_distinct("offset").alias("held"), F.first("n_grams").alias("n_grams")).where("held = n_grams")
     rows = met.select("term_id", "segment", "block", "offset", "payload").join(whole.select("term_id", "segment", "block"), ["term_id", "segment", "block"])
-    rows = rows.repartition("term_id", "segment", "block").sortWithinPartitions("term_id", "segment", "block")
+    # dealt by a hash of the keys: Spark leaves a shuffle by the very keys of the join out, and may then make that join another
+    rows = rows.repartition(F.xxhash64("term_id", "segment", "block")).sortWithinPartitions("term_id", "segment", "block")
     return small_batches(rows).mapInArrow(_phrases, "term_id string, segment string, unit_no long, tf long, at long")
 
 

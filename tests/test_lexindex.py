@@ -130,6 +130,19 @@ def test_scans_read_the_terms_buckets_only(spark, index):
     assert "PartitionFilters: [" in plan and "bucket#" in plan.split("PartitionFilters: [")[1].split("]")[0] and "In(gram" in plan
 
 
+def test_long_phrases_by_the_thousand_trigrams(spark):
+    """Joined, with groups of many rows each: none may be split, whatever the joins become at run time."""
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randrange(2, 6))) for _ in range(60)]
+    units = [(f"s{k % 5}", f"u{k}", k, " ".join(rng.choice(words) for _ in range(120))) for k in range(200)]
+    terms = [(str(k), u[3][k : k + 130].upper()) for k, u in enumerate(units[:60])] + [("none", "abc " * 40)]
+    path = new_path(spark, "lexical")
+    add_units(spark.createDataFrame(units, UNITS), path)
+    docs = {(r.segment, r.unit_no): r.unit_id for r in lexindex.docs_of(spark, path).collect()}
+    got = sorted((r.term_id, docs[r.segment, r.unit_no], r.tf, r.at) for r in find(spark, path, spark.createDataFrame(terms, "term_id string, term string")).collect())
+    assert got == sorted((i, u, t.count(p.lower()), t.find(p.lower())) for i, p in terms for _, u, _, t in units if p.lower() in t) and len(got) >= 60
+
+
 def test_codec():
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.integers(0, 300, 200), rng.integers(0, 1 << 50, 200), [0, 127, 128, (1 << 56) - 1]])
