@@ -219,13 +219,16 @@ def line_runs(lines: DataFrame) -> DataFrame:
 
 
 def repeated_runs(lines: DataFrame, policy: AnomalyPolicy = AnomalyPolicy()) -> DataFrame:
-    """A run is told once, where it reaches the limit."""
-    some = line_runs(lines).where(F.col("run") == policy.repeated_line_run)
+    """A run is told once, where it reaches the limit. Lines that have their ``run`` already are taken as they are."""
+    some = (lines if "run" in lines.columns else line_runs(lines)).where(F.col("run") == policy.repeated_line_run)
     return findings(on_line(some, F.concat(F.lit("run_length="), "run")), "REPEATED_LINE_RUN_CANDIDATE", policy)
 
 
 def earlier_copies(lines: DataFrame, min_characters: int, min_distance: int) -> DataFrame:
-    """W-03: long lines that stood before, far enough away: first_line, first_start, first_end of the first one."""
+    """W-03: long lines that stood before, far enough away: first_line, first_start, first_end of the first one. Lines that
+    have these already, of copies as long at least, are taken as they are."""
+    if "first_line" in lines.columns:
+        return lines.where((F.length(collapse(F.col("content"))) >= min_characters) & (F.col("line_no") - F.col("first_line") >= min_distance))
     df = lines.withColumn("normal", collapse(F.col("content"))).where(F.length("normal") >= min_characters)
     first = F.min(F.struct("line_no", "start_char", "end_char")).over(in_order().partitionBy("source_id", "normal").rowsBetween(FIRST, LAST))
     df = df.withColumn("first", first).where(F.col("line_no") - F.col("first.line_no") >= min_distance)
@@ -239,11 +242,15 @@ def distant_duplicates(lines: DataFrame, policy: AnomalyPolicy = AnomalyPolicy()
 
 
 def script_shifts(lines: DataFrame, min_characters: int, delta: float) -> DataFrame:
-    """W-04: long lines right after a long line of another script profile. Lines in chunks are looked at chunk by chunk."""
+    """W-04: long lines right after a long line of another script profile. Lines in chunks are looked at chunk by chunk, lines
+    that have the one before (``content_before``) by themselves."""
     df = lines.withColumns({"cjk": cjk_ratio(F.col("content")), "latin": ascii_letter_ratio(F.col("content"))})
     long_ = F.length("content") >= min_characters
     told = {f"{c}_before": F.when(long_, F.col(c)) for c in ("cjk", "latin")}
-    if "chunk" in lines.columns:
+    if "content_before" in lines.columns:
+        was = F.when(F.length("content_before") >= min_characters, F.col("content_before"))
+        df = df.where(long_ & was.isNotNull()).withColumns({"cjk_before": cjk_ratio(was), "latin_before": ascii_letter_ratio(was)})
+    elif "chunk" in lines.columns:
         df = prefix.previous(df, told, ("line_no",)).where(long_)
     else:
         df = df.withColumns({c: F.lag(v).over(in_order()) for c, v in told.items()}).where(long_)
@@ -383,14 +390,19 @@ def mosaic_warnings(sources: DataFrame, lines: DataFrame, policy: AnomalyPolicy
     return warnings_of(long_.groupBy("source_id").agg(F.count("*").alias("n")), "anomaly", "MOSAIC_BLOCK_LIMIT_REACHED", F.col("n"))
 
 
-def inspect_anomalies(sources: DataFrame, policy: AnomalyPolicy = AnomalyPolicy(), lines: DataFrame | None = None) -> DataFrame:
-    """All findings of ``sources`` (source_id, text); ``lines`` are their physical lines where they are at hand."""
-    lines = physical_lines(sources) if lines is None else lines
+def line_findings(lines: DataFrame, policy: AnomalyPolicy = AnomalyPolicy()) -> DataFrame:
+    """Findings of all rules that judge line by line."""
     rules = [special_characters, long_lines, web_residue, paratext, repeated_runs, distant_duplicates, abrupt_scripts]
     parts = [rule(lines, policy) for rule in rules]
     if policy.marker_groups:
         parts.append(marker_clusters(lines, policy))
-    return reduce(DataFrame.unionByName, [*parts, corpus_shifts(sources, lines, policy)])
+    return reduce(DataFrame.unionByName, parts)
+
+
+def inspect_anomalies(sources: DataFrame, policy: AnomalyPolicy = AnomalyPolicy(), lines: DataFrame | None = None) -> DataFrame:
+    """All findings of ``sources`` (source_id, text); ``lines`` are their physical lines where they are at hand."""
+    lines = physical_lines(sources) if lines is None else lines
+    return line_findings(lines, policy).unionByName(corpus_shifts(sources, lines, policy))
 
 
 def capped(found: DataFrame, cap: int, *order: str) -> DataFrame:
