@@ -33,6 +33,8 @@ PIECE = "source_id string, piece_no long, text string, last boolean"
 LINE_STATE = "source_id string, line_no long, start_char long, end_char long, physical string, content string, run long, first_line long, first_start long, first_end long, content_before string"
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: What a source's reader holds in memory before it goes to the state: characters of early pieces, fingerprints.
+HELD_CHARACTERS, NEW_PRINTS = 4 << 20, 50_000
 
 _LINE = re.compile(LINE)
 _ENDS = re.compile("[\r\n]")
@@ -79,31 +81,76 @@ class LineKeeper(StatefulProcessor):
         now = _Reader(kept, [part for (part,) in self.tail.get()] if kept else [])
         if now.done:
             return
-        waits = bool(kept) and self.early.exists()
+        self.new_prints, self.prints_stored = {}, bool(kept)
+        self.held, self.held_size, self.early_stored = {}, 0, bool(kept) and self.early.exists()
         for frame in rows:
             for piece, text, last in zip(frame["piece_no"].tolist(), frame["text"].tolist(), frame["last"].tolist(), strict=True):
-                piece, text, last = int(piece), text if isinstance(text, str) else "", last is True
-                if piece > now.piece and not now.done and not (waits and self.early.containsKey((piece,))):
-                    self.early.updateValue((piece,), (text, last))
-                    waits = True
-                while piece == now.piece and not now.done:
-                    out = self._rows(key[0], now, now.lines(text, last))
-                    if len(out):
-                        yield out
-                    if waits and self.early.containsKey((now.piece,)):
-                        (text, last), piece = self.early.getValue((now.piece,)), now.piece
-                        self.early.removeKey((piece,))
+                told = (text if isinstance(text, str) else "", last is True)
+                if piece > now.piece:
+                    self._hold(int(piece), told)
+                elif piece == now.piece:
+                    while told and not now.done:
+                        out = self._rows(key[0], now, now.lines(*told))
+                        if len(out):
+                            yield out
+                        told = self._take(now.piece)
+                if now.done:
+                    break
+            if now.done:
+                break
         if now.done:
-            self.tail.clear()
-            self.early.clear()
-            self.first.clear()
+            for state in (self.tail, self.early, self.first) if kept or self.early_stored or self.prints_stored else ():
+                state.clear()
             now.before, now.print = None, b""
-        elif now.tail:
-            self.tail.put([(part,) for part in now.tail])
-        elif kept:
-            self.tail.clear()
+        else:
+            self._store_held()
+            self._store_prints()
+            if now.tail:
+                self.tail.put([(part,) for part in now.tail])
+            elif kept:
+                self.tail.clear()
         self.place.update(now.kept())
 
+    def _hold(self, piece: int, told: tuple[str, bool]) -> None:
+        """An early piece waits in memory, up to HELD_CHARACTERS, and then in the state; the first of equal numbers counts."""
+        if piece not in self.held and not (self.early_stored and self.early.containsKey((piece,))):
+            self.held[piece] = told
+            self.held_size += len(told[0]) + 100
+            if self.held_size > HELD_CHARACTERS:
+                self._store_held()
+
+    def _take(self, piece: int) -> tuple[str, bool] | None:
+        told = self.held.pop(piece, None)
+        if told is not None:
+            self.held_size -= len(told[0]) + 100
+        elif self.early_stored:
+            told = self.early.getValue((piece,))
+            if told is not None:
+                self.early.removeKey((piece,))
+        return told
+
+    def _store_held(self) -> None:
+        for piece, told in self.held.items():
+            self.early.updateValue((piece,), told)
+        self.early_stored |= bool(self.held)
+        self.held, self.held_size = {}, 0
+
+    def _store_prints(self) -> None:
+        for mark, where in self.new_prints.items():
+            self.first.updateValue((mark,), where)
+        self.prints_stored |= bool(self.new_prints)
+        self.new_prints = {}
+
+    def _first(self, mark: bytes, here: tuple[int, int, int]) -> tuple:
+        """Where a long line stood first, if before; else it is noted. Up to NEW_PRINTS notes wait in memory: where a source
+        ends in the batch it began in, none is ever stored."""
+        where = self.new_prints.get(mark) or (self.first.getValue((mark,)) if self.prints_stored else None)
+        if where is None:
+            self.new_prints[mark] = here
+            if len(self.new_prints) >= NEW_PRINTS:
+                self._store_prints()
+        return where or (None, None, None)
+
     def _rows(self, source: str, now: _Reader, lines: list[str]) -> pd.DataFrame:
         out = []
         for physical in lines:
@@ -115,10 +162,7 @@ class LineKeeper(StatefulProcessor):
             end = now.char + len(content)
             first = (None, None, None)
             if len(normal) >= self.least_copy:
-                if self.first.containsKey((mark,)):
-                    first = self.first.getValue((mark,))
-                else:
-                    self.first.updateValue((mark,), (now.line, now.char, end))
+                first = self._first(mark, (now.line, now.char, end))
             long_ = len(content) >= self.least_script
             out.append((source, now.line, now.char, end, physical, content, now.run if normal else 0, *first, now.before if long_ else None))
             now.char, now.print, now.before = now.char + len(physical), mark, content if long_ else None
