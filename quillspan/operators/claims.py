@@ -378,10 +378,12 @@ def validate_claims(candidates: DataFrame, sources: DataFrame, units: DataFrame)
 
     The envelope is judged on joined rows: a valid span within the text, the same text, a known unit around it. Only
     the evidence, not the whole text, goes through Arrow to the validators."""
-    spans = units.select("source_id", "unit_id", F.col("start_char").alias("unit_start"), F.col("end_char").alias("unit_end"))
-    homes = units.select("unit_id", F.col("source_id").alias("home")).groupBy("unit_id").agg(F.min("home").alias("home"))
-    lost = candidates.select("source_id", "unit_id").distinct().join(spans, ["source_id", "unit_id"], "left_anti").join(homes, "unit_id")
-    df = candidates.join(spans, ["source_id", "unit_id"], "left").join(lost, ["source_id", "unit_id"], "left").join(sources.select("source_id", F.col("text").alias("source_text")), "source_id", "left")
+    # by sorted shuffles: the planner's sizes are those of what candidates are made of, and would have all of them broadcast
+    spans = units.select("source_id", "unit_id", F.col("start_char").alias("unit_start"), F.col("end_char").alias("unit_end")).hint("merge")
+    homes = units.select("unit_id", F.col("source_id").alias("home")).groupBy("unit_id").agg(F.min("home").alias("home")).hint("merge")
+    lost = candidates.select("source_id", "unit_id").distinct().join(spans, ["source_id", "unit_id"], "left_anti").join(homes, "unit_id").hint("merge")
+    texts = sources.select("source_id", F.col("text").alias("source_text")).hint("merge")
+    df = candidates.join(spans, ["source_id", "unit_id"], "left").join(lost, ["source_id", "unit_id"], "left").join(texts, "source_id", "left")
     a, b = F.col("evidence_start"), F.col("evidence_end")
     bad, beyond = (a < 0) | (b <= a), b > F.coalesce(F.length("source_text"), F.lit(0))
     evidence = F.when(bad | beyond, "").otherwise(part_of(F.col("source_text"), a, b))

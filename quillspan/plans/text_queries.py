@@ -48,6 +48,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores) if name in ("documents", "pages") and df.rdd.getNumPartitions() < cores else df
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Short rows that much is made of, dealt out over all cores: a table of keys has few bytes, so few splits."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def doc_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.as_sources(table(spark, sf_dir, "documents"))
 
