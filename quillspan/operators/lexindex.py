@@ -25,6 +25,8 @@ BUCKET_CHARS, LEAST_BUCKETS, MOST_BUCKETS = 1 << 25, 8, 4096
 SPLITS = 4
 #: Trigrams of terms up to which these are filters of the scan; more are joined.
 FEW_TERMS = 1000
+#: Trigrams of a term whose payloads are read; what has more is held against the text where these have met.
+RAREST = 3
 #: BM25.
 K1, B = 1.2, 0.75
 
@@ -219,7 +221,8 @@ def _keyed(terms: DataFrame, segments: list) -> DataFrame:
 
 
 def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Units in which a term stands, with its occurrences and the first place, of one term, segment and block after the other."""
+    """Units in which a term's trigrams meet, with the number of times and the first place, of one term, segment and block after
+    the other; with all places where the term has more trigrams than these."""
     key, held = None, []
 
     def done() -> Iterator[pa.RecordBatch]:
@@ -236,9 +239,14 @@ def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 return
         unit, first, n = np.unique(kept >> 40, return_index=True, return_counts=True)
         term, segment, block = key
+        at = kept & ((1 << 40) - 1)
+        if held[0]["more"]:
+            every = pa.array(np.split(at, first[1:]), pa.list_(pa.int64()))
+        else:
+            every = pa.nulls(len(unit), pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([term] * len(unit)), pa.array([segment] * len(unit)), pa.array(unit + block), pa.array(n.astype(np.int64)), pa.array(kept[first] & ((1 << 40) - 1))],
-            names=["term_id", "segment", "unit_no", "tf", "at"],
+            [pa.array([term] * len(unit)), pa.array([segment] * len(unit)), pa.array(unit + block), pa.array(n.astype(np.int64)), pa.array(at[first]), every],
+            names=["term_id", "segment", "unit_no", "tf", "at", "places"],
         )
 
     for batch in batches:
@@ -250,13 +258,24 @@ def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from done()
 
 
+def _same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose part of the text is the term, case folded."""
+    fold = _folder()
+    for batch in batches:
+        part, term = (["" if x is None else x for x in batch.column(c).to_pylist()] for c in ("part", "term"))
+        points = lambda x: fold[np.frombuffer(x.encode("utf-32-le"), np.uint32)]
+        good = [len(x) == len(y) and (x == y or bool((points(x) == points(y)).all())) for x, y in zip(part, term, strict=True)]
+        yield batch.select(["term_id", "segment", "unit_no", "at"]).filter(pa.array(good, pa.bool_()))
+
+
 def find(spark: SparkSession, path: str, terms: DataFrame) -> DataFrame:
     """J-07: term_id, segment, unit_no, tf, at: the units in which a term (term_id, term) of two characters at least stands,
     case folded, its overlapping occurrences and its first place. Terms are distinct in term_id.
 
-    First only trigrams and blocks are read: a block counts for a term if it has all trigrams that cover it. Only their
-    payloads are then read and intersected, the shortest first. Up to FEW_TERMS trigrams, these and their buckets are
-    filters of both scans (partitions and row groups); more are joined on segment, bucket and first two characters.
+    First only trigrams and blocks are read: a block counts for a term if it has all trigrams that cover it. Only the payloads
+    of the RAREST ones are then read and intersected, the shortest first, as a common trigram's payload would be sent once for each
+    term that has it. Where a term has more, its places are held against the text. Up to FEW_TERMS trigrams, these and their
+    buckets are filters of all scans (partitions and row groups); more are joined on segment, bucket and first two characters.
     Work is dealt by term and block, so a term that stands everywhere is many small groups.
     """
     segments = segments_of(spark, path)
@@ -280,11 +299,30 @@ def find(spark: SparkSession, path: str, terms: DataFrame) -> DataFrame:
     postings = postings.withColumns({"prefix": F.shiftright("gram", 21), "bucket": F.col("bucket").cast("long")})
     within = (F.col("gram") >= F.col("low")) & (F.col("gram") <= F.col("high"))
     met = postings.join(keyed, ["segment", "bucket", "prefix"]).where(within)
-    whole = met.groupBy("term_id", "segment", "block").agg(F.count_distinct("offset").alias("held"), F.first("n_grams").alias("n_grams")).where("held = n_grams")
-    rows = met.select("term_id", "segment", "block", "offset", "payload").join(whole.select("term_id", "segment", "block"), ["term_id", "segment", "block"])
-    # dealt by a hash of the keys: Spark leaves a shuffle by the very keys of the join out, and may then make that join another
-    rows = rows.repartition(F.xxhash64("term_id", "segment", "block")).sortWithinPartitions("term_id", "segment", "block")
-    return small_batches(rows).mapInArrow(_phrases, "term_id string, segment string, unit_no long, tf long, at long")
+    key, place = ["term_id", "segment", "block"], ["term_id", "segment", "unit_no"]
+    hits = "term_id string, segment string, unit_no long, tf long, at long, places array<long>"
+
+    def meeting(read: DataFrame, whole: DataFrame) -> DataFrame:
+        rows = read.select(*key, "offset", "more", "payload").join(whole.select(*key), key)
+        # dealt by a hash of the keys: Spark leaves a shuffle by the very keys of the join out, and may then make that join another
+        rows = rows.repartition(F.xxhash64(*key)).sortWithinPartitions(*key)
+        return small_batches(rows).mapInArrow(_phrases, hits)
+
+    if len(rows) <= FEW_TERMS:
+        whole = met.groupBy(*key).agg(F.count_distinct("offset").alias("held"), F.first("n_grams").alias("n_grams")).where("held = n_grams")
+        return meeting(met.withColumn("more", F.lit(False)), whole).drop("places")
+    counted = cut(met.groupBy(*key, "offset", "n_grams").agg(F.sum("n").alias("n")), "met-grams")
+    whole = counted.groupBy(*key, "n_grams").agg(F.count("*").alias("held")).where("held = n_grams")
+    rarest = Window.partitionBy("term_id", "segment").orderBy("n", "offset")
+    rare = counted.groupBy("term_id", "segment", "offset").agg(F.sum("n").alias("n")).withColumn("nth", F.row_number().over(rarest)).where(F.col("nth") <= RAREST)
+    rare = cut(keyed.join(rare.select("term_id", "segment", "offset"), ["term_id", "segment", "offset"]), "rare-grams")
+    read = postings.join(rare, ["segment", "bucket", "prefix"]).where(within).withColumn("more", F.col("n_grams") > RAREST)
+    met = cut(meeting(read, whole), "gram-hits")
+    parts = met.where("places is not null").select(*place, F.explode("places").alias("at"))
+    parts = parts.join(docs_of(spark, path, segments).select("segment", "unit_no", "unit_text"), ["segment", "unit_no"]).join(terms.select(F.col("term_id").cast("string").alias("term_id"), "term"), "term_id")
+    parts = parts.select(*place, "at", F.expr("substring(unit_text, cast(at + 1 as int), length(term))").alias("part"), "term")
+    same = small_batches(parts).mapInArrow(_same, "term_id string, segment string, unit_no long, at long").groupBy(*place).agg(F.count("*").alias("tf"), F.min("at").alias("at"))
+    return met.where("places is null").drop("places").unionByName(same)
 
 
 def scored(spark: SparkSession, path: str, found: DataFrame) -> DataFrame:
@@ -350,6 +388,20 @@ def search(spark: SparkSession, path: str, terms: DataFrame, limit: int, phrases
     )
 
 
+def scanned(units: DataFrame, terms: DataFrame, limit: int) -> DataFrame:
+    """What ``search`` finds without phrases for at most FEW_TERMS terms (term_id, term), by one scan: term_id, rank, source_id,
+    unit_id, evidence_start, evidence_end, score, snippet. Nothing but the first ``limit`` rows of a task is shuffled."""
+    few = F.broadcast(terms.select("term_id", "term", _ascii_lower(F.col("term")).alias("low_term")).where(F.length("term") >= 2))
+    rows = units.select("source_id", "unit_id", F.col("start_char").cast("long").alias("start_char"), "unit_text", _ascii_lower(F.col("unit_text")).alias("low"), F.length("unit_text").cast("long").alias("n_chars"))
+    rows = rows.join(few, F.contains("low", "low_term")).withColumn("found", F.expr("locate(term, unit_text) - 1"))
+    rows = rows.withColumns({"from_": F.greatest(F.lit(0), F.col("found") - 80), "to_": F.least(F.col("n_chars"), F.col("found") + F.length("term") + 120)})
+    text = F.expr("substring(unit_text, from_ + 1, cast(to_ - from_ as int))")
+    rows = rows.select("term_id", "source_id", "unit_id", "start_char", "n_chars", "from_", "to_", text.alias("snippet"))
+    order = Window.partitionBy("term_id").orderBy("source_id", "start_char", "n_chars", "unit_id")
+    rows = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    return rows.select("term_id", "rank", "source_id", "unit_id", (F.col("start_char") + F.col("from_")).alias("evidence_start"), (F.col("start_char") + F.col("to_")).alias("evidence_end"), F.lit(10.0).alias("score"), "snippet")
+
+
 def scratch_index(units: DataFrame) -> str:
     """An index of ``units`` for one use, in the shared folder."""
     path = new_path(units.sparkSession, "lexical")
