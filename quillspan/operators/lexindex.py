@@ -231,7 +231,8 @@ def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places: dict[int, list[np.ndarray]] = {}
         for r in held:
             unit, place = positions_of(r["payload"])
-            places.setdefault(r["offset"], []).append((unit << 40) + place - r["offset"])
+            inside = place >= r["offset"]  # else the term would begin before the unit
+            places.setdefault(r["offset"], []).append((unit[inside] << 40) + place[inside] - r["offset"])
         kept = None
         for some in sorted((np.concatenate(p) for p in places.values()), key=len):
             kept = np.unique(some) if kept is None else kept[np.isin(kept, some)]
