@@ -25,6 +25,9 @@ SPAN, MARGIN = 512, 32
 #: library starts no threads of its own), and numbers that these may hold.
 SLICE_BYTES, ROWS, CELLS = 1 << 20, 600, 1 << 22
 
+#: Decimals of a score.
+DECIMALS = 6
+
 #: Bytes of letters from which a text counts as long, long texts that a calibration needs, the share of long known texts
 #: below the least score, and that of short ones above their slack.
 LONG, LEAST_LONG, LOST, WITHIN = 200, 50, 0.002, 0.99
@@ -63,19 +66,32 @@ class Direction:
         self.b = np.zeros(3 * HIDDEN, np.float32)
 
     def run(self, text: np.ndarray, at: np.ndarray, running: np.ndarray, backward: bool) -> Iterator[tuple[int, np.ndarray]]:
-        """Step after step over the bytes from ``at`` on, or back to it, the states of the first ``running[t]`` rows."""
-        first, h = self.W + self.b, np.zeros((len(at), HIDDEN), self.U.dtype)
+        """Step after step over the bytes from ``at`` on, or back to it, the states of the first ``running[t]`` rows, a
+        column each, so that every operation goes along whole rows of numbers. Gates are 1 / (1 + exp(-x)) and new states
+        2 / (1 + exp(-2 x)) - 1; the factors are taken into the weights. An exp that overflows stands for 0 or -1."""
+        factor = np.repeat(np.array([-1, -2], self.U.dtype), (2 * HIDDEN, HIDDEN))
+        first, U = np.ascontiguousarray(((self.W + self.b) * factor).T), np.ascontiguousarray((self.U * factor).T)
+        h, room = np.zeros((HIDDEN, len(at)), self.U.dtype), np.empty((2, 3 * HIDDEN * len(at)), self.U.dtype)
         for t in range(len(running))[:: -1 if backward else 1]:
-            now = h[: running[t]]
-            x, both = first.take(text[at[: running[t]] + t], axis=0), now @ self.U
-            gates = x[:, : 2 * HIDDEN] + both[:, : 2 * HIDDEN]
-            gates = _sigmoid(gates)
-            n = gates[:, HIDDEN:] * both[:, 2 * HIDDEN :]
-            n += x[:, 2 * HIDDEN :]
-            np.tanh(n, out=n)
-            now -= n
-            now *= gates[:, :HIDDEN]
-            now += n
+            now, n = h[:, : running[t]], 3 * HIDDEN * running[t]
+            x, both = room[0, :n].reshape(3 * HIDDEN, -1), room[1, :n].reshape(3 * HIDDEN, -1)
+            first.take(text[at[: running[t]] + t], axis=1, out=x, mode="clip")
+            np.matmul(U, now, out=both)
+            gates, new = both[: 2 * HIDDEN], both[2 * HIDDEN :]
+            gates += x[: 2 * HIDDEN]
+            with np.errstate(over="ignore"):
+                np.exp(gates, out=gates)
+                gates += 1
+                np.reciprocal(gates, out=gates)
+                new *= gates[HIDDEN:]
+                new += x[2 * HIDDEN :]
+                np.exp(new, out=new)
+            new += 1
+            np.divide(2, new, out=new)
+            new -= 1
+            now -= new
+            now *= gates[:HIDDEN]
+            now += new
             yield t, now
 
     def forward(self, letters: np.ndarray, keep: list | None = None) -> np.ndarray:
@@ -146,14 +162,15 @@ class Network:
             running = np.searchsorted(-size, -np.arange(size[0]), side="left")
             logits, total = [], np.zeros((len(self.languages), len(own)), np.float32)
             for _, h in self.there.run(text, first[own], running, False):
-                logits.append(there @ h.T + self.c[:, None])
+                logits.append(there @ h + self.c[:, None])
             for t, h in self.back.run(text, first[own], running, True):
                 e = logits.pop()
-                e += back @ h.T
+                e += back @ h
                 e -= e.max(axis=0)
                 np.exp(e, out=e)
-                e *= ((skip[: len(h)] <= t) & (t < to[: len(h)])) / e.sum(axis=0)
-                total[:, : len(h)] += e
+                n = h.shape[1]
+                e *= ((skip[:n] <= t) & (t < to[:n])) / e.sum(axis=0)
+                total[:, :n] += e
             total = total.T
             np.add.at(out, row[own], total)
         return out
@@ -263,7 +280,9 @@ def _predictor(network: Network | None):
                 some = np.flatnonzero(lettered[a:b])
                 if network and some.size:
                     p = network.pooled(LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a])[some, : len(network.known)]
-                    p /= np.diff(offsets)[a:b][some][:, None]
+                    # sums of floats differ in their last bits by a window's place among others; rounded, equal texts have
+                    # equal scores unless these lie at the very edge of two decimals
+                    p = np.round(p / np.diff(offsets)[a:b][some][:, None], DECIMALS)
                     names[some] = np.array(network.known, dtype=object)[p.argmax(axis=1)]
                     best[some] = np.clip(p.max(axis=1), 0, 1)
                 yield pa.RecordBatch.from_arrays(

@@ -118,3 +118,17 @@ def test_odd_rows(spark):
     assert train(docs.limit(0)) is None
     assert {r.lang_pred for r in identify(odd, None).collect()} == {"und"}
     assert identify(odd.limit(0), network).count() == 0
+
+
+def test_states_stand_in_columns_and_large_sums_overflow_to_the_ends():
+    rng = np.random.default_rng(5)
+    own = langid.Direction(rng)
+    letters = rng.integers(0, 256, (40, 7)).astype(np.uint8)
+    text, at, running = letters.T.ravel(), np.arange(7) * 40, np.full(40, 7)
+    for shift in (0, 500):
+        own.b += shift * np.where(np.arange(3 * langid.HIDDEN) % 2, 1, -1).astype(np.float32)
+        want = own.forward(letters)
+        with np.errstate(all="raise", under="ignore"):
+            for t, state in own.run(text, at, running, False):
+                assert state.shape == (langid.HIDDEN, 7)
+                np.testing.assert_allclose(state.T, want[t], atol=5e-6)
