@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions.numerals import ordinal
 from quillspan.functions.text import collapse, part_of, sha, stable_id
+from quillspan.sources.scratch import cut
 
 from .headings import FENCE, SENTENCE_MARKS, SPLIT_NUMBER, SPLIT_UNIT, UNIT_WORDS, Heading, StructurePolicy, detect_heading, title_and_body
 from .limits import within
@@ -257,10 +258,11 @@ def continuity_findings(units_: DataFrame, headings: DataFrame, policy: Structur
 
 
 def inspect_structure(sources: DataFrame, policy: StructurePolicy = StructurePolicy()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Headings, units and findings of ``sources`` (source_id, text)."""
+    """Headings, units and findings of ``sources`` (source_id, text). Headings and units are written once: findings look at
+    them rule by rule, and would have the texts scanned again for each."""
     lines = physical_lines(sources)
-    headings = heading_candidates(lines, policy)
-    rows = units(headings, sources, lines, policy)
+    headings = cut(heading_candidates(lines, policy), "headings")
+    rows = cut(units(headings, sources, lines, policy), "units")
     return headings, rows, continuity_findings(rows, headings, policy)
 
 
