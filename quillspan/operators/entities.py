@@ -404,14 +404,19 @@ def link_problem(relation: str, left: str, right: str, evidence: str) -> str | N
     return None if any(re.search(s, evidence, re.I) for s in shapes) else "RELATION_NOT_STATED"
 
 
-def normalize(accepted: DataFrame, sources: DataFrame | None = None, units: DataFrame | None = None, links: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Everything that follows from accepted claims, by table name."""
+def identified(accepted: DataFrame, sources: DataFrame | None = None, units: DataFrame | None = None, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Mentions in accepted claims, their components, the merges that were blocked, and the entities that they are."""
     found = cut(mentions(accepted), "mentions")
     good = None
     if links is not None:
         good = valid_links(links, found, sources, units).where("problem is null")
     merged, blocked = components(found, identity_edges(found, accepted, good))
-    named = cut(entities(found, merged), "entities")
+    return found, merged, blocked, cut(entities(found, merged), "entities")
+
+
+def normalize(accepted: DataFrame, sources: DataFrame | None = None, units: DataFrame | None = None, links: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Everything that follows from accepted claims, by table name."""
+    found, merged, blocked, named = identified(accepted, sources, units, links)
     rows = cut(facts(accepted, found, merged, named), "facts")
     disputes = conflicts(rows)
     judged = fact_status(rows, disputes, blocked)

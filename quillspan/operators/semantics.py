@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspan.functions.numerals import ordinal_value
 from quillspan.functions.text import bare, sha, spans, stable_id
+from quillspan.sources.scratch import cut
 
 # The wording that the rules know.
 # A run that finds no terminator is not tried again from within, so the pattern is linear.
@@ -155,7 +156,8 @@ def candidates(units: DataFrame, policy: SemanticPolicy = SemanticPolicy()) -> t
     rows = rows.where(F.length("clause") <= policy.max_clause_characters).withColumns(discourse(F.col("clause")))
     found = proposals(rows).withColumn("factual_status", factual_status(F.col("discourse_status"), F.col("polarity")))
     ids = ("source_id", "unit_id", "claim_type", "evidence_start", "evidence_end", "subject", "object", "value", "unit", "polarity", "trigger_start")
-    found = found.withColumns({"candidate_id": stable_id("sem_", *(F.col(c) for c in ids), length=32), "evidence_sha256": sha(F.col("clause"))})
+    # written once: tasks are what has no proposal, and would have all of them made a second time
+    found = cut(found.withColumns({"candidate_id": stable_id("sem_", *(F.col(c) for c in ids), length=32), "evidence_sha256": sha(F.col("clause"))}), "candidates")
     key = ["source_id", "unit_id", "evidence_start"]
     cue = rows.where(F.col("clause").rlike(AMBIGUOUS_CUE)) if policy.emit_model_tasks else rows.limit(0)
     tasks = cue.join(found.select(*key).distinct(), key, "left_anti")

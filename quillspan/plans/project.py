@@ -48,7 +48,7 @@ def accepted_claims(sources: DataFrame, units: DataFrame, findings: DataFrame, p
     finding overlaps its evidence (T-22)."""
     texts = structure.unit_texts(units, sources)
     found, unread, tasks = semantics.candidates(texts, policy)
-    found, tasks = cut(found, "candidates"), cut(tasks, "model-tasks")
+    tasks = cut(tasks, "model-tasks")
     found, many = within(found.withColumn("evidence_text", F.col("clause")), policy.max_candidates, ("evidence_start", "trigger_start", "claim_type", "candidate_id"), "semantic", "CANDIDATE_LIMIT_REACHED")
     tasks, more_tasks = within(tasks, policy.max_model_tasks, ("evidence_start", "evidence_end", "task_id"), "semantic", "MODEL_TASK_LIMIT_REACHED")
     judged = claims.validate_claims(found, sources, units)
