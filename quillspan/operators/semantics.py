@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,10 +16,12 @@ from quillspan.sources.scratch import cut
 # The wording that the rules know.
 # A run that finds no terminator is not tried again from within, so the pattern is linear.
 CLAUSE = "(?<![^。！？!?；;\\r\\n])[^。！？!?；;\\r\\n]++(?:[。！？!?；;]+|$)"
-RUMOR = "(?U)^\\s*(?:据说|传闻|听说|相传|坊间传言|消息称)[，,：:\\s]*"
+RUMORED = ("据说", "传闻", "听说", "相传", "坊间传言", "消息称")
+RUMOR = f"(?U)^\\s*(?:{'|'.join(RUMORED)})[，,：:\\s]*"
 ATTRIBUTED = {"belief": "认为|相信|认定|觉得", "suspicion": "怀疑|猜测|推测", "accusation": "指控|控告|谴责"}
 WHO = "[A-Za-z0-9_\\-\\u3400-\\u9fff·]{1,24}"
-HYPOTHETICAL = "(?U)(?:^|[，,：:\\s])(?:如果|假如|倘若|若是|若)[，,：:\\s]*"
+SUPPOSED = ("如果", "假如", "倘若", "若是", "若")
+HYPOTHETICAL = f"(?U)(?:^|[，,：:\\s])(?:{'|'.join(SUPPOSED)})[，,：:\\s]*"
 FUTURE = "计划|准备|将要|即将|拟于|预计"
 AMBIGUOUS_CUE = "同一人|身份|属于|担任|拥有|失去|成为|来自|前往|效忠|支持|反对|死亡|失踪|可能|似乎|传闻|怀疑|认为"
 MARKERS = {
@@ -72,19 +76,24 @@ def clauses(units: DataFrame, pattern: str = CLAUSE) -> DataFrame:
     return rows.where(F.col("clause").rlike("(?U)\\S"))
 
 
+def _holds(text: Column, words: Iterable[str]) -> Column:
+    """Whether a text has one of the words: a look at bytes, far cheaper than a pattern, so it is taken before one."""
+    return reduce(Column.__or__, (F.contains(text, F.lit(w)) for w in words))
+
+
 def discourse(clause: Column) -> dict[str, Column]:
     """P-16: status of a clause, whom it is attributed to, and where the proposition begins in it."""
-    status, who, offset = F.when(clause.rlike(RUMOR), "rumor"), F.when(clause.rlike(RUMOR), ""), F.when(clause.rlike(RUMOR), F.length(F.regexp_extract(clause, f"({RUMOR})", 1)))
+    # one chain of tests for the three: it is the same expression in each column, so it runs once
+    told = lambda status, who, offset: F.struct(F.lit(status).alias("status"), who.alias("who"), offset.alias("offset"))
+    nobody, whole = F.lit(""), F.lit(0)
+    said = F.when(_holds(clause, RUMORED) & clause.rlike(RUMOR), told("rumor", nobody, F.length(F.regexp_extract(clause, f"({RUMOR})", 1))))
     for name, verbs in ATTRIBUTED.items():
         lead = f"(?U)^\\s*({WHO})(?:{verbs})[，,：:\\s]*"
-        status = status.when(clause.rlike(lead), name)
-        who = who.when(clause.rlike(lead), F.regexp_extract(clause, lead, 1))
-        offset = offset.when(clause.rlike(lead), F.length(F.regexp_extract(clause, f"({lead})", 1)))
-    asks = clause.rlike("[？?]")
+        said = said.when(_holds(clause, verbs.split("|")) & clause.rlike(lead), told(name, F.regexp_extract(clause, lead, 1), F.length(F.regexp_extract(clause, f"({lead})", 1))))
     after = F.length(clause) - F.length(F.regexp_extract(clause, f"(?s)^.*?{HYPOTHETICAL}(.*)$", 1))
-    status = status.when(asks, "question").when(clause.rlike(HYPOTHETICAL), "hypothetical").when(clause.rlike(FUTURE), "future_intent").otherwise("assertion")
-    offset = offset.when(asks, 0).when(clause.rlike(HYPOTHETICAL), after).otherwise(0)
-    return {"discourse_status": status, "attributor": who.otherwise(""), "proposition_offset": offset}
+    said = said.when(_holds(clause, "？?"), told("question", nobody, whole)).when(_holds(clause, SUPPOSED) & clause.rlike(HYPOTHETICAL), told("hypothetical", nobody, after))
+    said = said.when(_holds(clause, FUTURE.split("|")), told("future_intent", nobody, whole)).otherwise(told("assertion", nobody, whole))
+    return {"discourse_status": said["status"], "attributor": said["who"], "proposition_offset": said["offset"]}
 
 
 def factual_status(status: Column, polarity: Column) -> Column:
@@ -101,9 +110,8 @@ def _slots(kind: Column, hit: Column, before: Column, rest: Column) -> dict[str,
 
     * subject: the last name before the marker, once the cues between the two are gone;
     * object of a relation: the name right behind it; of a permission: all that follows; both up to a sequence word;
-    * value: the first number or date near behind it, and of a number the unit that follows.
+    * token: the first number or date near behind it, and of a number the unit that follows.
     """
-    none = F.lit(None).cast("string")
     name = F.try_element_at(F.regexp_extract_all(F.regexp_replace(_trimmed(before, EDGE), LEFT_CUES, ""), F.lit(NAME), 0), F.lit(-1))
     subject = F.coalesce(F.right(name, F.lit(NAME_SIZE)), F.lit(""))
     # a sequence word that the slot begins with belongs to it, wherever it stands
@@ -114,37 +122,50 @@ def _slots(kind: Column, hit: Column, before: Column, rest: Column) -> dict[str,
     number = F.regexp_extract(near, f"({NUMBER})", 1)
     ahead = F.regexp_extract(near, f"(?s)^(.*?)(?:{NUMBER})", 1)
     behind = F.substring(rest, F.length(ahead) + F.length(number) + 1, F.length(rest))
-    plain = F.when(number.rlike("[0-9]"), F.ltrim(number, F.lit("+"))).when(number != "", ordinal_value(number).cast("string"))
     relation, permission = kind.isin("alias", "defeats", "located_in"), kind == "permission"
     return {
         "subject": subject,
         "object": F.when(relation, other).when(permission, action).otherwise(""),
-        "value": F.when(kind == "count", plain).when(kind == "date", F.nullif(F.regexp_extract(near, f"({DATE})", 1), F.lit(""))).otherwise(none),
+        "token": F.when(kind == "count", number).when(kind == "date", F.regexp_extract(near, f"({DATE})", 1)).otherwise(""),
         "unit": F.when(kind == "count", F.regexp_extract(behind, UNIT, 1)).otherwise(""),
         "polarity": F.when(permission, ~hit.isin(*sorted(FORBIDS))).otherwise(~F.right(before, F.lit(BEFORE)).rlike(NEGATION)),
     }
 
 
-def proposals(rows: DataFrame) -> DataFrame:
-    """P-17, F-30: clause rows with discourse, one row a proposal; clauses without proposal are left out. A marker takes its
-    place before shorter ones do; kinds are looked for one by one. Built-in expressions alone."""
-    marked = "|".join(m for ms in MARKERS.values() for m in ms)
-    names = list(rows.columns)
-    some = rows.where(F.col("clause").rlike(marked)).withColumn("said", F.expr("substring(clause, proposition_offset + 1)"))
+def _value(kind: Column, token: Column) -> Column:
+    """The value that a token says: numbers plain, dates as they are."""
+    plain = F.when(token.rlike("[0-9]"), F.ltrim(token, F.lit("+"))).when(token != "", ordinal_value(token).cast("string"))
+    return F.when(kind == "count", plain).when(kind == "date", F.nullif(token, F.lit("")))
 
-    def marked_as(kind: str) -> Column:
-        longest = "|".join(sorted(MARKERS[kind], key=len, reverse=True))
-        return F.transform(spans(F.col("said"), longest), lambda x: F.struct(F.lit(kind).alias("kind"), *(x[c].alias(c) for c in ("start", "end", "hit"))))
 
-    each = some.select(*names, "said", F.explode(F.concat(*map(marked_as, MARKERS))).alias("x"))
-    before, rest = F.expr("substring(said, 1, x.start)"), F.expr("substring(said, x.end + 1)")
-    each = each.withColumns({"before": before, "rest": rest, "claim_type": F.col("x.kind")})
-    each = each.withColumns(_slots(F.col("claim_type"), F.col("x.hit"), F.col("before"), F.col("rest")))
-    needs = F.when(F.col("claim_type") == "permission", F.col("object") != "").when(F.col("claim_type").isin("count", "date"), (F.col("subject") != "") & F.col("value").isNotNull())
+def marker_places(rows: DataFrame, markers: dict[str, tuple[str, ...]] = MARKERS) -> DataFrame:
+    """Every marker in ``said``, one row each: claim_type, hit and start added. Kinds are looked for one by one, and of a kind
+    a marker takes its place before shorter ones do. Expressions that whole-stage code can hold, so no span lists."""
+    looked = []
+    for kind, words in markers.items():
+        longest = "|".join(sorted(words, key=len, reverse=True))
+        # each match goes on where the one before has ended, and the tail is tried once
+        parts = lambda i, longest=longest: F.regexp_extract_all("said", F.lit(f"(?s)\\G.*?({longest})"), i)
+        looked.append(F.when(_holds(F.col("said"), words), F.struct(F.lit(kind).alias("kind"), parts(1).alias("hits"), parts(0).alias("parts"))))
+    each = rows.select("*", F.explode(F.array(*looked)).alias("p")).select("*", F.posexplode("p.hits").alias("nth", "hit"))
+    start = F.length(F.array_join(F.slice("p.parts", F.lit(1), F.col("nth") + 1), "")) - F.length("hit")
+    return each.withColumns({"claim_type": F.col("p.kind"), "start": start}).drop("p", "nth")
+
+
+def proposals(rows: DataFrame) -> DataFrame:
+    """P-17, F-30: clause rows with discourse, one row a proposal; clauses without proposal are left out. Built-in
+    expressions alone."""
+    names = list(rows.columns)
+    each = marker_places(rows.withColumn("said", F.expr("substring(clause, proposition_offset + 1)")))
+    each = each.withColumns({"before": F.expr("substring(said, 1, start)"), "rest": F.expr("substring(said, start + length(hit) + 1)")})
+    slots = _slots(F.col("claim_type"), F.col("hit"), F.col("before"), F.col("rest"))
+    # a list of one: the tests below would otherwise be moved before the slots, and make them a second time
+    each = each.select(*names, "claim_type", "hit", "start", F.inline(F.array(F.struct(*(c.alias(n) for n, c in slots.items())))))
+    needs = F.when(F.col("claim_type") == "permission", F.col("object") != "").when(F.col("claim_type").isin("count", "date"), (F.col("subject") != "") & (F.col("token") != ""))
     rule = F.create_map(*(F.lit(x) for kv in RULE_IDS.items() for x in kv))[F.col("claim_type")]
     base = F.col("evidence_start") + F.col("proposition_offset")
     each = each.where(needs.otherwise((F.col("subject") != "") & (F.col("object") != "")))
-    each = each.withColumns({"rule_id": rule, "trigger_start": base + F.col("x.start"), "trigger_end": base + F.col("x.end")})
+    each = each.withColumns({"value": _value(F.col("claim_type"), F.col("token")), "rule_id": rule, "trigger_start": base + F.col("start"), "trigger_end": base + F.col("start") + F.length("hit")})
     return each.select(*names, "claim_type", "subject", "object", "value", "unit", "polarity", "rule_id", "trigger_start", "trigger_end")
 
 
