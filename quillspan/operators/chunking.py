@@ -12,11 +12,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspan.sources.scratch import small_batches
+
 # Marks that end sentences and clauses, and what may close behind them.
 SENTENCE_MARKS, CLAUSE_MARKS, CLOSERS = "。！？!?；;…", "，、：,:", "”’』」】》〉\"')]}）"
 PARAGRAPH = re.compile(r"\n[ \t]*\n+")
 KINDS = ("paragraph", "sentence", "clause", "whitespace")
 LEAST_SHARE, SLACK = 0.55, 64
+#: Characters of chunks that are handed over at once.
+FRAME_CHARACTERS = 1_000_000
 CHUNKS = (
     "chunk_id string, source_id string, unit_id string, ordinal long, norm_start long, norm_end long, length long, overlap_with_previous long, "
     "start_boundary string, end_boundary string, text_sha256 string, text string"
@@ -91,25 +95,32 @@ def chunk_spans(text: str, policy: ChunkPolicy) -> Iterator[tuple[int, int, str,
         start = max(start + 1, min(place, end))
 
 
-def chunks(unit_texts: DataFrame, policy: ChunkPolicy = ChunkPolicy()) -> DataFrame:
-    """W-12: chunks of units (source_id, unit_id, start_char, unit_text). Each cut depends on the one before, so a unit is
-    one call; units are spread as they are, without a shuffle."""
-
-    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in CHUNKS.split(", ")]
-        for frame in frames:
-            rows = []
-            for r in frame.itertuples():
-                last = r.start_char
-                for n, (a, b, began, kind) in enumerate(chunk_spans(r.unit_text, policy)):
-                    text, start, end = r.unit_text[a:b], r.start_char + a, r.start_char + b
-                    sha = hashlib.sha256(text.encode()).hexdigest()
-                    name = hashlib.sha256("\0".join((r.source_id, r.unit_id, str(start), str(end), sha)).encode()).hexdigest()[:24]
-                    rows.append((f"chk_{name}", r.source_id, r.unit_id, n, start, end, b - a, max(0, last - start), began, kind, sha, text))
-                    last = end
+def chunk_frames(frames: Iterator[pd.DataFrame], policy: ChunkPolicy) -> Iterator[pd.DataFrame]:
+    """Chunks of rows (source_id, unit_id, start_char, unit_text), in frames of about FRAME_CHARACTERS at most, so that memory
+    is bounded by the frame that came and one text."""
+    names = [c.split()[0] for c in CHUNKS.split(", ")]
+    for frame in frames:
+        rows, held = [], 0
+        for r in frame.itertuples():
+            last = r.start_char
+            for n, (a, b, began, kind) in enumerate(chunk_spans(r.unit_text, policy)):
+                text, start, end = r.unit_text[a:b], r.start_char + a, r.start_char + b
+                sha = hashlib.sha256(text.encode()).hexdigest()
+                name = hashlib.sha256("\0".join((r.source_id, r.unit_id, str(start), str(end), sha)).encode()).hexdigest()[:24]
+                rows.append((f"chk_{name}", r.source_id, r.unit_id, n, start, end, b - a, max(0, last - start), began, kind, sha, text))
+                last, held = end, held + b - a
+                if held >= FRAME_CHARACTERS:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
+        if rows:
             yield pd.DataFrame(rows, columns=names)
 
-    return unit_texts.select("source_id", "unit_id", F.col("start_char").cast("long").alias("start_char"), "unit_text").mapInPandas(each, CHUNKS)
+
+def chunks(unit_texts: DataFrame, policy: ChunkPolicy = ChunkPolicy()) -> DataFrame:
+    """W-12: chunks of units (source_id, unit_id, start_char, unit_text). Each cut depends on the one before, so a unit is
+    one call; units are spread as they are, without a shuffle, in small batches."""
+    units = small_batches(unit_texts.select("source_id", "unit_id", F.col("start_char").cast("long").alias("start_char"), "unit_text"))
+    return units.mapInPandas(lambda frames: chunk_frames(frames, policy), CHUNKS)
 
 
 def fixed_chunks(sources: DataFrame, size: int, overlap: int) -> DataFrame:
