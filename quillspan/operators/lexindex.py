@@ -8,7 +8,7 @@ are added by writing one more segment.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -333,9 +333,12 @@ def scored(spark: SparkSession, path: str, found: DataFrame) -> DataFrame:
     total, tokens = sum(s[1] for s in segments), sum(s[2] for s in segments)
     sizes = docs_of(spark, path, segments).select("segment", "unit_no", F.greatest(F.col("n_chars") - 2, F.lit(0)).alias("size"))
     df = found.groupBy("term_id").agg(F.count("*").alias("df"))
+    return found.join(df, "term_id").join(sizes, ["segment", "unit_no"]).withColumn("bm25", _bm25(total, tokens, F.col("size")))
+
+
+def _bm25(total: int, tokens: int, size: Column) -> Column:
     idf = F.greatest(F.log((total - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    score = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / (tokens / max(total, 1) or 1.0)))
-    return found.join(df, "term_id").join(sizes, ["segment", "unit_no"]).withColumn("bm25", score)
+    return idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * size / (tokens / max(total, 1) or 1.0)))
 
 
 def _ascii_lower(text: Column) -> Column:
@@ -356,39 +359,118 @@ def search(spark: SparkSession, path: str, terms: DataFrame, limit: int, phrases
     words = cut(terms.select("term").where(F.length("term") >= 2).distinct().withColumn("term_id", F.col("term")), "terms")
     found = cut(find(spark, path, words), "term-hits")
     docs = docs_of(spark, path, segments)
+    best = scored(spark, path, found.where(F.length("term_id") >= 3) if phrases else found.limit(0)).join(docs.select("segment", "unit_no", "source_id", "unit_id", "start_char", "n_chars"), ["segment", "unit_no"])
+
+    def held(asked: DataFrame) -> DataFrame:
+        rows = asked.join(found.select(F.col("term_id").alias("term"), "segment", "unit_no"), "term").join(docs, ["segment", "unit_no"])
+        return rows.where(_ascii_lower(F.col("unit_text")).contains(_ascii_lower(F.col("term"))))
+
+    rows = _ranked(terms, best.withColumnRenamed("term_id", "term"), held, limit)
+    rows = rows.join(docs.select("segment", "unit_no", "unit_text"), ["segment", "unit_no"])
+    rows = rows.withColumn("at", F.expr("locate(term, unit_text) - 1"))
+    rows = rows.withColumns({"from_": F.greatest(F.lit(0), F.col("at") - 80), "part": F.expr("substring(unit_text, greatest(0, at - 80) + 1, length(unit_text))")})
+    return _snippets(rows)
+
+
+def _ranked(terms: DataFrame, best: DataFrame, held: Callable[[DataFrame], DataFrame], limit: int) -> DataFrame:
+    """The units of each question, at most ``limit``, from phrase hits (term, bm25 and the unit's columns) and a function that
+    gives the units that hold a term of (term, source_filter), whatever the case of ASCII letters."""
     asked = terms.where(F.length("term") >= 2)
     wanted = F.col("source_filter").isNull() | (F.col("source_filter") == F.col("source_id"))
     place = ("source_id", "start_char", "n_chars", "unit_id", "segment", "unit_no")
-
-    best = scored(spark, path, found.where(F.length("term_id") >= 3) if phrases else found.limit(0)).join(docs.select("segment", "unit_no", "source_id", "unit_id", "start_char", "n_chars"), ["segment", "unit_no"])
-    order = Window.partitionBy("term_id").orderBy(F.desc("bm25"), *place)
+    order = Window.partitionBy("term").orderBy(F.desc("bm25"), *place)
     best = best.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= limit)
     # at most ``limit`` rows a term
-    best = cut(best.select(F.col("term_id").alias("term"), "nth", F.greatest(F.lit(0.0), F.col("bm25") + 20.0).alias("score"), *place), "phrase-hits")
+    best = cut(best.select("term", "nth", F.greatest(F.lit(0.0), F.col("bm25") + 20.0).alias("score"), *place), "phrase-hits")
     ranked = asked.join(best, "term").where(wanted).withColumn("way", F.lit(0))
 
     # each filter and term once, then each question
-    held = asked.select("term", "source_filter").distinct().join(found.select(F.col("term_id").alias("term"), "segment", "unit_no"), "term").join(docs, ["segment", "unit_no"]).where(wanted)
-    held = held.where(_ascii_lower(F.col("unit_text")).contains(_ascii_lower(F.col("term"))))
-    first = held.withColumn("nth", F.row_number().over(Window.partitionBy("term", "source_filter").orderBy(*place))).where(F.col("nth") <= limit)
+    first = held(asked.select("term", "source_filter").distinct()).where(wanted)
+    first = first.withColumn("nth", F.row_number().over(Window.partitionBy("term", "source_filter").orderBy(*place))).where(F.col("nth") <= limit)
     first = first.select("term", F.col("source_filter").alias("filter"), "nth", F.lit(10.0).alias("score"), *place)
     made_up = asked.join(first, (asked["term"] == first["term"]) & asked["source_filter"].eqNullSafe(first["filter"])).drop(first["term"]).drop("filter").withColumn("way", F.lit(1))
 
     rows = ranked.unionByName(made_up)
     once = Window.partitionBy("question_id", "segment", "unit_no").orderBy("way", "position")
     rows = rows.withColumn("copy", F.row_number().over(once)).where("copy = 1")
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy("way", "position", "nth"))).where(F.col("rank") <= limit)
-    rows = rows.join(docs.select("segment", "unit_no", "unit_text"), ["segment", "unit_no"])
-    at, size = F.expr("locate(term, unit_text) - 1"), F.length("term")
-    start = F.greatest(F.lit(0), at - 80)
-    end = F.when((F.col("way") == 0) & (at < 0), F.lit(240)).otherwise(at + size + 120)
-    rows = rows.withColumns({"from_": start, "to_": F.least(F.col("n_chars"), end)})
-    text = F.expr("substring(unit_text, from_ + 1, cast(to_ - from_ as int))")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy("way", "position", "nth"))).where(F.col("rank") <= limit)
+
+
+def _snippets(rows: DataFrame) -> DataFrame:
+    """What ``search`` returns, from its ranked units with ``at``, where the term stands letter by letter, and the text ``part``
+    that begins at ``from_``."""
+    end = F.when((F.col("way") == 0) & (F.col("at") < 0), F.lit(240)).otherwise(F.col("at") + F.length("term") + 120)
+    rows = rows.withColumn("to_", F.least(F.col("n_chars"), end))
+    text = F.expr("substring(part, 1, cast(to_ - from_ as int))")
     return rows.select(
         "question_id", "rank", "source_id", "unit_id", (F.col("start_char") + F.col("from_")).alias("evidence_start"), (F.col("start_char") + F.col("to_")).alias("evidence_end"), "score", text.alias("evidence_text")
     )
 
 
+HITS = "term_id string, term string, segment string, unit_no long, source_id string, unit_id string, start_char long, n_chars long, tf long, plain boolean, at long, from_ long, part string"
+
+
+def _scanner(terms: list[tuple[str, str]]):
+    """Rows of HITS from units: the terms (term_id, term) that stand in each, case folded, with their overlapping occurrences."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold = _folder()
+
+        def folded(text: str) -> str:
+            return text.lower() if text.isascii() else fold[np.frombuffer(text.encode("utf-32-le"), np.uint32)].astype("<u4").tobytes().decode("utf-32-le")
+
+        def times(text: str, word: str) -> int:
+            n, at = 0, text.find(word)
+            while at >= 0:
+                n, at = n + 1, text.find(word, at + 1)
+            return n
+
+        sought = [(term_id, term, low, term.encode().lower(), any(low.startswith(low[k:]) for k in range(1, len(low)))) for term_id, term in terms for low in [folded(term)]]
+        for batch in batches:
+            found = []
+            keys = zip(*(batch.column(c).to_pylist() for c in ("unit_no", "source_id", "unit_id", "start_char", "unit_text")), strict=True)
+            for unit_no, source_id, unit_id, start, text in keys:
+                low, raw = folded(text), None
+                for term_id, term, word, ascii_word, overlaps in sought:
+                    if word not in low:
+                        continue
+                    raw = text.encode().lower() if raw is None else raw  # of bytes only ASCII letters have case
+                    at = text.find(term)
+                    begin = max(0, at - 80)
+                    tf = times(low, word) if overlaps else low.count(word)
+                    found.append((term_id, term, "", unit_no, source_id, unit_id, start, len(text), tf, ascii_word in raw, at, begin, text[begin : max(240, at + len(term) + 120)]))
+            if found:
+                schema = pa.schema([(c.split()[0], {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}[c.split()[1]]) for c in HITS.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
+
+    return scan
+
+
+def _scan(units: DataFrame, terms: list[tuple[str, str]]) -> DataFrame:
+    """HITS of ``units`` for a handful of terms, with their BM25, by one scan: what ``find`` and ``scored`` tell of an index of
+    these units. Hits are written once; what is shuffled is a hit, not a text."""
+    text = F.coalesce("unit_text", F.lit(""))
+    rows = units.select(F.monotonically_increasing_id().alias("unit_no"), "source_id", "unit_id", F.col("start_char").cast("long").alias("start_char"), text.alias("unit_text"))
+    hits = cut(small_batches(rows).mapInArrow(_scanner(terms), HITS), "scan-hits")
+    total, tokens = units.agg(F.count("*"), F.coalesce(F.sum(F.greatest(F.length(text) - 2, F.lit(0))), F.lit(0))).first()
+    # a row a term
+    return hits.join(F.broadcast(hits.groupBy("term_id").agg(F.count("*").alias("df"))), "term_id").withColumn("bm25", _bm25(total, tokens, F.greatest(F.col("n_chars") - 2, F.lit(0))))
+
+
+def scan_phrases(units: DataFrame, terms: list[tuple[str, str]]) -> DataFrame:
+    """Hits (term_id, source_id, unit_id, tf, bm25) of at most FEW_TERMS terms (term_id, term) by one scan of the units."""
+    return _scan(units, terms).select("term_id", "source_id", "unit_id", "tf", "bm25")
+
+
+def scan_search(units: DataFrame, terms: DataFrame, limit: int) -> DataFrame:
+    """What ``search`` finds in an index of ``units``, where the questions have at most FEW_TERMS terms, by one scan."""
+    words = sorted(r.term for r in terms.select("term").where(F.length("term") >= 2).distinct().collect())
+    hits = _scan(units, [(w, w) for w in words])
+    held = hits.where("plain").select("term", "segment", "unit_no", "source_id", "unit_id", "start_char", "n_chars")
+    rows = _ranked(terms, hits.where(F.length("term") >= 3), lambda asked: asked.join(held, "term"), limit)
+    return _snippets(rows.join(hits.select("term", "unit_no", "at", "from_", "part"), ["term", "unit_no"]))
+
+
 def scanned(units: DataFrame, terms: DataFrame, limit: int) -> DataFrame:
     """What ``search`` finds without phrases for at most FEW_TERMS terms (term_id, term), by one scan: term_id, rank, source_id,
     unit_id, evidence_start, evidence_end, score, snippet. Nothing but the first ``limit`` rows of a task is shuffled."""
