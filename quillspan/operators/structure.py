@@ -88,7 +88,7 @@ def heading_candidates(lines: DataFrame, policy: StructurePolicy = StructurePoli
     """P-07 to P-14: the headings of each source's lines. Only lines that may matter, and the one after them that is not
     blank, go through the sequential scan; a source's share of these is one task's work."""
     maybe = F.col("content").rlike(MAYBE)
-    solid = F.length(collapse(F.col("content"))) > 0
+    solid = F.col("content").rlike("(?U)\\S")
     df = lines.withColumn("maybe", maybe).withColumn("after", F.lag(F.when(solid, F.col("maybe")), 1).over(in_order()))
     last = F.last(F.when(solid, F.col("maybe")), ignorenulls=True).over(in_order().rowsBetween(FIRST, -1))
     df = df.withColumn("near", F.coalesce(last, F.lit(False))).where("maybe or near").select("source_id", "line_no", "start_char", "physical", "content")

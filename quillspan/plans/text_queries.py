@@ -365,9 +365,10 @@ chapters AS (SELECT id, nth, 'Chapter ' || nth || chr(10) || body AS content,
     f"""{_CHAPTERS} SELECT id AS doc_id, 'chapter' AS unit_type, nth AS ordinal, start_char::BIGINT AS start_char, (start_char + length(content))::BIGINT AS end_char, sha256(content) AS content_sha256 FROM chapters""",
 )
 def unit_partition(spark, sf_dir):
-    texts = chapters(spark, sf_dir)
-    lines = physical_lines(texts)
-    units = structure.units(structure.heading_candidates(lines), texts, lines)
+    # written once: units read texts twice, lines twice, and headings three times
+    texts = cut(chapters(spark, sf_dir), "texts")
+    lines = cut(physical_lines(texts), "lines")
+    units = structure.units(cut(structure.heading_candidates(lines), "headings"), texts, lines)
     return named(units.select("source_id", "unit_type", "ordinal", "start_char", "end_char", "content_sha256"))
 
 
