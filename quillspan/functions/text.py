@@ -102,7 +102,9 @@ def spans(text: Column, pattern: str) -> Column:
 def cjk_ratio(col: Column) -> Column:
     """G-10: ideographs among characters that are no white space; 0 without any."""
     solid = F.length(F.regexp_replace(col, "(?U)\\s", ""))
-    return F.when(solid > 0, F.regexp_count(col, F.lit(f"[{CJK}]")) / solid).otherwise(0.0)
+    # most texts of other scripts are told by their size, the rest by one look
+    some = (F.octet_length(col) > F.length(col)) & col.rlike(f"[{CJK}]")
+    return F.when(some, F.regexp_count(col, F.lit(f"[{CJK}]")) / solid).otherwise(0.0)
 
 
 def ascii_letter_ratio(col: Column) -> Column:
