@@ -41,6 +41,8 @@ RESULT = (
     "status string, reason_codes array<string>, matched_spans array<struct<start:int,end:int>>, normalized_value string, claim_fingerprint string, result_id string, "
     "may_index boolean, evidence string"
 )
+#: Writes what a fingerprint is of.
+TOLD = json.JSONEncoder(ensure_ascii=False, separators=(",", ":"))
 Span = tuple[int, int]
 
 
@@ -362,7 +364,7 @@ def normalized_value(c: Claim) -> str | None:
 def _finish(row, evidence: str, verdict: Verdict) -> tuple:
     c = Claim(row.claim_type, row.subject or "", row.object or "", row.value, row.unit or "", bool(row.polarity))
     value = normalized_value(c)
-    told = json.dumps([c.claim_type, normal(c.subject), normal(c.object), value, normal(c.unit), c.polarity], ensure_ascii=False, separators=(",", ":"))
+    told = TOLD.encode([c.claim_type, normal(c.subject), normal(c.object), value, normal(c.unit), c.polarity])
     fingerprint = sha256(told.encode()).hexdigest()
     digest = sha256(evidence.encode()).hexdigest()
     parts = (VALIDATOR, fingerprint, row.source_id, row.unit_id, str(row.evidence_start), str(row.evidence_end), digest, verdict.status, verdict.reason)
