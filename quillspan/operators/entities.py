@@ -8,12 +8,13 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from quillspan.functions.text import folded, nfkc, sha, stable_id
-from quillspan.sources.scratch import cut
+from quillspan.sources.scratch import cut, passing
 
 from .claims import any_of, literal, literal_spans
 from .connected import connected
@@ -43,18 +44,20 @@ DIFFERENT_TAIL = (
 WHOLE = (FIRST, LAST)
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def surface_span(evidence: pd.Series, surface: pd.Series, spans: pd.Series) -> pd.Series:
-    """O-10: the occurrence of a surface that is nearest to the first matched span, of those that touch a matched one."""
+@F.arrow_udf(ArrayType(IntegerType()))
+def surface_span(evidence: pa.Array, surface: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+    """O-10: the occurrence of a surface that is nearest to the first matched span (given by starts and ends), of those that
+    touch a matched one."""
 
-    def place(text: str, name: str, matched: list[dict]) -> list[int] | None:
+    def place(text: str, name: str, heads: list[int], tails: list[int]) -> tuple[int, int] | None:
         found = literal_spans(text, name) if name else []
-        touching = [s for s in found if any(s[0] < m["end"] and m["start"] < s[1] for m in matched)]
-        anchor = matched[0]["start"] if len(matched) else 0
-        best = min(touching or found, key=lambda s: (abs(s[0] - anchor), s), default=None)
-        return list(best) if best else None
+        if len(found) > 1:
+            touching = [s for s in found if any(s[0] < b and a < s[1] for a, b in zip(heads, tails, strict=True))]
+            anchor = heads[0] if heads else 0
+            return min(touching or found, key=lambda s: (abs(s[0] - anchor), s))
+        return found[0] if found else None
 
-    return pd.Series([place(*x) for x in zip(evidence, surface, spans, strict=True)])
+    return pa.array(map(place, *(x.to_pylist() for x in (evidence, surface, starts, ends))), pa.list_(pa.int32()))
 
 
 def mentions(accepted: DataFrame) -> DataFrame:
@@ -66,7 +69,9 @@ def mentions(accepted: DataFrame) -> DataFrame:
     roles = F.array(F.struct(F.lit("subject").alias("role"), F.col("subject").alias("surface")), F.when(kind.isin("alias", "defeats", "located_in"), F.struct(F.lit("object").alias("role"), F.col("object").alias("surface"))))
     rows = accepted.withColumn("r", F.explode(F.array_compact(roles))).where("r.surface != ''")
     rows = rows.withColumns({"role": F.col("r.role"), "surface": F.trim("r.surface")})
-    rows = rows.withColumn("place", surface_span(F.col("evidence"), F.col("surface"), F.col("matched_spans"))).where("place is not null")
+    matched = (F.coalesce(F.col(f"matched_spans.{x}"), F.array().cast("array<int>")) for x in ("start", "end"))
+    # a list of none or one: a test for null would be moved before the function, and call it a second time
+    rows = rows.withColumn("place", F.explode(F.array_compact(F.array(surface_span(F.col("evidence"), F.col("surface"), *matched)))))
     rows = rows.withColumns(
         {
             "start_char": F.col("evidence_start") + F.col("place")[0],
@@ -83,16 +88,27 @@ def identity_edges(found: DataFrame, accepted: DataFrame, links: DataFrame | Non
     """J-12, J-14: edges in the order of merging: equal surfaces of a unit to its first, alias claims, then links. Kind:
     0 to 2, or 3 for ``different_from``."""
     order = Window.partitionBy("source_id", "unit_id", "normalized_surface").orderBy("start_char", "role", "mention_id")
-    local = found.withColumn("a", F.first("mention_id").over(order)).where("a != mention_id")
-    local = local.select("source_id", F.lit(0).alias("kind"), F.col("start_char").alias("rank"), "a", F.col("mention_id").alias("b"), F.lit("").alias("claim"))
-    side = lambda role, name: found.where(F.col("role") == role).select("result_id", F.col("mention_id").alias(name))
+    who = F.struct("mention_id", "inferred_type")
+    local = found.withColumn("first", F.first(who).over(order)).where("first.mention_id != mention_id")
+    local = local.select("source_id", F.lit(0).alias("kind"), F.col("start_char").alias("rank"), F.col("first").alias("x"), who.alias("y"), F.lit("").alias("claim"))
+    # both names of an alias claim stand in one group, so mentions are moved once
+    side = lambda role: F.max(F.when(F.col("role") == role, who))
+    sides = found.groupBy("result_id").agg(side("subject").alias("x"), side("object").alias("y")).where("x is not null and y is not null")
     alias = accepted.where("claim_type = 'alias'").select("source_id", "result_id", F.col("evidence_start").alias("rank"))
-    alias = alias.join(side("subject", "a"), "result_id").join(side("object", "b"), "result_id")
-    alias = alias.select("source_id", F.lit(1).alias("kind"), "rank", "a", "b", F.col("result_id").alias("claim"))
-    edges = local.unionByName(alias)
+    alias = alias.join(sides, "result_id").select("source_id", F.lit(1).alias("kind"), "rank", "x", "y", F.col("result_id").alias("claim"))
+    both = (f"{x}.{c} as {n}" for x, s in (("x", "a"), ("y", "b")) for c, n in (("mention_id", s), ("inferred_type", f"{s}_type")))
+    edges = local.unionByName(alias).selectExpr("source_id", "kind", "rank", "claim", *both)
     if links is not None:
         kind = F.when(F.col("relation") == "different_from", 3).otherwise(2)
-        edges = edges.unionByName(links.select("source_id", kind.alias("kind"), F.col("position").cast("long").alias("rank"), "a", "b", F.lit("").alias("claim")))
+        edges = edges.unionByName(_typed(links.select("source_id", kind.alias("kind"), F.col("position").cast("long").alias("rank"), "a", "b", F.lit("").alias("claim")), found))
+    return edges
+
+
+def _typed(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """Edges with the types of both mentions; those between other mentions are left out."""
+    typed = found.select("source_id", "mention_id", "inferred_type")
+    for side in ("a", "b"):
+        edges = edges.join(typed.select("source_id", F.col("mention_id").alias(side), F.col("inferred_type").alias(f"{side}_type")), ["source_id", side])
     return edges
 
 
@@ -153,10 +169,8 @@ def components(found: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame
     bearing on another. Of these, those whose mentions have one concrete type at most and no ``different_from`` among them
     can't conflict: they are merged as they are, without being brought together; the others are settled one by one.
     Mentions that no edge names stay out of all this. It is solved once and written: both results are read from it."""
-    typed = found.select("source_id", "mention_id", "inferred_type")
     edges = edges.where("a != b")
-    for side in ("a", "b"):
-        edges = edges.join(typed.select("source_id", F.col("mention_id").alias(side), F.col("inferred_type").alias(f"{side}_type")), ["source_id", side])
+    edges = edges if "a_type" in edges.columns else _typed(edges, found)
     edges = cut(edges.select("source_id", "kind", F.col("rank").cast("long").alias("rank"), "a", "b", "claim", "a_type", "b_type"), "identity-edges")
     large = cut(edges.groupBy("source_id").agg(F.count("*").alias("n")).where(F.col("n") > SOURCE_EDGES).select("source_id"), "large-sources")
     if large.isEmpty():
@@ -222,20 +236,27 @@ def _settled(edges: DataFrame) -> DataFrame:
     return edges.repartition(F.xxhash64("source_id", "home")).sortWithinPartitions(*order).mapInPandas(each, SETTLED)
 
 
+def placed(found: DataFrame, merged: DataFrame) -> DataFrame:
+    """Mentions with their component and its basis; those that have these stay."""
+    return found if "component" in found.columns else found.join(merged, ["source_id", "mention_id"])
+
+
 def entities(found: DataFrame, merged: DataFrame) -> DataFrame:
     """G-16, G-17: one row a component: canonical name (the commonest, then the earliest, then by name), aliases, type,
-    mentions, units, basis."""
-    rows = found.join(merged, ["source_id", "mention_id"])
+    mentions, units, basis. Mentions are moved once: names are counted where their component is."""
     key = ["source_id", "component"]
-    names = rows.groupBy(*key, "surface").agg(F.count("*").alias("n"), F.min("start_char").alias("at"))
-    best = names.groupBy(*key).agg(F.min_by("surface", F.struct(-F.col("n"), F.col("at"), F.col("surface"))).alias("canonical_name"))
-    concrete = F.array_except(F.collect_set("inferred_type"), F.array(F.lit("entity"), F.lit("unknown")))
-    sets = {"aliases": "surface", "mention_ids": "mention_id", "unit_ids": "unit_id"}
-    out = rows.groupBy(*key).agg(*(F.array_sort(F.collect_set(c)).alias(k) for k, c in sets.items()), concrete.alias("concrete"), F.first("merge_basis").alias("merge_basis"))
+    sets = {"mention_ids": "mention_id", "unit_ids": "unit_id", "types": "inferred_type"}
+    names = placed(found, merged).repartition(*map(F.col, key)).groupBy(*key, "surface")
+    names = names.agg(F.count("*").alias("n"), F.min("start_char").alias("at"), *(F.collect_set(c).alias(k) for k, c in sets.items()), F.first("merge_basis").alias("basis"))
+    every = {k: F.array_sort(F.array_distinct(F.flatten(F.collect_list(k)))) for k in sets} | {"aliases": F.array_sort(F.collect_list("surface"))}
+    best = F.min_by("surface", F.struct(-F.col("n"), F.col("at"), F.col("surface")))
+    out = names.groupBy(*key).agg(*(v.alias(k) for k, v in every.items()), F.first("basis").alias("merge_basis"), best.alias("canonical_name"))
+    out = out.withColumn("concrete", F.array_except("types", F.array(F.lit("entity"), F.lit("unknown"))))
     kind = F.when(F.size("concrete") == 1, F.get("concrete", 0)).when(F.size("concrete") == 0, "entity").otherwise("mixed")
-    out = out.join(best, key).withColumn("entity_type", kind)
+    out = out.withColumn("entity_type", kind)
     ids = (F.array_join("mention_ids", ","), F.col("canonical_name"), F.array_join("aliases", ","), F.col("entity_type"))
-    return out.withColumns({"entity_id": stable_id("ent_", *ids), "source_ids": F.array("source_id")}).drop("concrete")
+    out = out.withColumns({"entity_id": stable_id("ent_", *ids), "source_ids": F.array("source_id")})
+    return out.select(*key, "aliases", "mention_ids", "unit_ids", "merge_basis", "canonical_name", "entity_type", "entity_id", "source_ids")
 
 
 def assertion_context(evidence: Column, spans: Column) -> Column:
@@ -264,8 +285,7 @@ def predicate_scope(context: Column) -> Column:
 
 def facts(accepted: DataFrame, found: DataFrame, merged: DataFrame, named: DataFrame) -> DataFrame:
     """J-08, J-09: one fact an accepted claim, with entities, scope and temporal marker."""
-    ids = named.select("source_id", "component", "entity_id")
-    who = found.select("source_id", "mention_id", "result_id", "role").join(merged.select("source_id", "mention_id", "component"), ["source_id", "mention_id"]).join(ids, ["source_id", "component"])
+    who = placed(found, merged).select("source_id", "component", "result_id", "role").join(named.select("source_id", "component", "entity_id"), ["source_id", "component"])
     sides = who.groupBy("result_id").agg(*(F.max(F.when(F.col("role") == r, F.col("entity_id"))).alias(f"{r}_entity_id") for r in ("subject", "object")))
     df = accepted.withColumn("context", assertion_context(F.col("evidence"), F.col("matched_spans"))).join(sides, "result_id", "left")
     df = df.withColumns({"predicate_scope": predicate_scope(F.col("context")), "temporal_marker": temporal_marker(F.col("context")), "evidence_sha256": sha(F.col("evidence"))})
@@ -278,12 +298,21 @@ def facts(accepted: DataFrame, found: DataFrame, merged: DataFrame, named: DataF
 def temporal_transitions(rows: DataFrame, keys: list[str], state: str | Column, order: list[str], marker: str = "temporal_marker") -> DataFrame:
     """W-14: per group: how many states, and whether each change between neighbours is supported: by ``later`` on the new
     row or ``earlier`` on the old one, with no ``mixed`` anywhere and one change at least."""
+    df = _with_changes(rows.withColumn("state", state if isinstance(state, Column) else F.col(state)), keys, order, marker)
+    return df.groupBy(*keys).agg(F.countDistinct("state").alias("states"), _supported(marker).alias("supported"))
+
+
+def _with_changes(rows: DataFrame, keys: list[str], order: list[str], marker: str) -> DataFrame:
+    """Rows with a state, and whether it is another than that of the row before, without support (``changed``, ``bad``)."""
     window = Window.partitionBy(*keys).orderBy(*order)
-    df = rows.withColumn("state", state if isinstance(state, Column) else F.col(state))
-    df = df.withColumns({"old_state": F.lag("state").over(window), "old_marker": F.lag(marker).over(window)})
+    df = rows.withColumns({"old_state": F.lag("state").over(window), "old_marker": F.lag(marker).over(window)})
     changed = F.col("old_state").isNotNull() & (F.col("state") != F.col("old_state"))
     bad = changed & ~((F.col(marker) == "later") | F.coalesce(F.col("old_marker") == "earlier", F.lit(False)))
-    return df.groupBy(*keys).agg(F.countDistinct("state").alias("states"), (F.max(changed) & ~F.max(bad) & ~F.max(F.col(marker) == "mixed")).alias("supported"))
+    return df.withColumns({"changed": changed, "bad": bad})
+
+
+def _supported(marker: str) -> Column:
+    return F.max("changed") & ~F.max("bad") & ~F.max(F.col(marker) == "mixed")
 
 
 CONFLICTS: dict[str, tuple[list[str], str, str]] = {
@@ -314,24 +343,31 @@ def conflicts(rows: DataFrame) -> DataFrame:
     fact_ids, entity_ids, values."""
     df = keyed(rows)
     states = {"permission": F.col("polarity").cast("string"), "count": F.col("value"), "located_in": F.col("object_key"), "date": F.col("value"), "defeats": F.concat_ws(">", "subject_key", "object_key")}
-    parts = []
-    for kind, (columns, resolved, unresolved) in CONFLICTS.items():
-        own = df.where(F.col("claim_type") == kind).withColumns({"state": states[kind], "group": F.concat_ws("|", *columns)})
-        key = ["source_id", "group"]
-        sets = own.groupBy(*key).agg(
-            F.array_sort(F.collect_set("fact_id")).alias("fact_ids"),
-            F.array_sort(F.collect_set("state")).alias("values"),
-            F.array_sort(F.array_compact(F.array_distinct(F.flatten(F.collect_set(F.array("subject_entity_id", "object_entity_id")))))).alias("entity_ids"),
-        )
-        sets = sets.where(F.size("values") > 1)
-        if kind == "date":
-            solved = sets.withColumn("solved", precision_compatible(F.col("values")))
-        else:
-            moved = temporal_transitions(own, key, "state", ["evidence_start", "evidence_end", "fact_id"]).select(*key, F.col("supported").alias("solved"))
-            solved = sets.join(moved, key)
-        status = F.when(F.col("solved"), "resolved_precision" if kind == "date" else "resolved_temporal").otherwise("unresolved")
-        parts.append(solved.select(*key, F.when(F.col("solved"), resolved).otherwise(unresolved).alias("conflict_type"), F.when(F.col("solved"), "info").otherwise("review").alias("severity"), status.alias("status"), "fact_ids", "entity_ids", "values"))
-    out = reduce(DataFrame.unionByName, parts)
+    # all types at once, each grouped by columns of its own
+    kind = F.col("claim_type")
+    by_kind = lambda of: reduce(lambda acc, k: acc.when(kind == k, of(k)), list(CONFLICTS)[1:], F.when(kind == next(iter(CONFLICTS)), of(next(iter(CONFLICTS)))))
+    df = df.where(kind.isin(*CONFLICTS)).withColumns({"state": by_kind(states.get), "group": by_kind(lambda k: F.concat_ws("|", *CONFLICTS[k][0]))})
+    key = ["source_id", "claim_type", "group"]
+    df = df.select(*key, "state", "fact_id", "subject_entity_id", "object_entity_id", "temporal_marker", "evidence_start", "evidence_end")
+    df = _with_changes(df, key, ["evidence_start", "evidence_end", "fact_id"], "temporal_marker")
+    # whether a group has more than one state is known before anything of it is gathered
+    group = Window.partitionBy(*key)
+    df = df.withColumns({"low": F.min("state").over(group), "high": F.max("state").over(group)}).where("low != high")
+    out = df.groupBy(*key).agg(
+        F.array_sort(F.collect_set("fact_id")).alias("fact_ids"),
+        F.array_sort(F.collect_set("state")).alias("values"),
+        F.array_sort(F.array_compact(F.array_distinct(F.flatten(F.collect_set(F.array("subject_entity_id", "object_entity_id")))))).alias("entity_ids"),
+        _supported("temporal_marker").alias("supported"),
+    )
+    dated = kind == "date"
+    out = out.withColumn("solved", F.when(dated, precision_compatible(F.col("values"))).otherwise(F.col("supported")))
+    named = lambda i: by_kind(lambda k: F.lit(CONFLICTS[k][i]))
+    told = {
+        "conflict_type": F.when(F.col("solved"), named(1)).otherwise(named(2)),
+        "severity": F.when(F.col("solved"), "info").otherwise("review"),
+        "status": F.when(F.col("solved"), F.when(dated, "resolved_precision").otherwise("resolved_temporal")).otherwise("unresolved"),
+    }
+    out = out.select("source_id", "group", *(v.alias(k) for k, v in told.items()), "fact_ids", "entity_ids", "values")
     return out.withColumn("conflict_id", stable_id("cnf_", F.col("conflict_type"), F.col("source_id"), F.col("group"), F.array_join("fact_ids", ",")))
 
 
@@ -361,7 +397,7 @@ def timeline(rows: DataFrame) -> DataFrame:
 
 def ambiguity_groups(found: DataFrame, merged: DataFrame, named: DataFrame) -> DataFrame:
     """G-20: surfaces of a source that stand for several entities."""
-    rows = found.join(merged.select("source_id", "mention_id", "component"), ["source_id", "mention_id"]).join(named.select("source_id", "component", "entity_id"), ["source_id", "component"])
+    rows = placed(found, merged).join(named.select("source_id", "component", "entity_id"), ["source_id", "component"])
     sets = {"surfaces": "surface", "entity_ids": "entity_id", "mention_ids": "mention_id"}
     out = rows.groupBy("source_id", "normalized_surface").agg(*(F.array_sort(F.collect_set(c)).alias(k) for k, c in sets.items())).where(F.size("entity_ids") > 1)
     return out.withColumns({"ambiguity_id": stable_id("amb_", F.col("source_id"), F.col("normalized_surface"), F.array_join("entity_ids", ",")), "reason": F.lit("SAME_SURFACE_MULTIPLE_ENTITIES")})
@@ -405,22 +441,26 @@ def link_problem(relation: str, left: str, right: str, evidence: str) -> str | N
 
 
 def identified(accepted: DataFrame, sources: DataFrame | None = None, units: DataFrame | None = None, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Mentions in accepted claims, their components, the merges that were blocked, and the entities that they are."""
-    found = cut(mentions(accepted), "mentions")
-    good = None
-    if links is not None:
-        good = valid_links(links, found, sources, units).where("problem is null")
-    merged, blocked = components(found, identity_edges(found, accepted, good))
-    return found, merged, blocked, cut(entities(found, merged), "entities")
+    """Mentions in accepted claims, these with their component and its basis, the merges that were blocked, and the entities
+    that they are."""
+    with passing(accepted.sparkSession) as keep:
+        found = keep(cut(mentions(accepted), "mentions"))
+        good = None
+        if links is not None:
+            good = valid_links(links, found, sources, units).where("problem is null")
+        merged, blocked = components(found, identity_edges(found, accepted, good))
+        # mentions and components meet once; what comes of both reads this
+        homes, blocked = keep(cut(placed(found, merged), "placed-mentions")), keep(cut(blocked, "blocked-merges"))
+        return found, homes, blocked, keep(cut(entities(homes, homes), "entities"))
 
 
 def normalize(accepted: DataFrame, sources: DataFrame | None = None, units: DataFrame | None = None, links: DataFrame | None = None) -> dict[str, DataFrame]:
     """Everything that follows from accepted claims, by table name."""
-    found, merged, blocked, named = identified(accepted, sources, units, links)
-    rows = cut(facts(accepted, found, merged, named), "facts")
-    disputes = conflicts(rows)
+    found, homes, blocked, named = identified(accepted, sources, units, links)
+    rows = cut(facts(accepted, homes, homes, named), "facts")
+    disputes = cut(conflicts(rows), "conflicts")
     judged = fact_status(rows, disputes, blocked)
-    unclear = ambiguity_groups(found, merged, named)
+    unclear = ambiguity_groups(homes, homes, named)
     return {"mentions": found, "entities": named, "facts": judged, "timeline": timeline(judged), "conflicts": disputes, "blocked_merges": blocked, "ambiguity_groups": unclear}
 
 

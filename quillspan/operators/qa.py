@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspan.functions.text import sha, stable_id
-from quillspan.sources.scratch import cut
+from quillspan.sources.scratch import cut, passing
 
-from .retrieval import answerability, entity_names, indexed_facts
+from .retrieval import DECIDING, answerability, entity_names, indexed_facts
 
 # What packets say.
 DATE_LABELS = {"birth_date": "出生日期", "death_date": "去世日期", "start_date": "开始日期", "end_date": "结束日期", "event_date": "发生日期"}
@@ -20,6 +20,9 @@ REFUSALS = {
     "not_answerable": ("refused_insufficient_evidence", "现有证据没有记录该问题所需的类型化事实。", "REFUSAL_INSUFFICIENT_TYPED_EVIDENCE"),
 }
 CLAIM = ("predicate", "requested_role", "subject", "object", "value", "unit", "predicate_scope", "fact_polarity", "boolean_answer", "temporal_scope")
+#: Of a fact, what a citation shows, and what an answer is made of.
+CITED = ("fact_id", "source_id", "unit_id", "evidence_start", "evidence_end", "evidence_text", "claim_type", "predicate_scope", "canonical_status", "polarity")
+TOLD = (*CITED, "subject", "object", "value", "unit", "normalized_subject", "normalized_object")
 
 
 def answer_claim(hit: str = "hit", ask: str = "ask") -> Column:
@@ -65,21 +68,27 @@ def answers(asked: DataFrame, facts: DataFrame, entities: DataFrame, max_citatio
     nothing is recorded never does. Hits that say different things refuse; citations are the first by place, numbered."""
     if not 1 <= max_citations <= 20:
         raise ValueError("an answer has 1 to 20 citations")
-    asked, facts, entities = keep(asked, "questions"), indexed_facts(facts), entity_names(entities)
-    first, hits = (keep(df, "answerability") for df in answerability(asked, facts, entities))
-    open_ = first.where("answerability = 'not_answerable' and predicate = 'permission' and requested_role = 'boolean'")
-    turned = asked.join(open_.select("question_id"), "question_id", "left_semi").withColumn("polarity", ~F.col("polarity"))
-    second, more = (keep(df, "answerability") for df in answerability(keep(turned, "questions"), facts, entities))
-    second = second.where("answerability in ('answerable', 'ambiguous')").select("question_id", F.col("answerability").alias("other"), F.col("reason_codes").alias("other_codes"))
-    state = first.join(second, "question_id", "left").withColumn("final", F.coalesce("other", "answerability"))
-    ask = state.select("question_id", F.struct(*asked.columns).alias("ask"), "final", "reason_codes", "other_codes")
-    every = hits.withColumn("turned", F.lit(False)).unionByName(more.withColumn("turned", F.lit(True)))
-    every = every.select("question_id", F.struct(*facts.columns).alias("hit"))
-    told = ask.where("final = 'answerable'").join(every, "question_id").withColumn("claim", answer_claim())
+    facts = indexed_facts(facts)
+    # what decides goes from step to step; the facts themselves come to the hits that are told
+    deciding = facts.select(*DECIDING)
+    with passing(facts.sparkSession) as until:
+        asked, entities = keep(asked, "questions"), entity_names(entities)
+        first, hits = answerability(asked, deciding, entities, keep)
+        first = keep(first, "answerability")
+        open_ = first.where("answerability = 'not_answerable' and predicate = 'permission' and requested_role = 'boolean'")
+        turned = asked.join(open_.select("question_id"), "question_id", "left_semi").withColumn("polarity", ~F.col("polarity"))
+        # they are all about permissions
+        second, more = answerability(keep(turned, "questions"), deciding.where("claim_type = 'permission'"), entities, keep)
+        second = second.where("answerability in ('answerable', 'ambiguous')").select("question_id", F.col("answerability").alias("other"), F.col("reason_codes").alias("other_codes"))
+        ask = first.join(second, "question_id", "left").withColumn("final", F.coalesce("other", "answerability"))
+        ask = until(keep(ask.select("question_id", F.struct(*asked.columns).alias("ask"), "final", "reason_codes", "other_codes"), "states"))
+        every = hits.select("question_id", "fact_id").unionByName(more.select("question_id", "fact_id"))
+        every = until(keep(ask.where("final = 'answerable'").select("question_id").join(every, "question_id"), "told-hits"))
+    every = every.join(facts.select("fact_id", F.struct(*TOLD).alias("hit")), "fact_id")
+    told = ask.where("final = 'answerable'").join(every.repartition("question_id").dropDuplicates(["question_id", "fact_id"]), "question_id").withColumn("claim", answer_claim())
     order = Window.partitionBy("question_id").orderBy("hit.source_id", "hit.evidence_start", "hit.evidence_end", "hit.fact_id")
     told = told.withColumn("n", F.row_number().over(order))
-    cited = ("fact_id", "source_id", "unit_id", "evidence_start", "evidence_end", "evidence_text", "claim_type", "predicate_scope", "canonical_status", "polarity")
-    citation = F.struct("n", F.concat(F.lit("E"), "n").alias("citation_id"), *(F.col(f"hit.{c}").alias(c) for c in cited), sha(F.col("hit.evidence_text")).alias("evidence_sha256"))
+    citation = F.struct("n", F.concat(F.lit("E"), "n").alias("citation_id"), *(F.col(f"hit.{c}").alias(c) for c in CITED), sha(F.col("hit.evidence_text")).alias("evidence_sha256"))
     packed = told.groupBy("question_id").agg(
         F.countDistinct(F.to_json("claim", {"ignoreNullFields": "false"})).alias("claims"),
         F.min_by("claim", "n").alias("claim"),

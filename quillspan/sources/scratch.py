@@ -6,10 +6,16 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+#: Where a table that ``cut`` has given stands.
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+#: Spark's setting by which an action's shuffle files go at its end, and not when the driver happens to collect garbage.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,12 +43,47 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextlib.contextmanager
+def _set(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for what runs inside; its own comes back."""
+    own = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if own is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, own)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` once as Parquet in the shared folder and reads it back: lineage ends here, and a lost executor
-    costs only the reread of its splits."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    costs only the reread of its splits. The shuffles that it took leave the disk at once. Ids and digests are most of
+    many tables, and only a code for letters makes these shorter."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    with _set(spark, SHUFFLES_GO, "true"):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are cut inside leave the disk at its end, but those that the function which it gives was called for."""
+    before, kept = len(_written), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(_paths.get(df))  # a table that was held, not written, stays anyway
+        return df
+
+    try:
+        yield keep
+    finally:
+        for own, path in [w for w in _written[before:] if w[1] not in kept]:
+            remove(own, path)
+            _written.remove((own, path))
 
 
 def small_batches(df: DataFrame) -> DataFrame:
