@@ -17,8 +17,9 @@ from .textkernel import LOWER, arrow_bytes, slices
 SAMPLE_DOCS, SAMPLE_ROWS, PASSAGES, PASSAGE_CHARS = 300, 20_000, 4, 96
 #: Passages with other letters in their places, by which the network learns what is no known language, for each real one.
 SCRAMBLED = 0.25
-#: Width of each direction, and how it is trained.
-HIDDEN, STEPS, BATCH, RATE = 12, 700, 128, 0.01
+#: Width of each direction, how it is trained on the sample, the rate at which it learns from all documents after that, and
+#: how many of these a task learns from at once.
+HIDDEN, STEPS, BATCH, RATE, RATE_OF_ALL, GROUP_DOCS = 12, 700, 128, 0.01, 0.002, 4_000
 #: Bytes of a text that one window labels, and bytes before and after these that the directions have read by then.
 SPAN, MARGIN = 512, 32
 #: Text bytes that a worker cuts into windows at once, windows that run side by side (few enough that the linear algebra
@@ -178,9 +179,7 @@ class Network:
     def fit(self, texts: list[np.ndarray], labels: np.ndarray, seed: int = 11) -> None:
         """Adam on the cross entropy of every position of passages; a step takes passages of all languages alike, cut at the
         shortest of them so that they run together."""
-        rng = np.random.default_rng(seed)
-        held = [(self.there, n) for n in Direction.names] + [(self.back, n) for n in Direction.names] + [(self, "V"), (self, "c")]
-        first, second = [0.0] * len(held), [0.0] * len(held)
+        rng, adam = np.random.default_rng(seed), _Adam(self)
         size = np.array([len(t) for t in texts])
         order = np.argsort(size, kind="stable")  # passages of about one length run together
         place = np.empty(len(order), np.int64)
@@ -193,21 +192,63 @@ class Network:
                 some = own[np.clip((near * len(own) + rng.normal(0, 0.05 * len(own) + 1, share)).astype(int), 0, len(own) - 1)]
                 rows.append(order[some])
             rows = np.concatenate(rows)
-            n = int(size[rows].min())
-            batch, truth, keep = np.stack([texts[r][:n] for r in rows]).T, labels[rows], ([], [])
-            p, states = self.positions(batch, keep)
-            p[:, np.arange(len(rows)), truth] -= 1
-            p /= n * len(rows)
-            flat = states.reshape(-1, 2 * HIDDEN)
-            dV, dc, dstates = flat.T @ p.reshape(-1, p.shape[2]), p.sum(axis=(0, 1)), p @ self.V.T
-            there = self.there.backward(batch, keep[0], dstates[:, :, :HIDDEN])
-            back = self.back.backward(batch[::-1], keep[1], dstates[::-1, :, HIDDEN:])
-            rate = RATE * min(1, 2 * (1 - step / (STEPS + 1)))
-            for k, ((owner, name), g) in enumerate(zip(held, [*there.values(), *back.values(), dV, dc], strict=True)):
-                first[k] = 0.9 * first[k] + 0.1 * g
-                second[k] = 0.999 * second[k] + 0.001 * g * g
-                step_ = rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-                setattr(owner, name, (getattr(owner, name) - step_).astype(np.float32))
+            adam.step([texts[r] for r in rows], labels[rows], RATE * min(1, 2 * (1 - step / (STEPS + 1))))
+
+    def learn(self, texts: list[np.ndarray], labels: np.ndarray, seed: int = 17) -> None:
+        """Goes on learning from passages, each of which is in one step; in a step, those of a language count as much as those of
+        any other, and all are about as long among the passages of their language."""
+        rng, adam = np.random.default_rng(seed), _Adam(self)
+        size, steps = np.array([len(t) for t in texts]), -(-len(texts) // BATCH)
+        parts = []
+        for k in np.unique(labels):
+            own = np.flatnonzero(labels == k)
+            parts.append(np.array_split(own[np.argsort(size[own], kind="stable")], steps))
+        for done, step in enumerate(rng.permutation(steps)):
+            own = [p[step] for p in parts if len(p[step])]
+            rows = np.concatenate(own)
+            weight = np.concatenate([np.full(len(p), len(rows) / (len(own) * len(p)), np.float32) for p in own])
+            adam.step([texts[r] for r in rows], labels[rows], RATE_OF_ALL * (1 - done / steps), weight)
+
+    def weights(self) -> np.ndarray:
+        """All that is learned, one number after the other."""
+        return np.concatenate([getattr(owner, name).ravel() for owner, name in self.held()])
+
+    def set_weights(self, flat: np.ndarray) -> None:
+        at = 0
+        for owner, name in self.held():
+            old = getattr(owner, name)
+            setattr(owner, name, flat[at : at + old.size].reshape(old.shape).astype(np.float32))
+            at += old.size
+
+    def held(self) -> list[tuple[object, str]]:
+        return [(self.there, n) for n in Direction.names] + [(self.back, n) for n in Direction.names] + [(self, "V"), (self, "c")]
+
+
+class _Adam:
+    """Adam on the cross entropy of every position of passages, which are cut at the shortest of a step."""
+
+    def __init__(self, network: Network):
+        self.network, self.held, self.steps = network, network.held(), 0
+        self.first, self.second = [0.0] * len(self.held), [0.0] * len(self.held)
+
+    def step(self, texts: list[np.ndarray], truth: np.ndarray, rate: float, weight: np.ndarray | None = None) -> None:
+        net, self.steps = self.network, self.steps + 1
+        n = min(map(len, texts))
+        batch, keep = np.stack([t[:n] for t in texts]).T, ([], [])
+        p, states = net.positions(batch, keep)
+        p[:, np.arange(len(texts)), truth] -= 1
+        p /= n * len(texts)
+        if weight is not None:
+            p *= weight[:, None]
+        flat = states.reshape(-1, 2 * HIDDEN)
+        dV, dc, dstates = flat.T @ p.reshape(-1, p.shape[2]), p.sum(axis=(0, 1)), p @ net.V.T
+        there = net.there.backward(batch, keep[0], dstates[:, :, :HIDDEN])
+        back = net.back.backward(batch[::-1], keep[1], dstates[::-1, :, HIDDEN:])
+        for k, ((owner, name), g) in enumerate(zip(self.held, [*there.values(), *back.values(), dV, dc], strict=True)):
+            self.first[k] = 0.9 * self.first[k] + 0.1 * g
+            self.second[k] = 0.999 * self.second[k] + 0.001 * g * g
+            step_ = rate * (self.first[k] / (1 - 0.9**self.steps)) / (np.sqrt(self.second[k] / (1 - 0.999**self.steps)) + 1e-8)
+            setattr(owner, name, (getattr(owner, name) - step_).astype(np.float32))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -215,12 +256,10 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _drawn(labelled: DataFrame) -> DataFrame:
-    """A sample of labelled rows by the hash of doc_id: of each language about SAMPLE_DOCS to twice as many, fewer where
+def _drawn(labelled: DataFrame, counts: DataFrame) -> DataFrame:
+    """Labelled rows to begin with, by the hash of doc_id: of each language about SAMPLE_DOCS to twice as many, fewer where
     there are so many languages that all would be more than SAMPLE_ROWS; with ``place``, the hash, and ``quota``."""
-    counts = cut(labelled.groupBy("lang").agg(F.count("*").alias("n")), "languages")
-    languages = max(1, counts.count())
-    quota = max(1, min(SAMPLE_DOCS, SAMPLE_ROWS // languages))
+    quota = max(1, min(SAMPLE_DOCS, SAMPLE_ROWS // max(1, counts.count())))
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
     return labelled.join(counts, "lang").withColumns({"place": place, "quota": F.lit(quota)}).where(F.col("place") < 2.0 * F.col("quota") / F.col("n"))
 
@@ -240,36 +279,88 @@ def scrambled(texts: list[np.ndarray], seed: int = 13) -> list[np.ndarray]:
     return out
 
 
-def train(labelled: DataFrame) -> Network | None:
-    """A network for ``labelled`` (doc_id, text, lang), all of which it may learn from; None if no row has letters.
+def _cuts(passages: int) -> Column:
+    """So many passages of PASSAGE_CHARS characters from anywhere in a text, at places that a hash gives."""
+    room = F.greatest(F.length("text") - PASSAGE_CHARS + 1, F.lit(1))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(passages)), lambda k: F.substring("text", (F.pmod(F.xxhash64("doc_id", k), room) + 1).cast("int"), F.lit(PASSAGE_CHARS))))
+
+
+def _passages(rows: list[tuple[str, list[str]]], languages: list[str | None]) -> tuple[list[np.ndarray], list[int]]:
+    """Passages with letters of (language, cuts), and the number of the language of each."""
+    number, texts, labels = {lang: k for k, lang in enumerate(languages)}, [], []
+    for lang, cuts in rows:
+        own = [LOWER[np.frombuffer(c.encode(), np.uint8)] for c in cuts]
+        texts += [t for t in own if LETTERS[t].any()]
+        labels += [number[lang]] * (len(texts) - len(labels))
+    return texts, labels
+
 
-    It learns from a bounded sample: of each language at most SAMPLE_DOCS documents, those with the smallest hashes of
-    doc_id, of all at most SAMPLE_ROWS; of each, PASSAGES passages of PASSAGE_CHARS characters from anywhere in the text,
-    at places that a hash gives. Only passages come to the driver. A language without a sampled document is not learned,
-    which only more than SAMPLE_ROWS languages can bring about. Prediction is not bounded by any of this.
+def train(labelled: DataFrame, all_documents: bool = True) -> Network | None:
+    """A network for ``labelled`` (doc_id, text, lang), all of which it learns from, or else the sample alone; None if no row has
+    letters.
+
+    It begins with a bounded sample on the driver: of each language at most SAMPLE_DOCS documents, those with the smallest
+    hashes of doc_id, of all at most SAMPLE_ROWS. Then it learns from every document, by groups of about GROUP_DOCS in
+    tasks of their own (``_learned_from_all``). Of a document it reads passages of PASSAGE_CHARS characters from anywhere in
+    the text: PASSAGES where it is in the sample, and one in the pass over all. A language without a document in the sample is not learned, which only more than SAMPLE_ROWS
+    languages can bring about. ``documents`` of the network says how many it has learned from.
     """
     labelled = labelled.select("doc_id", "text", "lang").where("lang is not null and text is not null and doc_id is not null")
-    drawn = _drawn(labelled).where(F.col("text").rlike("\\p{L}"))
-    room = F.greatest(F.length("text") - PASSAGE_CHARS + 1, F.lit(1))
-    cuts = F.transform(F.sequence(F.lit(1), F.lit(PASSAGES)), lambda k: F.substring("text", (F.pmod(F.xxhash64("doc_id", k), room) + 1).cast("int"), F.lit(PASSAGE_CHARS)))
-    rows = drawn.select("lang", "place", "quota", F.array_distinct(cuts).alias("cuts")).orderBy("place", "lang", "cuts").limit(3 * SAMPLE_ROWS).collect()
-    languages, taken = sorted({r.lang for r in rows}), {}
-    texts, labels = [], []
+    counts = cut(labelled.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    lettered = F.col("text").rlike("\\p{L}")
+    drawn = _drawn(labelled, counts).where(lettered)
+    rows = drawn.select("lang", "place", "quota", _cuts(PASSAGES).alias("cuts")).orderBy("place", "lang", "cuts").limit(3 * SAMPLE_ROWS).collect()
+    languages, taken, some = sorted({r.lang for r in rows}), {}, []
     for row in rows:
         taken[row.lang] = taken.get(row.lang, 0) + 1
         if taken[row.lang] <= row.quota:
-            own = [LOWER[np.frombuffer(cut.encode(), np.uint8)] for cut in row.cuts]
-            texts += [t for t in own if LETTERS[t].any()]
-            labels += [languages.index(row.lang)] * (len(texts) - len(labels))
+            some.append((row.lang, row.cuts))
+    texts, labels = _passages(some, languages)
     if not texts:
         return None
     # of few texts nothing can be learned about what is none of them, as nothing can be calibrated then
     others = scrambled(texts) if len(texts) >= PASSAGES * LEAST_LONG else []
     network = Network([*languages, None] if others else languages)
     network.fit(texts + others, np.array(labels + [len(languages)] * len(others)))
+    network.documents = len(some)
+    n, most = counts.agg(F.sum("n"), F.max("n")).first()
+    if all_documents and most > rows[0].quota:  # else all were in the sample
+        _learned_from_all(labelled.where(lettered & F.col("lang").isin(languages)), network, -(-n // GROUP_DOCS))
     return network
 
 
+def _learned_from_all(labelled: DataFrame, network: Network, groups: int) -> None:
+    """One pass over all documents: those of a group, by hash of doc_id, carry a copy of the network on, and the copies' mean,
+    by their passages, is what is learned. Only sums of weights come to the driver, one row of a fixed size a partition."""
+    seed = network.weights()
+
+    def learned(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table["doc_id"].to_pylist(), table["lang"].to_pylist(), table["cuts"].to_pylist(), strict=True))
+        texts, labels = _passages([r[1:] for r in rows], network.languages)
+        others = scrambled(texts) if network.languages[-1] is None else []
+        network.set_weights(seed)
+        if texts:
+            network.learn(texts + others, np.array(labels + [len(network.known)] * len(others)))
+        flat = network.weights().astype(np.float64) * len(texts)
+        return pa.table({"documents": pa.array([len(rows)], pa.int64()), "passages": pa.array([len(texts)], pa.int64()), "weights": pa.array([flat.tobytes()], pa.binary())})
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        documents, passages, total = 0, 0, np.zeros(len(seed))
+        for batch in batches:
+            documents, passages = documents + sum(batch["documents"].to_pylist()), passages + sum(batch["passages"].to_pylist())
+            for flat in batch["weights"].to_pylist():
+                total += np.frombuffer(flat)
+        if documents:
+            yield pa.RecordBatch.from_arrays([pa.array([documents]), pa.array([passages]), pa.array([total.tobytes()], pa.binary())], names=["documents", "passages", "weights"])
+
+    rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", _cuts(1).alias("cuts"), F.pmod(F.xxhash64("doc_id", F.lit(GROUP_DOCS)), F.lit(groups)).alias("group"))
+    schema = "documents long, passages long, weights binary"
+    # a number of partitions that is given is kept; the few bytes of passages would else come together in one task
+    sums = rows.repartition(groups, "group").groupBy("group").applyInArrow(learned, schema).mapInArrow(summed, schema).collect()
+    network.documents = sum(r.documents for r in sums)
+    network.set_weights(sum(np.frombuffer(bytes(r.weights)) for r in sums) / sum(r.passages for r in sums))
+
+
 def _predictor(network: Network | None):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -318,20 +409,26 @@ def calibrate(labelled: DataFrame, network: Network | None) -> tuple[float, floa
     it has not learned from; None if fewer than LEAST_LONG of them are long.
 
     The least score is the LOST quantile of long texts. A mean over n letters strays by about 1 / sqrt(n), so shorter
-    texts get a slack of that form, by which WITHIN of them reach it. It looks at a sample as training does, of whole texts,
-    of which only scores and lengths come to the driver.
+    texts get a slack of that form, by which WITHIN of them reach it. All of the texts are scored, whole; of their scores,
+    which are written, two ranks come to the driver.
     """
     if network is None:
         return None
     labelled = labelled.select("doc_id", "text", "lang").where(F.col("lang").isin(network.known) & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     letters = F.octet_length(F.regexp_replace("text", "[^A-Za-z\\x{80}-\\x{10FFFF}]", ""))
-    rows = identify(_drawn(labelled).select(letters.alias("doc_id"), "text"), network).where("doc_id > 0").select("doc_id", "score").collect()
-    n, score = np.array([r.doc_id for r in rows], float), np.array([r.score for r in rows])
-    if (n >= LONG).sum() < LEAST_LONG:
+    scored = identify(labelled.select(letters.alias("doc_id"), "text"), network).where("doc_id > 0")
+    scored = cut(scored.select(F.col("doc_id").alias("n"), "score"), "scores")
+    long_, short = scored.where(F.col("n") >= LONG), scored.where(F.col("n") < LONG)
+    if len(long_.head(LEAST_LONG)) < LEAST_LONG:
         return None
-    least = float(np.quantile(score[n >= LONG], LOST))
-    below = (least - score[n < LONG]) * np.sqrt(n[n < LONG])
-    return least, max(0.0, float(np.quantile(below, WITHIN, method="higher"))) if len(below) else 0.0
+    least = long_.agg(F.percentile("score", F.lit(LOST))).first()[0]
+    below = short.select(((least - F.col("score")) * F.sqrt("n")).alias("x"))
+    n = below.count()
+    if not n:
+        return least, 0.0
+    # the rank that is not below WITHIN of the way from the first to the last
+    rank = int(np.ceil(WITHIN * (n - 1)))
+    return least, max(0.0, below.selectExpr(f"percentile_disc({(rank + 0.5) / n}) WITHIN GROUP (ORDER BY x)").first()[0])
 
 
 def in_known_language(documents: DataFrame, network: Network | None, least: float, slack: float = 0.0) -> DataFrame:
@@ -362,6 +459,6 @@ def in_known_language(documents: DataFrame, network: Network | None, least: floa
 
 
 def op8_language_id(spark, sf_dir: str) -> DataFrame:
-    """Learns from the documents that are not held out, then predicts all."""
+    """Learns from a sample of the documents that are not held out, then predicts all."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return identify(documents, train(documents.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")))
+    return identify(documents, train(documents.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"), all_documents=False))
